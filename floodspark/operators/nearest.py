@@ -166,6 +166,8 @@ def grid_knn(vertices: DataFrame, cells: DataFrame, value: str, k: int = S.K_NEA
     if holes is not None:
         hit = points_in_polygons(wanted, holes.select("ring")).select(*cell).distinct()
         wanted = wanted.join(hit, cell, "left_anti")
+    if wanted is not cells:
+        wanted = checkpointed(wanted)
     near = k_nearest(wanted, vertices, k, cell, vertex_key).join(vertices.select(vertex_key, value), vertex_key)
     weight = F.when(F.col("d2") > 0, 1.0 / F.sqrt("d2"))
     mixed = near.groupBy(*cell).agg(

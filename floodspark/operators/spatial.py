@@ -29,9 +29,15 @@ def bin_range(low: Column, high: Column, size: float) -> Column:
     return F.sequence(bin_of(low, size), bin_of(high, size))
 
 
-def _extent(part: str, axis: str, edges: Column) -> Column:
-    reach = F.transform(edges, lambda e: getattr(F, "least" if part == "min" else "greatest")(e["a"][axis], e["b"][axis]))
-    return F.array_min(reach) if part == "min" else F.array_max(reach)
+def held(value: Column) -> Column:
+    """The value itself, computed once: a generator keeps the optimizer from repeating it."""
+    return F.explode(F.array(value))
+
+
+def _reach(edges: Column, axis: str, part: str) -> Column:
+    of = F.least if part == "min" else F.greatest
+    ends = F.transform(edges, lambda e: of(e["a"][axis], e["b"][axis]))
+    return F.array_min(ends) if part == "min" else F.array_max(ends)
 
 
 def ring_tiles(rings: DataFrame, size: float = BIN) -> DataFrame:
@@ -41,20 +47,15 @@ def ring_tiles(rings: DataFrame, size: float = BIN) -> DataFrame:
     left of the bin. A bin without such edges is outside the ring: no row.
     """
     rest = [c for c in rings.columns if c != "ring"]
-    flat = rings.withColumn("_edges", ring_edges(F.col("ring"))).where(F.size("_edges") > 2)
-    rows = flat.select(
-        *rest, "_edges",
-        F.explode(bin_range(_extent("min", "y", F.col("_edges")), _extent("max", "y", F.col("_edges")), size)).alias("by"))
+    size = float(size)
+    flat = rings.where(F.size("ring") > 2).select(*rest, held(ring_edges(F.col("ring"))).alias("_e"))
+    rows = flat.select(*rest, "_e", F.explode(bin_range(_reach(F.col("_e"), "y", "min"), _reach(F.col("_e"), "y", "max"), size)).alias("by"))
     low, high = F.col("by") * size, (F.col("by") + 1) * size
-    rows = rows.withColumn("_row", F.filter("_edges", lambda e: (
-        (F.least(e["a"]["y"], e["b"]["y"]) <= high) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= low))))
-    rows = rows.where(F.size("_row") > 0)
-    tiles = rows.select(
-        *rest, "by", "_row",
-        F.explode(bin_range(_extent("min", "x", F.col("_row")), _extent("max", "x", F.col("_row")), size)).alias("bx"))
-    left = F.col("bx") * size
-    tiles = tiles.withColumn("edges", F.filter("_row", lambda e: F.greatest(e["a"]["x"], e["b"]["x"]) >= left))
-    return tiles.drop("_row").where(F.size("edges") > 0)
+    row = F.filter("_e", lambda e: (F.least(e["a"]["y"], e["b"]["y"]) <= high) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= low))
+    rows = rows.select(*rest, "by", held(row).alias("_row")).where(F.size("_row") > 0)
+    tiles = rows.select(*rest, "by", "_row", F.explode(bin_range(_reach(F.col("_row"), "x", "min"), _reach(F.col("_row"), "x", "max"), size)).alias("bx"))
+    edges = F.filter("_row", lambda e: F.greatest(e["a"]["x"], e["b"]["x"]) >= F.col("bx") * size)
+    return tiles.select(*rest, "bx", "by", held(edges).alias("edges"))
 
 
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = BIN,

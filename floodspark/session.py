@@ -18,7 +18,8 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName("floodspark")
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    static = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**SETTINGS, **static, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
