@@ -129,7 +129,7 @@ def assign_friction(cells: DataFrame, structures: DataFrame | None = None, zones
     out = cells
     if patches is not None:
         hits = points_in_polygons(cells.select(key, "x", "y"), patches, size)
-        chosen = hits.groupBy(key).agg(F.min_by("n", F.struct("layer", "seq")).alias("_patch"))
+        chosen = hits.groupBy(key).agg(F.min_by("n", F.col("layer") * F.lit(2 ** 62) + F.col("seq")).alias("_patch"))
         out = out.join(chosen, key, "left")
     else:
         out = out.withColumn("_patch", F.lit(None).cast("double"))
@@ -163,14 +163,14 @@ def assign_nodes(catchments: DataFrame, nodes: DataFrame, key: str = "catchment_
                  size: float = BIN) -> DataFrame:
     """The one node inside each catchment; none is skipped, several are an error."""
     hits = points_in_polygons(nodes.select(node_key, "x", "y"), catchments.select(key, "ring"), size)
-    per = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_nodes"), F.min_by(F.struct(node_key, "x", "y"), F.col(node_key)).alias("_node"))
+    per = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_nodes"), F.min(node_key).alias("_node"), F.min_by("x", node_key).alias("_nx"), F.min_by("y", node_key).alias("_ny"))
     n = F.coalesce("n_nodes", F.lit(0).cast("bigint"))
     one = F.col("n_nodes") == 1
     return (catchments.join(per, key, "left").withColumn("n_nodes", n)
-            .withColumn(node_key, F.when(one, F.col(f"_node.{node_key}")))
-            .withColumn("node_x", F.when(one, F.col("_node.x"))).withColumn("node_y", F.when(one, F.col("_node.y")))
+            .withColumn(node_key, F.when(one, F.col("_node")))
+            .withColumn("node_x", F.when(one, F.col("_nx"))).withColumn("node_y", F.when(one, F.col("_ny")))
             .withColumn("status", F.when(F.col("n_nodes") == 0, F.lit("skipped: no node")).when(one, F.lit("ok"))
-                        .otherwise(F.lit("error: more than one node"))).drop("_node"))
+                        .otherwise(F.lit("error: more than one node"))).drop("_node", "_nx", "_ny"))
 
 
 def catchment_runoff(catchments: DataFrame, rainfall: DataFrame, package: str = "package_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import edge_length, triangle_angles, triangle_area
-from .ordered import exact_percentiles
+from .ordered import exact_percentiles, first_at_min
 
 
 def with_corners(vertices: DataFrame, triangles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -108,14 +108,15 @@ def mesh_inradius_stats(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     keys = list(keys)
     if not keys:
         return mesh_inradius_stats(cells.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
-    worst = F.min_by(F.struct("x", "y"), F.struct("inradius", "cell_id"))
+    worst = first_at_min(F.col("inradius"), F.col("cell_id"))
     base = cells.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_triangles"), F.min("inradius").alias("inradius_min"),
-        F.min("min_angle").alias("min_angle_deg"), worst.alias("_w"))
+        F.min("min_angle").alias("min_angle_deg"),
+        F.min_by("x", worst).alias("worst_x"), F.min_by("y", worst).alias("worst_y"))
     ranks = exact_percentiles(cells, keys, "inradius", {"inradius_p5": 0.05, "inradius_median": 0.5})
     return base.join(ranks, keys).select(
         *keys, "n_triangles", "inradius_min", "inradius_p5", "inradius_median", "min_angle_deg",
-        F.col("_w.x").alias("worst_x"), F.col("_w.y").alias("worst_y"))
+        "worst_x", "worst_y")
 
 
 def triangles_to_wkt(vertices: DataFrame, triangles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

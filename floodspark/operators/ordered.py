@@ -8,6 +8,7 @@ inside the buckets, and pass only one summary row per bucket across them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,51 +65,61 @@ def carry(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[st
             .drop("_b", "_v", "_local", "_carry"))
 
 
+def first_at_max(value: Column, ident: Column) -> Column:
+    """One number whose maximum is the largest value and, among equals, the lowest id.
+
+    A number fits the fixed-width buffers of hash aggregation, where a struct
+    of both would make Spark sort all rows first. Values count to 1e-14 and up
+    to 9e4, ids below 1e16.
+    """
+    return _scaled(value) - ident.cast("decimal(16,0)")
+
+
+def first_at_min(value: Column, ident: Column) -> Column:
+    """One number whose minimum is the smallest value and, among equals, the lowest id."""
+    return _scaled(value) + ident.cast("decimal(16,0)")
+
+
+def _scaled(value: Column) -> Column:
+    # least() skips nulls, so a missing value has to stay missing by itself.
+    whole = F.when(value.isNotNull(), (F.least(value, F.lit(9.0e4)) * F.lit(1e14)).cast("bigint"))
+    return whole.cast("decimal(19,0)") * F.lit(Decimal(10) ** 16)
+
+
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float],
                       accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolation percentiles per key, one row per key.
 
-    A mergeable sketch brackets each wanted rank. Only the distinct values
-    inside the brackets, a small fixed share of each key, are then ordered;
-    counts of the rows below make the ranks exact.
+    A mergeable sketch brackets each wanted rank. One aggregation then counts
+    the rows below every bracket, and only the values inside the brackets, a
+    small fixed share of a key, are shuffled and ordered.
     """
     keys = list(keys)
     slack = 4.0 / accuracy
-    names = list(fractions)
-    edges = []
-    for p in fractions.values():
-        edges += [max(0.0, p - slack), min(1.0, p + slack)]
-    brackets = df.groupBy(*keys).agg(
-        F.percentile_approx(value, edges, accuracy).alias("_e"),
-        F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"))
-    for i, name in enumerate(names):
-        low, high = F.get("_e", F.lit(2 * i)), F.get("_e", F.lit(2 * i + 1))
-        # A few ranks of slack vanish in tiny keys: take the whole range there.
-        small = F.col("_n") * slack < 4
-        brackets = (brackets.withColumn(f"_lo_{name}", F.when(small, F.col("_min")).otherwise(low))
-                    .withColumn(f"_hi_{name}", F.when(small, F.col("_max")).otherwise(high)))
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
-    counted = counted.join(brackets.drop("_e"), keys)
-
-    result = None
-    marked = counted.select(*keys, "_v", "_c", "_n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"),
-                 F.col(f"_lo_{name}").alias("lo"), F.col(f"_hi_{name}").alias("hi"))
-        for name, p in fractions.items()])).alias("t"))
-    marked = marked.select(*keys, "_v", "_c", "_n", "t.*")
-    below = marked.where(F.col("_v") < F.col("lo")).groupBy(*keys, "name").agg(F.sum("_c").alias("_below"))
-    inside = marked.where(F.col("_v").between(F.col("lo"), F.col("hi"))).join(below, [*keys, "name"], "left")
+    edges = [e for p in fractions.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = df.groupBy(*keys).agg(
+        F.percentile_approx(value, edges, accuracy).alias("_e"), F.count(value).alias("_n"),
+        F.min(value).alias("_min"), F.max(value).alias("_max"))
+    small = F.col("_n") * slack < 4  # too few rows for the slack to hold a rank: take the whole range
+    brackets = sketch.select(*keys, "_n", *[c for i, name in enumerate(fractions) for c in (
+        F.when(small, F.col("_min")).otherwise(F.get("_e", F.lit(2 * i))).alias(f"_lo_{name}"),
+        F.when(small, F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1))).alias(f"_hi_{name}"))])
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).join(brackets, keys)
+    below = rows.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col(f"_lo_{name}")).alias(f"_b_{name}") for name in fractions])
+    hits = F.array_compact(F.array(*[
+        F.when(F.col("_v").between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}")),
+               F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))) for name, p in fractions.items()]))
+    inside = (rows.select(*keys, "_n", "_v", F.explode(hits).alias("_t")).groupBy(*keys, "_n", "_t.name", "_t.p", "_v")
+              .agg(F.count(F.lit(1)).alias("_c")).join(below, keys))
+    base = F.coalesce(*[F.when(F.col("name") == name, F.col(f"_b_{name}")) for name in fractions])
     run = Window.partitionBy(*keys, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.coalesce("_below", F.lit(0)) + F.sum("_c").over(run)
-    inside = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+    inside = inside.withColumn("_upto", base + F.sum("_c").over(run)).withColumn("_from", F.col("_upto") - F.col("_c"))
     rank = F.col("p") * (F.col("_n") - 1)
-    inside = inside.withColumn("_k", F.floor(rank)).withColumn("_f", rank - F.floor(rank))
-    holds = lambda k: (F.col("_from") <= k) & (k < F.col("_upto"))
-    low_value = F.max(F.when(holds(F.col("_k")), F.col("_v")))
-    high_value = F.max(F.when(holds(F.col("_k") + 1), F.col("_v")))
-    picked = inside.groupBy(*keys, "name").agg(low_value.alias("a"), high_value.alias("b"), F.first("_f").alias("f"))
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= k) & (k < F.col("_upto")), F.col("_v")))
+
+    picked = inside.groupBy(*keys, "name").agg(
+        at(F.floor(rank)).alias("a"), at(F.floor(rank) + 1).alias("b"), F.max(rank - F.floor(rank)).alias("f"))
     picked = picked.withColumn("value", F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("f"))
-    result = picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in names])
-    return result
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in fractions])

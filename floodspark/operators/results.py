@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .ordered import first_at_max
 from .spatial import BIN, bin_of, ring_tiles, _segment_bins
 from ..functions import inside_ring, ring_edges
 
@@ -52,19 +53,20 @@ def flow_diagnostics(cells: DataFrame, cfl: float = 0.9, keys: Sequence[str] = (
     deep = F.greatest("depth", F.lit(S.WET_THRESHOLD_M))
     c = c.withColumn("speed", F.when(F.col("wet"), F.sqrt(F.col("xmom") / deep * (F.col("xmom") / deep) + F.col("ymom") / deep * (F.col("ymom") / deep))))
     wet = lambda v: F.when(F.col("wet"), v)
+    fastest = first_at_max(F.col("speed"), F.col("cell_id"))
     out = c.groupBy(*keys).agg(
         F.count_if("wet").alias("wet_cells"), F.count_if("is_full").alias("_full"),
         F.sum(wet(F.col("depth") * F.col("area"))).alias("_volume"),
         F.max(F.when(F.col("is_full"), F.col("depth"))).alias("_depth"),
         F.max("speed").alias("_speed"),
-        F.max_by(F.struct("x", "y"), wet(F.struct(F.col("speed"), -F.col("cell_id")))).alias("_at"),
+        F.max_by("x", fastest).alias("_x"), F.max_by("y", fastest).alias("_y"),
         F.min(wet(F.col("inradius"))).alias("_r"), F.max("dt").alias("_dt"))
     zero = F.lit(0.0)
     return out.select(
         *keys, "wet_cells", (F.col("wet_cells") / F.greatest(F.lit(1), "_full")).alias("wet_fraction"),
         F.coalesce("_volume", zero).alias("volume_m3"), F.coalesce("_depth", zero).alias("max_depth_m"),
         F.coalesce("_speed", zero).alias("max_speed_ms"),
-        F.coalesce("_at.x", zero).alias("peak_speed_x"), F.coalesce("_at.y", zero).alias("peak_speed_y"),
+        F.coalesce("_x", zero).alias("peak_speed_x"), F.coalesce("_y", zero).alias("peak_speed_y"),
         F.coalesce(F.col("_r") * cfl / F.greatest("_dt", F.lit(1e-12)), zero).alias("implied_max_speed_ms"),
         (F.col("_dt") * 1000.0).alias("last_dt_ms"))
 

@@ -83,19 +83,11 @@ def lines_inside_polygon(lines: DataFrame, rings: DataFrame, key: str, ring_key:
     sized = lines.select(key, "line", F.size("line").cast("bigint").alias("n_vertices"), F.coalesce(wrong, F.lit(False)).alias("_bad"))
     vertices = sized.where(~F.col("_bad")).select(key, "n_vertices", F.inline("line"))
     hits = points_in_polygons(vertices, rings.select(ring_key, "ring"), size)
-    inside = (hits.groupBy(key, "n_vertices", ring_key).agg(F.count(F.lit(1)).alias("n_inside"))
-              .withColumn("inside", F.col("n_inside") == F.col("n_vertices"))
-              .withColumn("status", F.lit("ok")))
-    cols = [key, ring_key, "n_inside", "inside", "status"]
-    seen = inside.select(key).distinct()
-    apart = sized.where(~F.col("_bad")).join(seen, key, "left_anti").select(
-        key, F.lit(None).cast(rings.schema[ring_key].dataType).alias(ring_key),
-        F.lit(0).cast("bigint").alias("n_inside"), F.lit(False).alias("inside"), F.lit("ok").alias("status"))
-    bad = sized.where(F.col("_bad")).select(
-        key, F.lit(None).cast(rings.schema[ring_key].dataType).alias(ring_key),
-        F.lit(0).cast("bigint").alias("n_inside"), F.lit(None).cast("boolean").alias("inside"),
-        F.lit("error: vertex is not a pair of numbers").alias("status"))
-    return inside.select(*cols).unionByName(apart).unionByName(bad)
+    counts = hits.groupBy(key, ring_key).agg(F.count(F.lit(1)).alias("_n"))
+    inside = F.when(~F.col("_bad"), F.coalesce(F.col("_n") == F.col("n_vertices"), F.lit(False)))
+    status = F.when(F.col("_bad"), F.lit("error: vertex is not a pair of numbers")).otherwise(F.lit("ok"))
+    return sized.join(counts, key, "left").select(
+        key, ring_key, F.coalesce("_n", F.lit(0).cast("bigint")).alias("n_inside"), inside.alias("inside"), status.alias("status"))
 
 
 def segments_of(lines: DataFrame, line: str = "line") -> DataFrame:
