@@ -69,21 +69,27 @@ def first_at_max(value: Column, ident: Column) -> Column:
     """One number whose maximum is the largest value and, among equals, the lowest id.
 
     A number fits the fixed-width buffers of hash aggregation, where a struct
-    of both would make Spark sort all rows first. Values count to 1e-14 and up
-    to 9e4, ids below 1e16.
+    of both would make Spark sort all rows first. Values must not be negative,
+    ids must be below 1e16; NaN counts as missing.
     """
-    return _scaled(value) - ident.cast("decimal(16,0)")
+    return _order_number(value) - ident.cast("decimal(16,0)")
 
 
 def first_at_min(value: Column, ident: Column) -> Column:
     """One number whose minimum is the smallest value and, among equals, the lowest id."""
-    return _scaled(value) + ident.cast("decimal(16,0)")
+    return _order_number(value) + ident.cast("decimal(16,0)")
 
 
-def _scaled(value: Column) -> Column:
+def _order_number(value: Column) -> Column:
+    """Exponent and mantissa of a double as one whole number: exact, and in the same order."""
+    one = 2 ** 52
+    held = F.least(value, F.lit(1.0e150))
+    exponent = F.floor(F.log2(held))
+    mantissa = ((held / F.pow(F.lit(2.0), exponent) - 1.0) * F.lit(float(one))).cast("bigint")
     # least() skips nulls, so a missing value has to stay missing by itself.
-    whole = F.when(value.isNotNull(), (F.least(value, F.lit(9.0e4)) * F.lit(1e14)).cast("bigint"))
-    return whole.cast("decimal(19,0)") * F.lit(Decimal(10) ** 16)
+    number = (F.when(F.isnan(value) | value.isNull(), None)
+              .when(value > 1.0e-150, (exponent + 500) * F.lit(one) + mantissa).otherwise(F.lit(0).cast("bigint")))
+    return number.cast("decimal(19,0)") * F.lit(Decimal(10) ** 16)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float],
