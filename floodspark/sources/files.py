@@ -28,8 +28,7 @@ def read_scenarios(spark: SparkSession, root: str) -> DataFrame:
     the file for keys outside the model. A file that is no JSON object is a
     row with ``valid`` false. Spark raises when ``root`` has no such file.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "scenario.json").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="scenario.json")
     path = F.col("_metadata.file_path")
     parsed = files.select(F.regexp_extract(path, r"([^/]+)/scenario\.json$", 1).alias("package"),
                           path.alias("path"), F.col("value").alias("raw"), F.try_parse_json("value").alias("_v"))
@@ -44,8 +43,7 @@ def read_features(spark: SparkSession, root: str, scenarios: DataFrame) -> DataF
     The boundary layer is mandatory: a package without one is a row with
     ``status`` set and no feature. Geometry and properties stay JSON text.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.geojson").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.geojson")
     path = F.col("_metadata.file_path")
     texts = files.select(F.regexp_extract(path, r"([^/]+)/(?:inputs/)?[^/]+$", 1).alias("package"),
                          F.regexp_extract(path, r"([^/]+)$", 1).alias("file"), F.col("value").alias("_text"))
