@@ -82,10 +82,10 @@ def forcing_anchors(series: DataFrame, windows: DataFrame, step_s: int = 1, key:
     starts = bounds.select(*cols, F.lit(0).cast("bigint").alias("from_step"), opening.alias("value"))
     anchors = hits.unionByName(starts).groupBy(*cols, "from_step").agg(F.max("value").alias("value"))
     # One bucket per 4096 grid steps keeps a very long series out of a single task.
-    linked = carry(anchors, cols, F.floor(F.col("from_step") / 4096), ["from_step"], F.col("from_step"),
-                   "_next", backward=True, exclude_current=True)
+    linked = carry(anchors, cols, F.floor(F.col("from_step") / 4096), ["from_step"], {"step": F.col("from_step")},
+                   after="_next", exclude_current=True)
     return linked.select(key, "start_ts", "n_steps", "from_step",
-                         F.coalesce(F.col("_next") - 1, F.col("n_steps")).alias("to_step"), "value")
+                         F.coalesce(F.col("_next.step") - 1, F.col("n_steps")).alias("to_step"), "value")
 
 
 def align_forcing(series: DataFrame, windows: DataFrame, step_s: int = 1, key: str = "series_id") -> DataFrame:
@@ -131,10 +131,8 @@ def interpolate_boundary(series: DataFrame, times: DataFrame, key: str = "series
     wanted = times.select(key, F.col("t_s").cast("double").alias("t_s"), F.lit(None).cast("double").alias("_sv"), F.lit(1).alias("_q"))
     both = samples.unionByName(wanted)
     bucket = F.floor(F.col("t_s") / bucket_s)
-    point = F.when(F.col("_q") == 0, F.struct(F.col("t_s").alias("t"), F.col("_sv").alias("v")))
-    # A sample sorts before a query of the same time going forward, and counts for it going back.
-    both = carry(both, [key], bucket, ["t_s", "_q"], point, "_before")
-    both = carry(both, [key], bucket, ["t_s", "_q"], point, "_after", backward=True)
+    # A sample sorts before a query of its own time, so that query finds it going back.
+    both = carry(both, [key], bucket, ["t_s", "_q"], {"t": F.col("t_s"), "v": F.col("_sv")}, F.col("_q") == 0, "_before", "_after")
     b, a = F.col("_before"), F.col("_after")
     share = (F.col("t_s") - b["t"]) / F.nullif(a["t"] - b["t"], F.lit(0.0))
     stage = (F.when(b.isNull() & a.isNull(), F.lit(0.0)).when(b.isNull(), a["v"]).when(a.isNull(), b["v"])

@@ -6,15 +6,17 @@ shuffle: the vertices of a line are already together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import edge_length, line_length
 from ..functions.geometry import VERTICES
-from .spatial import clip_lines, node_lines
+from ..session import checkpointed
+from .spatial import clip_lines, held, node_lines
 
-__all__ = ["segment_floor", "dedupe_polyline", "drop_collinear", "clip_lines", "node_lines"]
+__all__ = ["segment_floor", "dedupe_polyline", "drop_collinear", "densified", "joined_parts", "condition_breaklines",
+           "clip_lines", "node_lines"]
 
 
 def segment_floor(finest_spacing: float | None = None) -> float:
@@ -39,16 +41,17 @@ def dedupe_polyline(lines: DataFrame, floor: float, line: str = "line") -> DataF
         inner, F.slice(v, F.lit(1), F.lit(1)).cast(VERTICES),
         lambda acc, p: F.when(_apart(F.element_at(acc, F.lit(-1)), p) >= floor, F.concat(acc, F.array(p))).otherwise(acc))
     last = F.element_at(v, F.lit(-1))
-    out = lines.where(n > 0).withColumn("_kept", kept)
+    rest = [c for c in lines.columns if c != line]
+    out = lines.where(n > 0).select(*rest, line, held(kept).alias("_kept"))
     near_end = (F.size("_kept") >= 2) & (_apart(F.element_at(F.col("_kept"), F.lit(-1)), last) < floor)
     head = F.when(near_end, F.slice("_kept", F.lit(1), F.size("_kept") - 1)).otherwise(F.col("_kept"))
     out = out.withColumn(line, F.concat(head, F.array(last))).drop("_kept")
     return out.where((F.size(line) >= 2) & (line_length(F.col(line)) >= floor))
 
 
-def drop_collinear(lines: DataFrame, spacing: float, line: str = "line") -> DataFrame:
+def drop_collinear(lines: DataFrame, spacing: float | Column, line: str = "line") -> DataFrame:
     """Removes inner vertices within a quarter of the spacing of their neighbours' chord, in one pass."""
-    tol = S.COLLINEAR_FRACTION * spacing
+    tol = F.lit(S.COLLINEAR_FRACTION) * (spacing if isinstance(spacing, Column) else F.lit(float(spacing)))
     v = F.col(line)
     n = F.size(v)
 
@@ -60,3 +63,55 @@ def drop_collinear(lines: DataFrame, spacing: float, line: str = "line") -> Data
         return (i == 0) | (i == n - 1) | (off > tol)
 
     return lines.withColumn(line, F.filter(v, keep))
+
+
+def densified(line: Column, spacing: Column) -> Column:
+    """The line with every segment split evenly to at most ``spacing``."""
+    n = F.size(line)
+
+    def steps(a: Column, b: Column) -> Column:
+        parts = F.greatest(F.lit(1), F.ceil(_apart(a, b) / spacing)).cast("int")
+        return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(
+            (a["x"] + (b["x"] - a["x"]) * i / parts).alias("x"), (a["y"] + (b["y"] - a["y"]) * i / parts).alias("y")))
+
+    inner = F.flatten(F.zip_with(F.slice(line, F.lit(1), n - 1), F.slice(line, F.lit(2), n - 1), steps))
+    return F.when(n >= 2, F.concat(inner, F.slice(line, n, F.lit(1)))).otherwise(line)
+
+
+def joined_parts(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments that continue one another (seg, t0 order) as one vertex array per part.
+
+    The pieces of one line came from one row, so they fit in one again.
+    """
+    w = Window.partitionBy(*keys).orderBy("seg", "t0")
+    breaks = (F.lag("x1").over(w) != F.col("x0")) | (F.lag("y1").over(w) != F.col("y0"))
+    numbered = segments.withColumn("_new", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn(
+        "part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("seg", "t0", "x0", "y0", "x1", "y1"))).alias("_p"))
+    start = F.transform(F.slice("_p", F.lit(1), F.lit(1)), lambda p: F.struct(p["x0"].alias("x"), p["y0"].alias("y")))
+    rest = F.transform("_p", lambda p: F.struct(p["x1"].alias("x"), p["y1"].alias("y")))
+    return pieces.select(*keys, "part", F.concat(start, rest).alias("line"))
+
+
+def condition_breaklines(breaklines: DataFrame, boundary: DataFrame, key: str = "line_id", ring_key: str = "zone_id",
+                         default_spacing: float = S.DEFAULT_NEAR_SPACING_M, floor: float | None = None) -> DataFrame:
+    """Breaklines ready for a mesher, as segments that meet only at their ends.
+
+    Clipped to the boundary, freed of collinear jitter, densified to each
+    line's ``near_spacing``, deduplicated, and cut at every crossing. Pieces
+    under the floor go; the default floor follows the finest spacing.
+    """
+    spacing = F.when(F.col("near_spacing") > 0, F.col("near_spacing")).otherwise(F.lit(float(default_spacing)))
+    wanted = breaklines.where(F.size("line") >= 2).withColumn("_s", F.greatest(spacing, F.lit(1e-6)))
+    if floor is None:
+        floor = segment_floor(wanted.agg(F.min("_s")).first()[0])
+    parts = joined_parts(clip_lines(wanted, boundary, key, ring_key), [key, ring_key])
+    parts = checkpointed(parts.join(wanted.select(key, "_s"), key))
+    ident = [key, ring_key, "part"]
+    # Each step is held, as the next one names the line many times over.
+    straight = drop_collinear(parts, F.col("_s")).select(*ident, "_s", held(F.col("line")).alias("line"))
+    dense = straight.select(*ident, held(densified(F.col("line"), F.col("_s"))).alias("line"))
+    ready = checkpointed(dedupe_polyline(dense, floor).select(F.struct(*ident).alias("_id"), "line"))
+    pieces = node_lines(ready, "_id")
+    return pieces.select("_id.*", "seg", "x0", "y0", "x1", "y1").where(
+        F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= floor)

@@ -14,10 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _join_back(df: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(summary, on, "left")
-
-
 def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
                 out: str = "rn") -> DataFrame:
     """1-based row number per key; ``bucket`` must ascend with ``order``."""
@@ -29,40 +25,50 @@ def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
                .drop("_n"))
     local = Window.partitionBy(*keys, "_b").orderBy(*order)
     numbered = df.withColumn("_rn", F.row_number().over(local))
-    return (_join_back(numbered, offsets, [*keys, "_b"])
+    return (numbered.join(offsets, [*keys, "_b"], "left")
             .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
             .drop("_b", "_rn", "_off"))
 
 
-def carry(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column,
-          out: str, backward: bool = False, exclude_current: bool = False) -> DataFrame:
-    """Nearest non-null ``value`` at or before each row (or at or after it).
+def carry(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], fields: dict[str, Column],
+          known: Column | None = None, before: str | None = None, after: str | None = None,
+          exclude_current: bool = False) -> DataFrame:
+    """Adds the nearest known row at or before (``before``) and at or after (``after``) each row.
 
-    ``bucket`` must ascend with ``order``. With ``exclude_current`` the row's
-    own value does not count, which is lag/lead over the non-null values.
+    Both are structs of ``fields``, null where there is none. ``bucket`` must
+    ascend with ``order``, and known rows that agree in ``order[0]`` must agree
+    in the fields. With ``exclude_current`` the row itself does not count.
+
+    The sort puts only a bucket of a key in one task. Across buckets goes one
+    row each, from a hash aggregation that combines before its shuffle, and it
+    comes back by a join on the partitioning the sort already has.
     """
-    keys = list(keys)
-    df = df.withColumn("_b", bucket).withColumn("_v", value)
-    position = F.struct(*[F.col(c) for c in order])
-    nearest = F.min_by if backward else F.max_by
-    known = df.where(F.col("_v").isNotNull())
-    ends = known.groupBy(*keys, "_b").agg(nearest(F.col("_v"), position).alias("_end"))
-    # Every bucket needs a row, also those without any non-null value.
-    buckets = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).join(ends, [*keys, "_b"], "left")
+    keys, names = list(keys), list(fields)
+    known = F.lit(True) if known is None else known
+    df = df.withColumn("_b", bucket).withColumn("_k", known)
+    at = F.when(F.col("_k"), F.col(order[0]))
+    ends = df.groupBy(*keys, "_b").agg(*[
+        c for i, n in enumerate(names) for c in (
+            F.max_by(fields[n], at).alias(f"_l{i}"), F.min_by(fields[n], at).alias(f"_f{i}"))],
+        F.bool_or("_k").alias("_any"))
     across = Window.partitionBy(*keys).orderBy("_b")
     inside = Window.partitionBy(*keys, "_b").orderBy(*[F.col(c) for c in order])
+    value = F.when(F.col("_k"), F.struct(*[c.alias(n) for n, c in fields.items()]))
+    edge = lambda side: F.when(F.col("_any"), F.struct(*[F.col(f"_{side}{i}").alias(n) for i, n in enumerate(names)]))
     near = 1 if exclude_current else 0
-    if backward:
-        from_bucket = F.first("_end", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-        from_row = F.first("_v", ignorenulls=True).over(inside.rowsBetween(near, Window.unboundedFollowing))
-    else:
-        from_bucket = F.last("_end", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-        from_row = F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -near))
-    carried = buckets.withColumn("_carry", from_bucket).drop("_n", "_end")
-    local = df.withColumn("_local", from_row)
-    return (_join_back(local, carried, [*keys, "_b"])
-            .withColumn(out, F.coalesce("_local", "_carry"))
-            .drop("_b", "_v", "_local", "_carry"))
+    local, summary = df, ends
+    if before:
+        summary = summary.withColumn("_cb", F.last(edge("l"), True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
+        local = local.withColumn("_lb", F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, -near)))
+    if after:
+        summary = summary.withColumn("_ca", F.first(edge("f"), True).over(across.rowsBetween(1, Window.unboundedFollowing)))
+        local = local.withColumn("_la", F.first(value, True).over(inside.rowsBetween(near, Window.unboundedFollowing)))
+    joined = local.join(summary.select(*keys, "_b", *[c for c, on in (("_cb", before), ("_ca", after)) if on]), [*keys, "_b"], "left")
+    if before:
+        joined = joined.withColumn(before, F.coalesce("_lb", "_cb")).drop("_lb", "_cb")
+    if after:
+        joined = joined.withColumn(after, F.coalesce("_la", "_ca")).drop("_la", "_ca")
+    return joined.drop("_b", "_k")
 
 
 def first_at_max(value: Column, ident: Column) -> Column:

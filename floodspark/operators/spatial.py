@@ -258,7 +258,7 @@ def node_lines(lines: DataFrame, key: str, size: float = BIN, limit: int = 512,
              .select(key, "seg", "p.*"))
     # A segment met by very many others is split by parameter, not ordered in one task.
     share = F.floor(F.col("t") * 16)
-    linked = carry(nodes, [key, "seg"], share, ["t"], F.struct("t", "x", "y"), "n", backward=True, exclude_current=True)
+    linked = carry(nodes, [key, "seg"], share, ["t"], {c: F.col(c) for c in ("t", "x", "y")}, after="n", exclude_current=True)
     return linked.where(F.col("n").isNotNull()).select(
         key, "seg", F.col("t").alias("t0"), "n.t", F.col("x").alias("x0"), F.col("y").alias("y0"),
         F.col("n.x").alias("x1"), F.col("n.y").alias("y1")).withColumnRenamed("t", "t1")

@@ -28,9 +28,9 @@ def phase_spans(events: DataFrame, now: str, keys: Sequence[str] = ("run_id",))
     many events is no single window.
     """
     us = events.withColumn("_us", F.unix_micros("ts"))
-    linked = carry(us, keys, F.floor(F.col("_us") / DAY_US), ["_us", "seq"], F.col("_us"), "_end",
-                   backward=True, exclude_current=True)
-    end = F.coalesce("_end", F.unix_micros(F.lit(now).cast("timestamp")))
+    linked = carry(us, keys, F.floor(F.col("_us") / DAY_US), ["_us", "seq"], {"us": F.col("_us")},
+                   after="_end", exclude_current=True)
+    end = F.coalesce("_end.us", F.unix_micros(F.lit(now).cast("timestamp")))
     return linked.where(F.col("phase").isNotNull()).select(
         *keys, "phase", "ts", "seq", (end - F.col("_us")).alias("span_us"))
 
@@ -76,8 +76,8 @@ def _throttle_by_doubling(times: DataFrame, key: str, gap_us: int) -> DataFrame:
     both = both.withColumn("_q", F.col("_from").isNull().cast("int"))
     # A wanted time sorts before a row of the same time, so that row counts as next.
     found = carry(both, [key], F.floor(F.col("us") / (4 * gap_us)), ["us", "_q"],
-                  F.when(F.col("_q") == 1, F.col("us")), "_to", backward=True)
-    jump = checkpointed(found.where("_q = 0 and _to is not null").select(key, F.col("_from").alias("us"), F.col("_to").alias("to")))
+                  {"us": F.col("us")}, F.col("_q") == 1, after="_to")
+    jump = checkpointed(found.where("_q = 0 and _to is not null").select(key, F.col("_from").alias("us"), F.col("_to.us").alias("to")))
     reached = checkpointed(times.groupBy(key).agg(F.min("us").alias("us")))
     size = reached.count()
     while True:
@@ -102,9 +102,8 @@ def heartbeats(progress: DataFrame, interval_s: int = S.HEARTBEAT_S, key: str =
     """
     gap = int(interval_s) * 1_000_000
     rest = [c for c in progress.columns if c not in (key, "ts")]
-    rows = (progress.withColumn("us", F.unix_micros("ts")).groupBy(key, "us")
-            .agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_row")))
-    times = rows.select(key, "us")
+    timed = progress.withColumn("us", F.unix_micros("ts"))
+    times = timed.select(key, "us").distinct()
     long_runs = times.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_limit).select(key)
     fold = _throttle(gap)
     if long_runs.limit(1).count():
@@ -112,16 +111,17 @@ def heartbeats(progress: DataFrame, interval_s: int = S.HEARTBEAT_S, key: str =
                 .unionByName(_throttle_by_doubling(times.join(long_runs, key, "left_semi"), key, gap)))
     else:
         kept = times.groupBy(key).applyInPandas(fold, times.schema)
-    return kept.join(rows, [key, "us"]).select(key, F.timestamp_micros("us").alias("ts"), "_row.*")
+    rows = timed.join(kept, [key, "us"]).groupBy(key, "us").agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_row"))
+    return rows.select(key, F.timestamp_micros("us").alias("ts"), "_row.*")
 
 
 def stuck_runs(events: DataFrame, timeout_s: int = S.STUCK_AFTER_S, terminal: Sequence[str] = ("completed", "error"),
                now: str | None = None, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Silences longer than the timeout after an event that is not terminal."""
     us = events.withColumn("_us", F.unix_micros("ts"))
-    linked = carry(us, keys, F.floor(F.col("_us") / DAY_US), ["_us", "seq"], F.col("_us"), "_next",
-                   backward=True, exclude_current=True)
-    end = F.col("_next") if now is None else F.coalesce("_next", F.unix_micros(F.lit(now).cast("timestamp")))
+    linked = carry(us, keys, F.floor(F.col("_us") / DAY_US), ["_us", "seq"], {"us": F.col("_us")},
+                   after="_next", exclude_current=True)
+    end = F.col("_next.us") if now is None else F.coalesce("_next.us", F.unix_micros(F.lit(now).cast("timestamp")))
     return linked.withColumn("silent_us", end - F.col("_us")).where(
         (F.col("silent_us") > timeout_s * 1_000_000) & ~F.col("status").isin(*terminal)).select(
         *keys, "seq", F.col("_us").alias("last_event_us"), "silent_us")

@@ -151,7 +151,9 @@ def test_number_rows_and_carry(spark):
         assert [r.rn for r in numbered.where(F.col("k") == k).orderBy("t").collect()] == list(range(1, 81))
     for back in (False, True):
         for skip in (False, True):
-            got = {(r.k, r.t): r.o for r in ordered.carry(df, ["k"], F.floor(F.col("t") / 50), ["t"], F.col("v"), "o", back, skip).collect()}
+            got = {(r.k, r.t): r.o and r.o.v for r in ordered.carry(
+                df, ["k"], F.floor(F.col("t") / 50), ["t"], {"v": F.col("v")}, F.col("v").isNotNull(),
+                None if back else "o", "o" if back else None, skip).collect()}
             for k, t, _ in rows:
                 seen = [v for kk, tt, v in rows if kk == k and v is not None and (
                     (tt > t if skip else tt >= t) if back else (tt < t if skip else tt <= t))]

@@ -245,3 +245,23 @@ def test_boundary_ring_of_square(spark):
     none = inputs.boundary_extent(f.withColumn("location", F.lit("Internal"))).first()
     assert none.status.startswith("error")
     assert inputs.boundary_ring(f.withColumn("crs", F.lit(None).cast("string"))).count() == 0
+
+
+def test_condition_breaklines(spark):
+    box = ring_rows(spark, {1: [(0, 0), (100, 0), (100, 100), (0, 100)]})
+    table = line_rows(spark, {1: [(-50, 50), (20, 50.01), (150, 50)], 2: [(50, 10), (50, 10), (50, 90)], 3: [(5, 5), (5.05, 5)], 4: [(200, 200), (300, 300)]},
+                      near_spacing={1: 10.0, 2: 10.0, 3: 10.0, 4: 10.0})
+    got = lines.condition_breaklines(table, box).collect()
+    assert {r.line_id for r in got} == {1, 2}
+    length = lambda k: sum(math.dist((r.x0, r.y0), (r.x1, r.y1)) for r in got if r.line_id == k)
+    assert length(1) == pytest.approx(100, abs=0.01) and length(2) == pytest.approx(80, abs=0.01)
+    assert max(math.dist((r.x0, r.y0), (r.x1, r.y1)) for r in got) <= 10.0001
+    ends = lambda k: {(round(x, 5), round(y, 5)) for r in got if r.line_id == k for x, y in ((r.x0, r.y0), (r.x1, r.y1))}
+    assert len(ends(1) & ends(2)) == 1 and (50.0, 50.00) == tuple(round(v, 1) for v in (ends(1) & ends(2)).pop())
+
+
+def test_densified_matches_table_form(spark):
+    table = line_rows(spark, {1: [(0, 0), (25, 0), (25, 5)]})
+    one = table.select(lines.densified(F.col("line"), F.lit(10.0)).alias("v")).first().v
+    many = spatial.densify_polyline(table, "line_id", 10.0).orderBy("seg", "part").collect()
+    assert [(round(p.x, 9), round(p.y, 9)) for p in one] == [(round(r.x, 9), round(r.y, 9)) for r in many]
