@@ -12,7 +12,8 @@ from ..functions import (archive_prefix, file_name, parent_dirs, quantity_of, re
                          step_of, valid_time, version_sha)
 
 # Directories whose whole subtree stays out of a result package.
-EXCLUDED_DIRS = ("run_anuga", "checkpoints", "videos")
+# The runner's own source directory is the caller's to name, see ``source_dir``.
+EXCLUDED_DIRS = ("checkpoints", "videos")
 
 
 def with_run_names(df: DataFrame, project: str = "project", scenario: str = "id", run_id: str = "run_id") -> DataFrame:
@@ -22,24 +23,26 @@ def with_run_names(df: DataFrame, project: str = "project", scenario: str = "id"
             .withColumn("result_zip", result_zip_name(*ids)).withColumn("archive_prefix", archive_prefix(*ids)))
 
 
-def exclusion_reason(path: Column, result_zip: Column) -> Column:
+def exclusion_reason(path: Column, result_zip: Column, source_dir: str = "engine") -> Column:
     """Why a file stays out of the result package; null when it goes in."""
     name = file_name(path)
-    return (F.when(F.arrays_overlap(parent_dirs(path), F.array(*[F.lit(d) for d in EXCLUDED_DIRS])), F.lit("directory"))
+    excluded = (source_dir, *EXCLUDED_DIRS)
+    return (F.when(F.arrays_overlap(parent_dirs(path), F.array(*[F.lit(d) for d in excluded])), F.lit("directory"))
             .when((name == "package.zip") | (name == result_zip), F.lit("package"))
             .when(name.endswith(".sww"), F.lit("series")).when(name.endswith(".msh"), F.lit("mesh"))
             .when(name.endswith(".tif") & name.contains("_Time_"), F.lit("step raster")))
 
 
-def package_members(files: DataFrame, result_zip: Column | None = None) -> DataFrame:
+def package_members(files: DataFrame, result_zip: Column | None = None, source_dir: str = "engine") -> DataFrame:
     zip_name = F.lit(None).cast("string") if result_zip is None else result_zip
-    reason = exclusion_reason(F.col("path"), F.coalesce(zip_name, F.lit("")))
+    reason = exclusion_reason(F.col("path"), F.coalesce(zip_name, F.lit("")), source_dir)
     return files.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
 
 
-def package_report(files: DataFrame, keys: Sequence[str] = ("run_id",), result_zip: Column | None = None) -> DataFrame:
+def package_report(files: DataFrame, keys: Sequence[str] = ("run_id",), result_zip: Column | None = None,
+                   source_dir: str = "engine") -> DataFrame:
     """Files and bytes kept and dropped by reason."""
-    return package_members(files, result_zip).withColumn("reason", F.coalesce("reason", F.lit("kept"))).groupBy(
+    return package_members(files, result_zip, source_dir).withColumn("reason", F.coalesce("reason", F.lit("kept"))).groupBy(
         *keys, "reason").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
 
 

@@ -128,8 +128,11 @@ def assign_friction(cells: DataFrame, structures: DataFrame | None = None, zones
     patches = _zones(structures, None if raster is not None else zones)
     out = cells
     if patches is not None:
-        hits = points_in_polygons(cells.select(key, "x", "y"), patches, size)
-        chosen = hits.groupBy(key).agg(F.min_by("n", F.col("layer") * F.lit(2 ** 62) + F.col("seq")).alias("_patch"))
+        order = F.col("layer") * F.lit(2 ** 62) + F.col("seq")
+        # Copies of a ring count once, with the value of the first.
+        rings = patches.withColumn("_o", order).groupBy("ring").agg(F.min_by("n", "_o").alias("n"), F.min("_o").alias("_o"))
+        hits = points_in_polygons(cells.select(key, "x", "y"), rings, size)
+        chosen = hits.groupBy(key).agg(F.min_by("n", "_o").alias("_patch"))
         out = out.join(chosen, key, "left")
     else:
         out = out.withColumn("_patch", F.lit(None).cast("double"))
@@ -142,17 +145,29 @@ def assign_friction(cells: DataFrame, structures: DataFrame | None = None, zones
 def raised_hits(cells: DataFrame, structures: DataFrame, default_height: float | None = None, key: str = "vid",
                 structure_key: str = "structure_id", size: float = BIN) -> DataFrame:
     """Pairs (cell, Raised structure, height) with the cell strictly inside."""
+    return points_in_polygons(cells.select(key, "x", "y"), _raised(structures, default_height, structure_key), size).select(
+        key, structure_key, "height")
+
+
+def _raised(structures: DataFrame, default_height: float | None, structure_key: str) -> DataFrame:
     fallback = S.BURN_HEIGHT_M if default_height is None else float(default_height)
-    raised = structures.where(F.col("method") == "Raised").select(
+    return structures.where(F.col("method") == "Raised").select(
         structure_key, "ring", F.coalesce(F.col("raised_height").cast("double"), F.lit(fallback)).alias("height"))
-    return points_in_polygons(cells.select(key, "x", "y"), raised, size).select(key, structure_key, "height")
+
+
+def raised_structures_hit(cells: DataFrame, structures: DataFrame, key: str = "vid", structure_key: str = "structure_id",
+                          size: float = BIN) -> DataFrame:
+    """Cells inside each Raised structure; one that holds no cell has no row."""
+    return raised_hits(cells, structures, None, key, structure_key, size).groupBy(structure_key).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 def apply_raised(cells: DataFrame, structures: DataFrame, default_height: float | None = None, key: str = "vid",
                  structure_key: str = "structure_id", size: float = BIN) -> DataFrame:
     """Bed raised by every footprint a cell lies in; overlapping footprints add up."""
-    lift = raised_hits(cells, structures, default_height, key, structure_key, size).groupBy(key).agg(
-        F.sum("height").alias("raised_by"), F.count(F.lit(1)).alias("n_structures"))
+    rings = _raised(structures, default_height, structure_key).groupBy("ring").agg(
+        F.sum("height").alias("height"), F.count(F.lit(1)).alias("_n"))
+    lift = points_in_polygons(cells.select(key, "x", "y"), rings, size).groupBy(key).agg(
+        F.sum("height").alias("raised_by"), F.sum("_n").alias("n_structures"))
     return (cells.join(lift, key, "left")
             .withColumn("raised_by", F.coalesce("raised_by", F.lit(0.0)))
             .withColumn("n_structures", F.coalesce("n_structures", F.lit(0).cast("bigint")))
@@ -162,8 +177,10 @@ def apply_raised(cells: DataFrame, structures: DataFrame, default_height: float
 def assign_nodes(catchments: DataFrame, nodes: DataFrame, key: str = "catchment_id", node_key: str = "node_id",
                  size: float = BIN) -> DataFrame:
     """The one node inside each catchment; none is skipped, several are an error."""
-    hits = points_in_polygons(nodes.select(node_key, "x", "y"), catchments.select(key, "ring"), size)
-    per = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_nodes"), F.min(node_key).alias("_node"), F.min_by("x", node_key).alias("_nx"), F.min_by("y", node_key).alias("_ny"))
+    # Nodes at one place are counted together before they meet the catchments.
+    places = nodes.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n"), F.min(node_key).alias(node_key))
+    hits = points_in_polygons(places, catchments.select(key, "ring"), size)
+    per = hits.groupBy(key).agg(F.sum("_n").alias("n_nodes"), F.min(node_key).alias("_node"), F.min_by("x", node_key).alias("_nx"), F.min_by("y", node_key).alias("_ny"))
     n = F.coalesce("n_nodes", F.lit(0).cast("bigint"))
     one = F.col("n_nodes") == 1
     return (catchments.join(per, key, "left").withColumn("n_nodes", n)

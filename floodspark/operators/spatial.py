@@ -111,7 +111,8 @@ def target_area(points: DataFrame, mesh_regions: DataFrame, base_resolution: flo
                 size: float = BIN) -> DataFrame:
     """Smallest area limit at each point: half the squared base resolution or a region's."""
     base = base_resolution * base_resolution / 2.0
-    hits = points_in_polygons(points.select(key, "x", "y"), mesh_regions.select("resolution", "ring"), size)
+    regions = mesh_regions.groupBy("ring").agg(F.min("resolution").alias("resolution"))  # copies of a ring meet a point once
+    hits = points_in_polygons(points.select(key, "x", "y"), regions, size)
     finest = hits.groupBy(key).agg(F.min("resolution").alias("_finest"))
     return points.join(finest, key, "left").withColumn(
         "target_area", F.least(F.coalesce("_finest", F.lit(base)), F.lit(base))).drop("_finest")
@@ -128,7 +129,8 @@ def breakline_grading(points: DataFrame, breaklines: DataFrame, far: float, key:
     lines = (breaklines.withColumn("_bands", doubling_bands(near.cast("double"), F.lit(float(far))))
              .where(F.size("_bands") > 0).withColumn("_reach", F.array_max("_bands")))
     size = max(float(far), 1.0)
-    cut = _segment_bins(segments_of(lines.select("line", "_bands", "_reach")), size, F.col("_reach"))
+    segments = segments_of(lines.select("line", "_bands", "_reach")).drop("seg").distinct()
+    cut = _segment_bins(segments, size, F.col("_reach"))
     binned = (points.select(key, "x", "y")
               .withColumn("gx", bin_of(F.col("x"), size)).withColumn("gy", bin_of(F.col("y"), size)))
     distance = point_segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
@@ -332,5 +334,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str, max_round
 
 
 def footprint_clusters(footprints: DataFrame, key: str, size: float = BIN) -> DataFrame:
-    """Cluster label per footprint; footprints that touch share one."""
-    return connected_components(footprints.select(key), footprint_edges(footprints, key, size), key)
+    """Cluster label per footprint; footprints that touch share one.
+
+    Copies of a footprint stand as one shape, that of the lowest key.
+    """
+    shapes = footprints.groupBy("ring").agg(F.min(key).alias(key))
+    labels = connected_components(shapes.select(key), footprint_edges(shapes, key, size), key)
+    shape_of = footprints.select(key, "ring").join(shapes.withColumnRenamed(key, "_shape"), "ring").select(key, "_shape")
+    return shape_of.join(labels.withColumnRenamed(key, "_shape"), "_shape").select(key, "cluster")
+
+
+def merged_counts(clusters: DataFrame) -> DataFrame:
+    """Footprints before and clusters after merging."""
+    return clusters.agg(F.count(F.lit(1)).alias("n_footprints"), F.count_distinct("cluster").alias("n_clusters"))

@@ -331,7 +331,7 @@ SELECT package_id, ring_seq, line_id, CAST(vertex AS BIGINT) AS vertex, boundary
 
 # Artefacts
 oracle("package_report", "p_files", """
-WITH c AS (SELECT *, CASE WHEN path LIKE 'run_anuga/%' OR path LIKE '%/run_anuga/%' OR path LIKE '%/checkpoints/%' OR path LIKE '%/videos/%' THEN 'directory'
+WITH c AS (SELECT *, CASE WHEN path LIKE 'engine/%' OR path LIKE '%/engine/%' OR path LIKE '%/checkpoints/%' OR path LIKE '%/videos/%' THEN 'directory'
   WHEN path = 'package.zip' OR path LIKE '%/package.zip' THEN 'package' WHEN path LIKE '%.sww' THEN 'series' WHEN path LIKE '%.msh' THEN 'mesh'
   WHEN path LIKE '%.tif' AND contains(path, '_Time_') THEN 'step raster' ELSE 'kept' END AS reason FROM p_files)
 SELECT run_id, reason, count(*) AS n_files, CAST(sum(length) AS BIGINT) AS n_bytes FROM c GROUP BY 1, 2""")

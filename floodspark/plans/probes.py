@@ -112,7 +112,7 @@ VIEWS["p_files"] = """
 SELECT o_custkey AS run_id, CAST(floor(o_totalprice) AS BIGINT) AS length,
        CAST(o_orderkey % 100 AS DOUBLE) AS min_x, CAST(o_orderkey % 90 AS DOUBLE) AS min_y,
        CAST(o_orderkey % 100 + 500 AS DOUBLE) AS max_x, CAST(o_orderkey % 90 + 400 AS DOUBLE) AS max_y,
-       concat(CASE o_orderkey % 10 WHEN 0 THEN 'run_anuga/' WHEN 1 THEN 'outputs_1/checkpoints/' WHEN 2 THEN ''
+       concat(CASE o_orderkey % 10 WHEN 0 THEN 'engine/' WHEN 1 THEN 'outputs_1/checkpoints/' WHEN 2 THEN ''
               ELSE 'outputs_1/' END,
               CASE o_orderkey % 9 WHEN 0 THEN 'package.zip' WHEN 1 THEN concat('run_', CAST(o_custkey AS STRING), '.sww')
               WHEN 2 THEN 'run_1.msh'

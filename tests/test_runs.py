@@ -251,7 +251,7 @@ def test_validation(spark):
 
 
 @pytest.mark.parametrize("path,reason", [
-    ("outputs/run_1_1_1_depth_max.tif", None), ("scenario.json", None), ("inputs/b.geojson", None), ("run_anuga/x.py", "directory"),
+    ("outputs/run_1_1_1_depth_max.tif", None), ("scenario.json", None), ("inputs/b.geojson", None), ("engine/x.py", "directory"),
     ("outputs/checkpoints/a/b.pickle", "directory"), ("videos/a.mp4", "directory"), ("package.zip", "package"), ("1_1_1_results.zip", "package"),
     ("outputs/run_1.sww", "series"), ("a.msh", "mesh"), ("o/run_depth_Time_000060.tif", "step raster"), ("o/run_Time_.txt", None), ("checkpoints", None)])
 def test_package_members(spark, path, reason):
