@@ -92,7 +92,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, query_key: Sequence
                .groupBy(*on, *query_key, "qx", "qy").agg(F.max("level").alias("level")))
     outside = queries.join(started.select(*on, *query_key), [*on, *query_key], "left_anti")
     size = F.lit(side) / F.pow(F.lit(2.0 ** STEP), F.col("level").cast("double"))
-    reach = size * (2 * 2 ** 0.5)
+    reach = size * (2 * 2 ** 0.5 * (1 + 1e-9))
     span = lambda v, o: F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((v - reach - F.lit(o)) / size).cast("bigint")),
                                    F.greatest(F.lit(0).cast("bigint"), F.floor((v + reach - F.lit(o)) / size).cast("bigint")))
     entry = (started.withColumn("ix", F.explode(span(F.col("qx"), x0)))

@@ -31,6 +31,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Let shuffles start with one partition per ``target_bytes``; adaptive execution merges small ones."""
+    n = max(spark.sparkContext.defaultParallelism, -(-int(shuffled_bytes) // target_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    return n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and intermediate tables.
 

@@ -125,10 +125,14 @@ def write_run_summaries(summaries: DataFrame, path: str) -> None:
 
 
 def read_point_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Two-column CSV without header; rows that are not two numbers are skipped."""
+    """Two-column CSV without header; rows that are not two numbers are skipped.
+
+    ``block`` and ``seq`` give the order within a file, also of one read in several splits.
+    """
     raw = spark.read.option("header", False).option("mode", "PERMISSIVE").schema("a string, b string, c string").csv(path)
     x, y = F.trim("a").try_cast("double"), F.trim("b").try_cast("double")
-    return (raw.select(x.alias("x"), y.alias("y"), F.col("_metadata.file_name").alias("file"))
+    return (raw.select(x.alias("x"), y.alias("y"), F.col("_metadata.file_name").alias("file"),
+                       F.col("_metadata.file_block_start").alias("block"))
             .withColumn("seq", F.monotonically_increasing_id()).where(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
 
@@ -136,7 +140,7 @@ def ring_of_points(points: DataFrame, key: str = "file") -> DataFrame:
     """Closed ring per file; one file is one polygon and so one row by the data model."""
     from ..functions import close_ring
 
-    ordered = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("_p"))
+    ordered = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "seq", "x", "y"))).alias("_p"))
     ring = F.transform("_p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     return ordered.select(key, close_ring(ring).alias("ring"))
 

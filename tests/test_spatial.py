@@ -265,3 +265,35 @@ def test_densified_matches_table_form(spark):
     one = table.select(lines.densified(F.col("line"), F.lit(10.0)).alias("v")).first().v
     many = spatial.densify_polyline(table, "line_id", 10.0).orderBy("seg", "part").collect()
     assert [(round(p.x, 9), round(p.y, 9)) for p in one] == [(round(r.x, 9), round(r.y, 9)) for r in many]
+
+
+def test_boundary_filters(spark):
+    df = spark.createDataFrame([("External", "Time"), ("Internal", "Time"), ("External", "Reflective")], "location string, boundary string")
+    assert inputs.external_boundaries(df).count() == 2 and inputs.time_boundaries(df).count() == 1
+
+
+def test_copies_count_once_and_whole(spark):
+    rings = {i: SQUARE for i in range(50)}
+    pts = points(spark, [(1, 5, 5), (2, 50, 50)]).withColumn("elevation", F.lit(0.0))
+    s = structures(spark, [(i, "Raised", 1.0, r) for i, r in rings.items()])
+    assert {r.vid: (r.elevation, r.n_structures) for r in inputs.apply_raised(pts, s).collect()} == {1: (50.0, 50), 2: (0.0, 0)}
+    assert inputs.raised_structures_hit(pts, s).count() == 50
+    clusters = spatial.footprint_clusters(ring_rows(spark, rings), "zone_id")
+    assert spatial.merged_counts(clusters).first() == (50, 1)
+    nodes = points(spark, [(i, 5, 5) for i in range(20)], "node_id")
+    assert {r.n_nodes for r in inputs.assign_nodes(ring_rows(spark, rings, "catchment_id"), nodes).collect()} == {20}
+
+
+def test_unknown_methods_are_reported(spark):
+    s = structures(spark, [(1, "Fenced", None, SQUARE), (2, None, None, SQUARE)])
+    assert [(r.structure_id, r.method) for r in inputs.unknown_structures(s, ["structure_id"]).collect()] == [(1, "Fenced")]
+
+
+def test_shuffle_size(spark):
+    from floodspark.session import size_shuffles
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert size_shuffles(spark, 10 * 2 ** 40) == 81920 and spark.conf.get(key) == "81920"
+    finally:
+        spark.conf.unset(key)
