@@ -61,8 +61,12 @@ def carry(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[st
         summary = summary.withColumn("_cb", F.last(edge("l"), True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
         local = local.withColumn("_lb", F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, -near)))
     if after:
-        summary = summary.withColumn("_ca", F.first(edge("f"), True).over(across.rowsBetween(1, Window.unboundedFollowing)))
-        local = local.withColumn("_la", F.first(value, True).over(inside.rowsBetween(near, Window.unboundedFollowing)))
+        # Looking ahead is looking back in descending order: a frame that ends unbounded would
+        # be read again for every row, a running one is read once.
+        ahead = Window.partitionBy(*keys).orderBy(F.col("_b").desc())
+        onward = Window.partitionBy(*keys, "_b").orderBy(*[F.col(c).desc() for c in order])
+        summary = summary.withColumn("_ca", F.last(edge("f"), True).over(ahead.rowsBetween(Window.unboundedPreceding, -1)))
+        local = local.withColumn("_la", F.last(value, True).over(onward.rowsBetween(Window.unboundedPreceding, -near)))
     joined = local.join(summary.select(*keys, "_b", *[c for c, on in (("_cb", before), ("_ca", after)) if on]), [*keys, "_b"], "left")
     if before:
         joined = joined.withColumn(before, F.coalesce("_lb", "_cb")).drop("_lb", "_cb")
