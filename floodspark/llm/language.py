@@ -156,3 +156,16 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"),
                        "text").mapInArrow(work, PREDICTED)
+
+
+def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The documents whose language the model tells with a score of at least ``least``; ``und`` is never accepted."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -8,7 +8,27 @@ from pyspark.sql import functions as F
 from floodspark.llm.common import table
 from floodspark.llm.language import identify, train
 from floodspark.llm.minhash import near_duplicates
+from floodspark.llm.pii import KINDS, find_pii, fit
 from floodspark.llm.postings import decontaminate
+from floodspark.llm.sentencepiece import encode
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kinds = F.array(*map(F.lit, KINDS))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    together = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
+        F.array_position(kinds, s["kind"]).alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return find_pii(docs, fit(docs)).select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"),
+                                            listed(together).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +47,8 @@ def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_positional_index, op4_word_backoff_language, op5_bbit_minhash)}
+def op9_numpy_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op9_numpy_viterbi)}
