@@ -26,7 +26,8 @@ def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     together = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
         F.array_position(kinds, s["kind"]).alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return find_pii(docs, fit(docs)).select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"),
                                             listed(together).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
