@@ -11,6 +11,7 @@ from floodspark.llm.minhash import near_duplicates
 from floodspark.llm.pii import KINDS, find_pii, fit
 from floodspark.llm.postings import decontaminate
 from floodspark.llm.sentencepiece import encode
+from floodspark.llm.tokenstore import read_store, with_checksums, write_store
 
 
 def tokenizer_file(name: str) -> str:
@@ -48,8 +49,12 @@ def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_minimal_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_checksums(read_store(write_store(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))))
+
+
 def op9_numpy_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op9_numpy_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash, op9_numpy_viterbi)}
