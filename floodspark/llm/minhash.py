@@ -100,8 +100,18 @@ def with_signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", ba
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, SETS)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int] = (75, 100)) -> DataFrame:
-    """The pairs (x, y) whose full sets meet ``share[1] * intersection >= share[0] * union``.
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two full sets meet ``100 * intersection >= 75 * union``."""
+    if 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common > 0 and 100 * common >= 75 * (len(both) - common)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose full sets are linked.
 
     The texts of a pair travel; a set is made anew beside its partner, so no set is ever stored.
     """
@@ -114,8 +124,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int] = (75, 1
                 other = batch.column("text_y")[i]
                 if last is None or y != last[0] or other != last[1]:
                     last, base = (y, other), next(shingle_sets(pa.array([other.as_py()], pa.string())))
-                common = len(np.intersect1d(mine, base, assume_unique=True))
-                keep.append(common > 0 and share[1] * common >= share[0] * (len(mine) + len(base) - common))
+                keep.append(linked(mine, base))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -125,7 +134,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int] = (75, 1
     return joined.mapInArrow(work, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, side: int = 1000, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, side: int = 1500, slack: float = 0.2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
     Two documents are linked when 100 * intersection >= 75 * union of their sets. Copies with the same set are one
@@ -151,8 +160,7 @@ def near_duplicates(docs: DataFrame, side: int = 1000, slack: float = 0.2) -> Da
     links = stored(confirmed(stars, docs), "links")
     found = components(links, "x", "y")
     split = _split_buckets(members, found)
-    pairs = _block_pairs(split, classes, side, slack)
-    more = stored(confirmed(pairs, docs), "more")
+    more = stored(_block_links(split, classes, docs, side, slack), "more")
     found = components(links.union(more), "x", "y")
     of_class = classes.join(found, classes["node"] == found["node"], "left").select(
         "n_shingles", "set_high", "set_low", F.coalesce("component", classes["node"]).alias("component"))
@@ -171,27 +179,41 @@ def _split_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     return stored(placed.join(mixed.select("band", "size"), "band"), "split")
 
 
-def _block_pairs(split: DataFrame, classes: DataFrame, side: int, slack: float) -> DataFrame:
-    """Pairs of different components in one bucket whose estimate allows a link.
+def _block_links(split: DataFrame, classes: DataFrame, docs: DataFrame, side: int, slack: float) -> DataFrame:
+    """Links between different components that meet in a bucket, each confirmed in the first bucket that a pair shares.
 
-    A bucket is cut into blocks of about ``side`` classes; a task holds two blocks, however large the bucket is.
+    A bucket is cut into blocks of about ``side`` classes; a task holds two blocks, however large the bucket is, and
+    neither pairs nor sets leave it.
     """
+    members = (split.join(classes.select("node", "signature", "bands").distinct(), "node")
+               .join(docs.select(F.col("doc_id").alias("node"), "text"), "node"))
     blocks = F.ceil(F.col("size") / side).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = (split.withColumn("blocks", blocks).withColumn("mine", mine).select("*", other.alias("other"))
-             .select("band", "node", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-             .join(classes.select("node", "signature").distinct(), "node"))
+    dealt = (members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component",
+                     "signature", "bands", "text"))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
-        node, part, mine = (group[c].to_numpy() for c in ("node", "component", "mine"))
+        bands = np.stack(group["bands"].to_list())
+        node, part, mine, band = (group[c].to_numpy() for c in ("node", "component", "mine", "band"))
         cross = group["i"].iloc[0] != group["j"].iloc[0]
+        texts, sets = group["text"].to_list(), {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = next(shingle_sets(pa.array([texts[k]], pa.string())))
+            return sets[k]
+
         out = []
         for k in range(len(group)):
             rest = np.flatnonzero((part != part[k]) & (mine != mine[k] if cross else True) & (node < node[k]))
-            near = rest[estimate(signs[rest], signs[k]) >= 0.75 - slack] if len(rest) else rest
-            out.append(np.stack([np.full(len(near), node[k]), node[near]], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["x", "y"])
-
-    return dealt.groupBy("band", "i", "j").applyInPandas(work, "x long, y long").distinct()
+            if len(rest):
+                rest = rest[estimate(signs[rest], signs[k]) >= 0.75 - slack]
+            if len(rest):
+                shared = bands[rest] == bands[k]
+                rest = rest[bands[k][np.argmax(shared, 1)] == band[k]]
+            out += [(node[k], node[m]) for m in rest if linked(shingles(k), shingles(m))]
+        return pd.DataFrame(out, columns=["x", "y"], dtype=np.int64)
+
+    return dealt.groupBy("band", "i", "j").applyInPandas(work, "x long, y long")
