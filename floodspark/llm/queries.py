@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodspark.llm.chunks import deduplicated
 from floodspark.llm.common import table
 from floodspark.llm.language import identify, train
 from floodspark.llm.minhash import near_duplicates
@@ -53,8 +54,12 @@ def op6_minimal_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksums(read_store(write_store(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))))
 
 
+def op8_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op9_numpy_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash, op9_numpy_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash, op8_gear_chunks, op9_numpy_viterbi)}
