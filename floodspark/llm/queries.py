@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodspark.llm.bwt import without_repeats
 from floodspark.llm.chunks import deduplicated
 from floodspark.llm.common import table
 from floodspark.llm.language import identify, train
@@ -62,4 +63,9 @@ def op9_numpy_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash, op8_gear_chunks, op9_numpy_viterbi)}
+def op10_bwt_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash, op8_gear_chunks, op9_numpy_viterbi,
+                                  op10_bwt_expansion)}
