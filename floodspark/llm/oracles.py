@@ -29,4 +29,31 @@ SELECT d.doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(r) AS comp
 FROM d JOIN reach USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLES = {"op2_positional_index": POSITIONAL_INDEX, "op5_bbit_minhash": BBIT_MINHASH}
+RULE_OF = """CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+           WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+           WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+           WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END"""
+
+REDIRECT_EQUIVALENCE = f"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{CAPITALS}', '{SMALL}') AS host,
+      regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www\\.|m\\.|blog\\.)', '') || regexp_replace(path, '(\\.html|/)$', '') END AS address,
+      {RULE_OF} AS rule FROM p),
+t AS (SELECT address, unnest([regexp_extract(regexp_extract(html, '<link\\b[^>]*\\brel=["'']?canonical\\b[^>]*>', 0, 'i'), '\\bhref=["'']?([^"''\\s>]+)', 1, 'i'),
+      regexp_extract(regexp_extract(html, '<meta\\b[^>]*\\bhttp-equiv=["'']?refresh\\b[^>]*>', 0, 'i'), '\\burl=["'']?([^"''\\s>]+)', 1, 'i')]) AS url FROM k),
+o AS (SELECT address, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{CAPITALS}', '{SMALL}') AS host,
+      regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM t),
+l AS (SELECT address AS a, regexp_replace(host, '^(www\\.|m\\.|blog\\.)', '') || regexp_replace(path, '(\\.html|/)$', '') AS b, {RULE_OF} AS rule FROM o
+      WHERE address IS NOT NULL AND host <> ''),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT address, address AS r FROM k WHERE address IS NOT NULL UNION SELECT b, b FROM l UNION SELECT reach.address, b FROM reach JOIN both_ways ON r = a),
+least AS (SELECT address, min(r) AS component FROM reach GROUP BY address),
+d AS (SELECT component, min(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END) AS decision
+      FROM (SELECT address, rule FROM k UNION ALL SELECT b, rule FROM l) JOIN least USING (address) WHERE rule IS NOT NULL GROUP BY component),
+v AS (SELECT page_id, host, path, rule, component, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled
+      FROM k LEFT JOIN least USING (address))
+SELECT page_id, host, path, rule, coalesce(ruled, decision, 'allow') AS verdict, component FROM v LEFT JOIN d USING (component)
+"""
+
+ORACLES = {"op7_redirect_equivalence": REDIRECT_EQUIVALENCE, "op2_positional_index": POSITIONAL_INDEX, "op5_bbit_minhash": BBIT_MINHASH}

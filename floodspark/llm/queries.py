@@ -14,6 +14,7 @@ from floodspark.llm.pii import KINDS, find_pii, fit
 from floodspark.llm.postings import decontaminate
 from floodspark.llm.sentencepiece import encode
 from floodspark.llm.tokenstore import read_store, with_checksums, write_store
+from floodspark.llm.urls import judge
 
 
 def tokenizer_file(name: str) -> str:
@@ -55,6 +56,10 @@ def op6_minimal_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksums(read_store(write_store(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))))
 
 
+def op7_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op8_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
@@ -67,5 +72,6 @@ def op10_bwt_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash, op8_gear_chunks, op9_numpy_viterbi,
+QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash,
+                                  op7_redirect_equivalence, op8_gear_chunks, op9_numpy_viterbi,
                                   op10_bwt_expansion)}
