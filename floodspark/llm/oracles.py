@@ -56,4 +56,18 @@ v AS (SELECT page_id, host, path, rule, component, CASE WHEN rule IN ('net/', 'e
 SELECT page_id, host, path, rule, coalesce(ruled, decision, 'allow') AS verdict, component FROM v LEFT JOIN d USING (component)
 """
 
-ORACLES = {"op7_redirect_equivalence": REDIRECT_EQUIVALENCE, "op2_positional_index": POSITIONAL_INDEX, "op5_bbit_minhash": BBIT_MINHASH}
+COVER_TREE = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e
+      WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS r FROM e UNION SELECT reach.vec_id, y FROM reach JOIN l ON r = x),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+k AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = e.vec_id AS kept
+FROM e JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""
+
+ORACLES = {"op3_cover_tree": COVER_TREE,
+           "op7_redirect_equivalence": REDIRECT_EQUIVALENCE, "op2_positional_index": POSITIONAL_INDEX, "op5_bbit_minhash": BBIT_MINHASH}

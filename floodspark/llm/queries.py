@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floodspark.llm.bwt import without_repeats
 from floodspark.llm.chunks import deduplicated
 from floodspark.llm.common import table
+from floodspark.llm.covertree import near_vectors
 from floodspark.llm.language import identify, train
 from floodspark.llm.minhash import near_duplicates
 from floodspark.llm.pii import KINDS, find_pii, fit
@@ -43,6 +44,10 @@ def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
@@ -72,6 +77,6 @@ def op10_bwt_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash,
+QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op3_cover_tree, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash,
                                   op7_redirect_equivalence, op8_gear_chunks, op9_numpy_viterbi,
                                   op10_bwt_expansion)}
