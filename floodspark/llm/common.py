@@ -30,6 +30,17 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict = {}
+
+
+def kept(kind, source, make):
+    """The object of a kind that this Python worker keeps between tasks; made anew when it comes from another source."""
+    have = _KEPT.get(kind)
+    if have is None or have[0] is not source:
+        have = _KEPT[kind] = (source, make())
+    return have[1]
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and bounds of a string column without copying; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

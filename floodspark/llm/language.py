@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import stored
+from floodspark.llm.common import kept, stored
 
 ORDERS = (5, 4, 3, 2, 1)
 BACKOFF = 0.4
@@ -104,15 +104,22 @@ def score_word(word: str, model: dict) -> np.ndarray:
 
 
 class Scorer:
-    """Scores texts; remembers the score of up to ``limit`` tokens."""
-
-    def __init__(self, model: dict, limit: int = 200_000):
-        self.model, self.limit = model, limit
+    """Scores texts as ``score_word`` does, many new tokens at once; remembers the score of up to ``limit`` tokens."""
+
+    def __init__(self, model: dict, limit: int = 800_000):
+        self.langs, self.limit = model["langs"], limit
+        self.words, self.grams, tables, at = {}, {}, [], 0
+        for kind, units in model["units"].items():
+            step = ORDERS.index(kind) + 1 if kind else 0
+            (self.grams if kind else self.words).update({u: k + at for u, k in units.items()})
+            tables.append(BACKOFF ** step * model["weights"][kind])
+            at += len(units)
+        self.weights = np.concatenate(tables) if tables else np.zeros((0, 0))
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model["langs"])))
+        self.scores = np.zeros((1024, len(self.langs)))
 
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self.place]
@@ -121,20 +128,46 @@ class Scorer:
             new = list(tokens)
         need = len(self.place) + len(new)
         if need > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros((need, self.scores.shape[1]))])
+            self.scores = np.concatenate([self.scores, np.zeros((need, len(self.langs)))])
+        rows, starts, scales, owners = [], [], [], []
         for token in new:
             k = self.place[token] = len(self.place)
-            self.scores[k] = sum((score_word(w, self.model) for w in LETTERS.findall(token.lower())), np.zeros(self.scores.shape[1]))
+            for word in LETTERS.findall(token.lower()):
+                found = self.words.get(word)
+                if found is not None:
+                    starts.append(len(rows))
+                    scales.append(1.0)
+                    owners.append(k)
+                    rows.append(found)
+                    continue
+                for order in ORDERS:
+                    found = [self.grams[g] for g in grams(word, order) if g in self.grams]
+                    if found:
+                        starts.append(len(rows))
+                        scales.append(min(len(word), 8) / len(found))
+                        owners.append(k)
+                        rows += found
+                        break
+        if rows:
+            sums = np.add.reduceat(self.weights[rows], starts, axis=0) * np.array(scales)[:, None]
+            np.add.at(self.scores, owners, sums)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model["langs"] or not LETTERS.search(text):
+        if not text or not self.langs or not LETTERS.search(text):
             return "und", 0.0
         tokens = text.split()
-        self.learn(set(tokens))
+        if any(t not in self.place for t in tokens):
+            self.learn(set(tokens))
         total = self.scores[np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))].sum(0)
         likely = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.model["langs"][best], float(likely[best] / likely.sum())
+        return self.langs[best], float(likely[best] / likely.sum())
+
+
+def scorer_of(shared) -> Scorer:
+    """The scorer of a broadcast model; a Python worker keeps it, with what it remembers, between tasks."""
+    model = shared.value
+    return kept("language", model, lambda: Scorer(model))
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -147,7 +180,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
@@ -163,7 +196,7 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))

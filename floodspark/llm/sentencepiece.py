@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import BASE, mix, powers
+from floodspark.llm.common import BASE, kept, mix, powers
 
 MARK = "▁"
 FALLBACK = -20.0
@@ -172,7 +172,8 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        model = shared.value
+        encoder = kept("pieces", model, lambda: Encoder(model))
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
@@ -192,7 +193,8 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_file))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        model = shared.value
+        encoder = kept("pieces", model, lambda: Encoder(model))
         for batch in batches:
             texts = [encoder.decode(i or b"") for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

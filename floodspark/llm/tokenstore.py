@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import mix, scratch
+from floodspark.llm.common import kept, mix, scratch
 
 STORE = ("part long, chunk long, part_start long, n_docs long, n_ids long, n_null long, first_key long, last_key long, width int, "
          "keys binary, bounds binary, displacements binary, slots binary, fingerprints binary, payload binary")
@@ -121,7 +121,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str | None = None, e
     path = path or scratch(docs.sparkSession, "store")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer_file)
+        encoder = kept(("tokenizer", tokenizer_file), None, lambda: TextEncoder(tokenizer_file))
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         part, chunk, start = TaskContext.get().partitionId(), 0, 0
         keys: list = []
