@@ -67,8 +67,8 @@ def _hash_of(piece: str) -> np.uint64:
     return (mix(h) ^ np.uint64(len(piece)))[0]
 
 
-def viterbi(words: list[str], model: dict) -> list[np.ndarray]:
-    """The ids of the best segmentation of each word; all words have the same length.
+def viterbi(words: list[str], model: dict) -> list[bytes]:
+    """The ids (32-bit little-endian) of the best segmentation of each word; all words have the same length.
 
     The best has the greatest sum of piece scores; between equals the longer last piece wins.
     """
@@ -94,17 +94,29 @@ def viterbi(words: list[str], model: dict) -> list[np.ndarray]:
         best[:, end] = total[rows, pick]
         step[:, end] = pick + 1
         piece[:, end] = np.where(known[rows, pick], model["ids"][at[rows, pick]], -1)
-    out = []
-    for k, word in enumerate(words):
-        ids, end = [], length
-        while end:
-            if piece[k, end] >= 0:
-                ids.append(int(piece[k, end]))
-            else:
-                ids += model["byte_ids"][list(word[end - 1].encode("utf-8", "surrogatepass"))][::-1].tolist()
-            end -= int(step[k, end])
-        out.append(np.array(ids[::-1], np.uint32))
-    return out
+    ids, count, end, alive = np.zeros((n, length), "<u4"), np.zeros(n, np.int64), np.full(n, length), rows
+    plain = np.ones(n, bool)
+    while len(alive):
+        taken = piece[alive, end[alive]]
+        plain[alive] &= taken >= 0
+        ids[alive, length - 1 - count[alive]] = np.maximum(taken, 0)
+        count[alive] += 1
+        end[alive] -= step[alive, end[alive]]
+        alive = alive[end[alive] > 0]
+    return [ids[k, length - c:].tobytes() if whole else _with_bytes(words[k], piece[k], step[k], model)
+            for k, (c, whole) in enumerate(zip(count.tolist(), plain.tolist()))]
+
+
+def _with_bytes(word: str, piece: np.ndarray, step: np.ndarray, model: dict) -> bytes:
+    """The ids on the best path of a word that needs byte pieces."""
+    out, end = [], len(word)
+    while end:
+        if piece[end] >= 0:
+            out.append(int(piece[end]))
+        else:
+            out += model["byte_ids"][list(word[end - 1].encode("utf-8", "surrogatepass"))][::-1].tolist()
+        end -= int(step[end])
+    return np.array(out[::-1], "<u4").tobytes()
 
 
 class Encoder:
@@ -133,7 +145,7 @@ class Encoder:
             most = max(1, self.cells // (length * self.model["longest"]))
             for k in range(0, len(words), most):
                 for word, ids in zip(words[k:k + most], viterbi(words[k:k + most], self.model)):
-                    self.known[word] = ids.astype("<u4").tobytes()
+                    self.known[word] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; an empty text has none."""
