@@ -14,7 +14,7 @@ from floodspark.llm.queries import tokenizer_file
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that word-first backoff tells with a score of 0.5 or more."""
+    """Documents with a language that word-first backoff tells with a score of 0.3 or more."""
     return language.accepted(docs, language.train(docs))
 
 

@@ -23,8 +23,8 @@ from floodspark.llm.spans import row_key, without_ranges
 
 LENGTH, GRAM = 400, 64
 HAND = np.uint64(0x9FB21C651E98DF25)
-PLACES = "doc_row long, anchor long, at long, first int, last int, high long, low long"
-FOUND = "high long, low long, marks array<struct<first:int,last:int>>"
+PLACES = "doc_row long, anchor long, at long, first int, last int, name long"
+FOUND = "anchor long, name long, marks array<struct<first:int,last:int>>"
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -66,10 +66,10 @@ def windows(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def _digests(data: bytes, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """128 bits that name a context: its bytes and how far its first and last window lie before the anchor."""
-    out = [hashlib.blake2b(data[a:b + length], digest_size=16, salt=(p - a).to_bytes(8, "little") + (p - b).to_bytes(8, "little")).digest()
+    """64 bits that name a context among those of its anchor: its bytes and where its first and last window lie."""
+    out = [hashlib.blake2b(data[a:b + length], digest_size=8, salt=(p - a).to_bytes(8, "little") + (p - b).to_bytes(8, "little")).digest()
            for a, b, p in zip(first.tolist(), last.tolist(), at.tolist())]
-    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+    return np.frombuffer(b"".join(out), "<i8")
 
 
 def with_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -85,7 +85,7 @@ def with_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     first, last, at, mark = windows(text, length)
                     if len(first):
                         parts.append((np.full(len(first), keys[i + k]), mark.view(np.int64), at, at - first, at - last,
-                                      *_digests(text.tobytes(), first, last, at, length).T))
+                                      _digests(text.tobytes(), first, last, at, length)))
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int32() if n in (3, 4) else pa.int64())
                                                       for n, c in enumerate(zip(*parts))],
@@ -204,15 +204,15 @@ def _expanded(length: int, block_bytes: int):
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         names, marks = [], []
-        for (_, high, low, first, copies, text), found in zip(rows, repeated_starts([r[5] for r in rows], length)):
+        for (anchor, name, first, copies, _), found in zip(rows, repeated_starts([r[4] for r in rows], length)):
             if copies > 1:
                 found = np.ones_like(found)
             a, b = runs(found)
-            names.append((high, low))
+            names.append((anchor, name))
             marks.append([{"first": first - x, "last": first - y + 1} for x, y in zip(a.tolist(), b.tolist())])
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         return pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()),
-                                           pa.array(marks, kind)], names=["high", "low", "marks"])
+                                           pa.array(marks, kind)], names=["anchor", "name", "marks"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -223,9 +223,9 @@ def _expanded(length: int, block_bytes: int):
                     yield flush(rows)
                     rows, held = [], 0
                 group = row[0]
-                if not rows or rows[-1][1:3] != row[1:3]:
+                if not rows or rows[-1][:2] != row[:2]:
                     rows.append(row)
-                    held += len(row[5])
+                    held += len(row[4])
         if rows:
             yield flush(rows)
 
@@ -233,19 +233,18 @@ def _expanded(length: int, block_bytes: int):
 
 
 def _contexts(places: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The bytes of the distinct contexts of anchors that have several: group, name, first, last, copies, text."""
-    each = places.groupBy("anchor", "high", "low").agg(F.count("*").alias("copies"), F.min(F.struct("doc_row", "at", "first", "last")).alias("one"))
-    wanted = (each.select("one.doc_row", F.struct("anchor", "high", "low", "copies", "one.at", "one.first", "one.last").alias("w"))
+    """The bytes of the distinct contexts of the anchors: anchor, name, distance of the first window, copies, text."""
+    each = places.groupBy("anchor", "name").agg(F.count("*").alias("copies"), F.min(F.struct("doc_row", "at", "first", "last")).alias("one"))
+    wanted = (each.select("one.doc_row", F.struct("anchor", "name", "copies", "one.at", "one.first", "one.last").alias("w"))
               .groupBy("doc_row").agg(F.collect_list("w").alias("wanted")))
-    schema = "anchor long, high long, low long, first int, last int, copies long, text binary"
+    schema = "anchor long, name long, first int, copies long, text binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
-                rows = [(w["anchor"], w["high"], w["low"], w["first"], w["last"], w["copies"],
-                         raw[w["at"] - w["first"]:w["at"] - w["last"] + length]) for w in wanted]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                rows = [(w["anchor"], w["name"], w["first"], w["copies"], raw[w["at"] - w["first"]:w["at"] - w["last"] + length]) for w in wanted]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select("doc_row", "text").join(wanted, "doc_row").select("text", "wanted").mapInArrow(cut, schema)
@@ -266,8 +265,7 @@ def _split_places(places: DataFrame, docs: DataFrame, width: int, length: int) -
                                                         person=(a // width).to_bytes(8, "little")).digest(), "little", signed=True)
                          for anchor, at, a, b in parts]
                 at, first, last = (np.array([x[k] for x in parts]) for k in (1, 2, 3))
-                pairs = _digests(raw, at - first, at - last, at, length)
-                columns = (np.full(len(parts), key), names, at, first, last, *pairs.T)
+                columns = (np.full(len(parts), key), names, at, first, last, _digests(raw, at - first, at - last, at, length))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in (3, 4) else pa.int64()) for n, c in enumerate(columns)],
                                                  names=[c.split()[0] for c in PLACES.split(", ")])
 
@@ -286,28 +284,26 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 1
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_row", row_key())
     places, width = stored(with_places(docs, length), "places"), length - GRAM + 1
-    ready = []
+    every = None
     while True:
-        shared = stored(places.join(places.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchor").select(places.columns), "shared")
-        each = shared.groupBy("anchor", "high", "low").count()
-        sizes = stored(each.groupBy("anchor").agg(F.count("*").alias("contexts")), "sizes")
-        if width == 1 or sizes.filter(F.col("contexts") > most_contexts).limit(1).count() == 0:
-            ready.append(shared.join(sizes, "anchor"))
+        stats = stored(places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
+                       .filter("n > 1").select("anchor", "n", (F.col("low") < F.col("high")).alias("several")), "stats")
+        shared = stored(places.join(stats, "anchor").select(*places.columns, "n", "several"), "shared")
+        hot = stored(shared.filter(F.col("several") & (F.col("n") > most_contexts)).groupBy("anchor", "name").count()
+                     .groupBy("anchor").count().filter(F.col("count") > most_contexts).select("anchor"), "hot")
+        done = width == 1 or not hot.limit(1).count()
+        ready = shared if done else shared.join(hot, "anchor", "left_anti")
+        every = ready if every is None else every.unionByName(ready)
+        if done:
             break
-        sized = stored(shared.join(sizes, "anchor"), "sized")
-        ready.append(sized.filter(F.col("contexts") <= most_contexts))
         width = max(1, width // 4)
-        places = stored(_split_places(sized.filter(F.col("contexts") > most_contexts), docs, width, length), "split")
-    every = ready[0]
-    for more in ready[1:]:
-        every = every.unionByName(more)
-    every = stored(every, "anchors")
-    several = every.filter("contexts > 1")
-    marks = stored(_contexts(several, docs, length).repartition("anchor").sortWithinPartitions("anchor", "high", "low")
-                   .select("anchor", "high", "low", "first", "copies", "text").mapInArrow(_expanded(length, block_bytes), FOUND), "marks")
+        places = stored(_split_places(shared.join(hot, "anchor", "left_semi"), docs, width, length), "split")
+    several = every.filter("several")
+    marks = stored(_contexts(several, docs, length).repartition("anchor").sortWithinPartitions("anchor", "name")
+                   .mapInArrow(_expanded(length, block_bytes), FOUND), "marks")
     cut = lambda first, last: F.struct((F.col("at") - first).alias("start"), (F.col("at") - last + length).alias("end"))
-    whole = every.filter("contexts = 1").select("doc_row", F.array(cut(F.col("first"), F.col("last"))).alias("cut"))
-    part = several.select("doc_row", "at", "high", "low").join(marks.filter(F.size("marks") > 0), ["high", "low"]).select(
+    whole = every.filter("NOT several").select("doc_row", F.array(cut(F.col("first"), F.col("last"))).alias("cut"))
+    part = several.select("doc_row", "at", "anchor", "name").join(marks.filter(F.size("marks") > 0), ["anchor", "name"]).select(
         "doc_row", F.transform("marks", lambda m: cut(m["first"], m["last"])).alias("cut"))
     ranges = whole.union(part).groupBy("doc_row").agg(F.flatten(F.collect_list("cut")).alias("cut"))
     return without_ranges(docs, ranges)

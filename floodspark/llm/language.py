@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                        "text").mapInArrow(work, PREDICTED)
 
 
-def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     """The documents whose language the model tells with a score of at least ``least``; ``und`` is never accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
