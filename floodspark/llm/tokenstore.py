@@ -8,7 +8,9 @@ slices the payload; its time does not depend on the number of keys.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from floodspark.llm.common import kept, mix, scratch
 STORE = ("part long, chunk long, part_start long, n_docs long, n_ids long, n_null long, first_key long, last_key long, width int, "
          "keys binary, bounds binary, displacements binary, slots binary, fingerprints binary, payload binary")
 READ = "doc_id long, start long, n_tokens long, ids binary"
-BESIDE = re.compile(r"\s | (?=\s)")
+RARE = re.compile(r"[^\S \n]|\x00")
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,35 +33,52 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 class TextEncoder:
     """Ids of texts by the tokenizers library, unit by unit; remembers up to ``limit`` units.
 
-    A unit begins at a space between two other characters: the byte-level pre-tokenizer never joins what stands
-    before such a space with what follows, so the units' ids in turn are the text's ids.
+    A unit begins at a space or line end between two other characters: the byte-level pre-tokenizer never joins what
+    stands before such a place with what follows, so the units' ids in turn are the text's ids. Texts with any other
+    white space, or with several white spaces in a row, are cut at single spaces only.
     """
 
     def __init__(self, tokenizer_file: str, limit: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(tokenizer_file), limit, {"": b""}
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.forget()
 
-    def units(self, text: str) -> list[str]:
-        if BESIDE.search(text):
-            return BOUNDARY.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + r for r in rest)]
+    def forget(self) -> None:
+        #: Units without the space before them; a zero byte stands for a line end instead of the space.
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {"": b""}
+
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Units as they are, then units after a space or line end."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or text[:1] in (" ", "\n") or RARE.search(text):
+            return BOUNDARY.split(text), []
+        first, *rest = text.replace("\n", " \0").split(" ")
+        return [first], rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units(t) for t in texts]
-        wanted = set().union(*cut)
-        new = [u for u in wanted if u not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {"": b""}
-            new = [u for u in wanted if u]
-        kind = f"<u{self.width}"
-        for k in range(0, len(new), 10_000):
-            part = new[k:k + 10_000]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[unit] = np.array(found.ids, kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        cut = [self.cut(t) for t in texts]
+        found = [(list(map(self.plain.get, plain)), list(map(self.spaced.get, spaced))) for plain, spaced in cut]
+        gaps = [k for k, (a, b) in enumerate(found) if None in a or None in b]
+        if gaps:
+            plain = {u for k in gaps for u, f in zip(cut[k][0], found[k][0]) if f is None}
+            spaced = {u for k in gaps for u, f in zip(cut[k][1], found[k][1]) if f is None}
+            if len(self.plain) + len(self.spaced) + len(plain) + len(spaced) > self.limit:
+                self.forget()
+                plain, spaced = ({u for k in gaps for u in cut[k][side]} - {""} for side in (0, 1))
+            self.plain.update(self._encoded(list(plain), list(plain)))
+            self.spaced.update(self._encoded(list(spaced), ["\n" + u[1:] if u[0] == "\0" else " " + u for u in spaced]))
+            for k in gaps:
+                found[k] = list(map(self.plain.__getitem__, cut[k][0])), list(map(self.spaced.__getitem__, cut[k][1]))
+        return [b"".join(a + b) for a, b in found]
+
+    def _encoded(self, units: list[str], texts: list[str]):
+        code = "H" if self.width == 2 else "I"
+        for k in range(0, len(units), 10_000):
+            ids = self.tokenizer.encode_batch_fast(texts[k:k + 10_000], add_special_tokens=False)
+            yield from ((u, array(code, found.ids).tobytes()) for u, found in zip(units[k:k + 10_000], ids))
 
 
 def _hashed(keys: np.ndarray) -> np.ndarray:
