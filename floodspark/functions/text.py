@@ -57,7 +57,7 @@ def quantity_of(path: Column) -> Column:
 
 
 def epsg_code(text: Column) -> Column:
-    return _match(text, r"^(?:EPSG:|.*:)?(\d+)$").cast("int")
+    return _match(F.trim(text), r"^(?:EPSG:|.*:)?(\d+)$").cast("int")
 
 
 def diag_line(n_steps, last_dt_ms, max_speed, implied, wet_fraction, volume) -> Column:

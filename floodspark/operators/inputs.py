@@ -101,13 +101,13 @@ def boundary_ring(features: DataFrame, package: str = "package_id", feature: str
     return number_rows(v, [package], sector, order, "ring_seq").withColumn("ring_seq", F.col("ring_seq") - 1)
 
 
-def _zones(structures: DataFrame | None, zones: DataFrame | None) -> DataFrame | None:
+def _zones(structures: DataFrame | None, zones: DataFrame | None, on: Sequence[str] = ()) -> DataFrame | None:
     parts = []
     if structures is not None:
         parts.append(structures.where(F.col("method") == "Mannings").select(
-            "ring", F.lit(S.BUILDING_MANNINGS_N).alias("n"), F.lit(0).alias("layer"), F.lit(0).cast("bigint").alias("seq")))
+            *on, "ring", F.lit(S.BUILDING_MANNINGS_N).alias("n"), F.lit(0).alias("layer"), F.lit(0).cast("bigint").alias("seq")))
     if zones is not None:
-        parts.append(zones.select("ring", F.col("mannings").cast("double").alias("n"), F.lit(1).alias("layer"),
+        parts.append(zones.select(*on, "ring", F.col("mannings").cast("double").alias("n"), F.lit(1).alias("layer"),
                                   F.col("seq").cast("bigint").alias("seq")))
     if not parts:
         return None
@@ -118,72 +118,76 @@ def _zones(structures: DataFrame | None, zones: DataFrame | None) -> DataFrame |
 
 
 def assign_friction(cells: DataFrame, structures: DataFrame | None = None, zones: DataFrame | None = None,
-                    raster: DataFrame | None = None, key: str = "vid", size: float = BIN) -> DataFrame:
-    """Manning's n per cell.
+                    raster: DataFrame | None = None, key: str = "vid", size: float = BIN,
+                    on: Sequence[str] = ()) -> DataFrame:
+    """Manning's n per cell; ``on`` names columns that must agree, such as the package.
 
     Structures come first, then friction zones in feature order (``seq``),
     then the default. With a raster (key, n) zones do not apply and a cell
     that nothing covers has no value.
     """
-    patches = _zones(structures, None if raster is not None else zones)
+    on = list(on)
+    patches = _zones(structures, None if raster is not None else zones, on)
     out = cells
     if patches is not None:
         order = F.col("layer") * F.lit(2 ** 62) + F.col("seq")
         # Copies of a ring count once, with the value of the first.
-        rings = patches.withColumn("_o", order).groupBy("ring").agg(F.min_by("n", "_o").alias("n"), F.min("_o").alias("_o"))
-        hits = points_in_polygons(cells.select(key, "x", "y"), rings, size)
-        chosen = hits.groupBy(key).agg(F.min_by("n", "_o").alias("_patch"))
-        out = out.join(chosen, key, "left")
+        rings = patches.withColumn("_o", order).groupBy(*on, "ring").agg(F.min_by("n", "_o").alias("n"), F.min("_o").alias("_o"))
+        hits = points_in_polygons(cells.select(*on, key, "x", "y"), rings, size, on)
+        chosen = hits.groupBy(*on, key).agg(F.min_by("n", "_o").alias("_patch"))
+        out = out.join(chosen, [*on, key], "left")
     else:
         out = out.withColumn("_patch", F.lit(None).cast("double"))
     if raster is not None:
-        out = out.join(raster.select(key, F.col("n").alias("_base")), key, "left")
+        out = out.join(raster.select(*on, key, F.col("n").alias("_base")), [*on, key], "left")
         return out.withColumn("mannings", F.coalesce("_patch", "_base")).drop("_patch", "_base")
     return out.withColumn("mannings", F.coalesce("_patch", F.lit(S.DEFAULT_MANNINGS_N))).drop("_patch")
 
 
 def raised_hits(cells: DataFrame, structures: DataFrame, default_height: float | None = None, key: str = "vid",
-                structure_key: str = "structure_id", size: float = BIN) -> DataFrame:
+                structure_key: str = "structure_id", size: float = BIN, on: Sequence[str] = ()) -> DataFrame:
     """Pairs (cell, Raised structure, height) with the cell strictly inside."""
-    return points_in_polygons(cells.select(key, "x", "y"), _raised(structures, default_height, structure_key), size).select(
-        key, structure_key, "height")
+    return points_in_polygons(cells.select(*on, key, "x", "y"), _raised(structures, default_height, structure_key, on), size, on).select(
+        *on, key, structure_key, "height")
 
 
-def _raised(structures: DataFrame, default_height: float | None, structure_key: str) -> DataFrame:
+def _raised(structures: DataFrame, default_height: float | None, structure_key: str, on: Sequence[str] = ()) -> DataFrame:
     fallback = S.BURN_HEIGHT_M if default_height is None else float(default_height)
     return structures.where(F.col("method") == "Raised").select(
-        structure_key, "ring", F.coalesce(F.col("raised_height").cast("double"), F.lit(fallback)).alias("height"))
+        *on, structure_key, "ring", F.coalesce(F.col("raised_height").cast("double"), F.lit(fallback)).alias("height"))
 
 
 def raised_structures_hit(cells: DataFrame, structures: DataFrame, key: str = "vid", structure_key: str = "structure_id",
-                          size: float = BIN) -> DataFrame:
+                          size: float = BIN, on: Sequence[str] = ()) -> DataFrame:
     """Cells inside each Raised structure; one that holds no cell has no row."""
-    return raised_hits(cells, structures, None, key, structure_key, size).groupBy(structure_key).agg(F.count(F.lit(1)).alias("n_cells"))
+    return raised_hits(cells, structures, None, key, structure_key, size, on).groupBy(*on, structure_key).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 def apply_raised(cells: DataFrame, structures: DataFrame, default_height: float | None = None, key: str = "vid",
-                 structure_key: str = "structure_id", size: float = BIN) -> DataFrame:
+                 structure_key: str = "structure_id", size: float = BIN, on: Sequence[str] = ()) -> DataFrame:
     """Bed raised by every footprint a cell lies in; overlapping footprints add up."""
-    rings = _raised(structures, default_height, structure_key).groupBy("ring").agg(
+    on = list(on)
+    rings = _raised(structures, default_height, structure_key, on).groupBy(*on, "ring").agg(
         F.sum("height").alias("height"), F.count(F.lit(1)).alias("_n"))
-    lift = points_in_polygons(cells.select(key, "x", "y"), rings, size).groupBy(key).agg(
+    lift = points_in_polygons(cells.select(*on, key, "x", "y"), rings, size, on).groupBy(*on, key).agg(
         F.sum("height").alias("raised_by"), F.sum("_n").alias("n_structures"))
-    return (cells.join(lift, key, "left")
+    return (cells.join(lift, [*on, key], "left")
             .withColumn("raised_by", F.coalesce("raised_by", F.lit(0.0)))
             .withColumn("n_structures", F.coalesce("n_structures", F.lit(0).cast("bigint")))
             .withColumn("elevation", F.col("elevation") + F.col("raised_by")))
 
 
 def assign_nodes(catchments: DataFrame, nodes: DataFrame, key: str = "catchment_id", node_key: str = "node_id",
-                 size: float = BIN) -> DataFrame:
+                 size: float = BIN, on: Sequence[str] = ()) -> DataFrame:
     """The one node inside each catchment; none is skipped, several are an error."""
     # Nodes at one place are counted together before they meet the catchments.
-    places = nodes.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n"), F.min(node_key).alias(node_key))
-    hits = points_in_polygons(places, catchments.select(key, "ring"), size)
-    per = hits.groupBy(key).agg(F.sum("_n").alias("n_nodes"), F.min(node_key).alias("_node"), F.min_by("x", node_key).alias("_nx"), F.min_by("y", node_key).alias("_ny"))
+    on = list(on)
+    places = nodes.groupBy(*on, "x", "y").agg(F.count(F.lit(1)).alias("_n"), F.min(node_key).alias(node_key))
+    hits = points_in_polygons(places, catchments.select(*on, key, "ring"), size, on)
+    per = hits.groupBy(*on, key).agg(F.sum("_n").alias("n_nodes"), F.min(node_key).alias("_node"), F.min_by("x", node_key).alias("_nx"), F.min_by("y", node_key).alias("_ny"))
     n = F.coalesce("n_nodes", F.lit(0).cast("bigint"))
     one = F.col("n_nodes") == 1
-    return (catchments.join(per, key, "left").withColumn("n_nodes", n)
+    return (catchments.join(per, [*on, key], "left").withColumn("n_nodes", n)
             .withColumn(node_key, F.when(one, F.col("_node")))
             .withColumn("node_x", F.when(one, F.col("_nx"))).withColumn("node_y", F.when(one, F.col("_ny")))
             .withColumn("status", F.when(F.col("n_nodes") == 0, F.lit("skipped: no node")).when(one, F.lit("ok"))
@@ -201,7 +205,8 @@ def catchment_runoff(catchments: DataFrame, rainfall: DataFrame, package: str =
 def catchment_inflows(catchments: DataFrame, nodes: DataFrame, rainfall: DataFrame, key: str = "catchment_id",
                       node_key: str = "node_id", package: str = "package_id", index: str = "feature_id") -> DataFrame:
     """A surface inflow feature at the node of every catchment that has exactly one and some runoff."""
-    assigned = assign_nodes(catchments, nodes, key, node_key).where("status = 'ok'")
+    on = [package] if package in nodes.columns else []
+    assigned = assign_nodes(catchments, nodes, key, node_key, on=on).where("status = 'ok'")
     flows = catchment_runoff(assigned, rainfall, package, index).where(F.col("flow_m3_s") > 0)
     return flows.select(package, key, node_key, "node_x", "node_y", "flow_m3_s",
                         inflow_feature(F.col(node_key), F.col("node_x"), F.col("node_y"), F.col("flow_m3_s")).alias("feature"))

@@ -6,8 +6,13 @@ shuffle: the vertices of a line are already together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import edge_length, line_length
@@ -49,20 +54,44 @@ def dedupe_polyline(lines: DataFrame, floor: float, line: str = "line") -> DataF
     return out.where((F.size(line) >= 2) & (line_length(F.col(line)) >= floor))
 
 
+def _chord_keep(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices stay so that every other one lies within the tolerance of the chord that replaces it."""
+    keep = np.zeros(len(x), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(x) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        px, py, dx, dy = x[a + 1:b] - x[a], y[a + 1:b] - y[a], x[b] - x[a], y[b] - y[a]
+        length = np.hypot(dx, dy)
+        off = np.abs(dx * py - dy * px) / length if length > 0 else np.hypot(px, py)
+        k = int(np.argmax(off))
+        if off[k] > tolerance:
+            keep[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return keep
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _chord_places(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for xs, ys, tolerances in batches:
+        yield pd.Series([None if x is None or len(x) == 0 else np.flatnonzero(
+            _chord_keep(np.asarray(x, float), np.asarray(y, float), float(t))).astype(np.int32) for x, y, t in zip(xs, ys, tolerances)])
+
+
 def drop_collinear(lines: DataFrame, spacing: float | Column, line: str = "line") -> DataFrame:
-    """Removes inner vertices within a quarter of the spacing of their neighbours' chord, in one pass."""
+    """Removes inner vertices within a quarter of the spacing of the chord that then stands for them.
+
+    The chord is that of the line as it comes out, so a curve keeps its shape. One Arrow batch function over whole
+    lines: cutting at the farthest vertex has no form among the built-in functions.
+    """
     tol = F.lit(S.COLLINEAR_FRACTION) * (spacing if isinstance(spacing, Column) else F.lit(float(spacing)))
     v = F.col(line)
-    n = F.size(v)
-
-    def keep(p: Column, i: Column) -> Column:
-        a, b = F.get(v, i - 1), F.get(v, i + 1)
-        length = edge_length(a["x"], a["y"], b["x"], b["y"])
-        cross = F.abs((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
-        off = F.coalesce(cross / F.nullif(length, F.lit(0.0)), _apart(a, p))
-        return (i == 0) | (i == n - 1) | (off > tol)
-
-    return lines.withColumn(line, F.filter(v, keep))
+    coordinate = lambda name: F.transform(v, lambda p: p[name].cast("double"))
+    places = _chord_places(coordinate("x"), coordinate("y"), tol.cast("double"))
+    out = lines.withColumn("_places", places)
+    return out.withColumn(line, F.when(F.size(v) > 0, F.transform("_places", lambda i: F.get(v, i))).otherwise(v)).drop("_places")
 
 
 def densified(line: Column, spacing: Column) -> Column:

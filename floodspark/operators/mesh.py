@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import edge_length, triangle_angles, triangle_area
-from .ordered import exact_percentiles, first_at_min
+from ..session import checkpointed
+from .ordered import exact_percentiles, row_at_extreme
 
 
 def with_corners(vertices: DataFrame, triangles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -108,11 +109,13 @@ def mesh_inradius_stats(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     keys = list(keys)
     if not keys:
         return mesh_inradius_stats(cells.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
-    worst = first_at_min(F.col("inradius"), F.col("cell_id"))
+    # Radii stem from a three-way join that four readers share: written once.
+    cells = checkpointed(cells.select(*keys, "cell_id", "x", "y", "inradius", "min_angle"))
+    worst = row_at_extreme(cells, keys, "inradius", "cell_id", ["x", "y"], False)
     base = cells.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_triangles"), F.min("inradius").alias("inradius_min"),
-        F.min("min_angle").alias("min_angle_deg"),
-        F.min_by("x", worst).alias("worst_x"), F.min_by("y", worst).alias("worst_y"))
+        F.min("min_angle").alias("min_angle_deg")).join(
+            worst.withColumnsRenamed({"x": "worst_x", "y": "worst_y"}), keys, "left")
     ranks = exact_percentiles(cells, keys, "inradius", {"inradius_p5": 0.05, "inradius_median": 0.5})
     return base.join(ranks, keys).select(
         *keys, "n_triangles", "inradius_min", "inradius_p5", "inradius_median", "min_angle_deg",

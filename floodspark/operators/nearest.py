@@ -133,9 +133,19 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, query_key: Sequence
 
 def nearest_vertex(gauges: DataFrame, vertices: DataFrame, gauge_key: str = "gauge_id",
                    vertex_key: str = "vid", on: Sequence[str] = ()) -> DataFrame:
-    """Nearest vertex of each gauge with its distance, lowest index on ties."""
-    return k_nearest(gauges, vertices, 1, [gauge_key], vertex_key, on).withColumn(
+    """Nearest vertex of each gauge with its distance, lowest index on ties.
+
+    A gauge without two finite coordinates, or with no vertex to compare, is a row whose ``status`` says so.
+    """
+    on = list(on)
+    placed = lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)) & ~F.coalesce(F.isnan(c), F.lit(True))
+    good = placed(F.col("x")) & placed(F.col("y"))
+    near = k_nearest(gauges.where(good), vertices.where(good), 1, [gauge_key], vertex_key, on).withColumn(
         "distance", F.sqrt("d2")).drop("d2", "rank")
+    status = (F.when(~F.col("_good"), F.lit("error: no coordinates")).when(F.col(vertex_key).isNull(), F.lit("error: no vertex"))
+              .otherwise(F.lit("ok")))
+    return (gauges.select(*on, gauge_key, good.alias("_good")).join(near, [*on, gauge_key], "left")
+            .withColumn("status", status).drop("_good"))
 
 
 def grid_cells(box: DataFrame, resolution: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -153,22 +163,24 @@ def grid_cells(box: DataFrame, resolution: float, keys: Sequence[str] = ()) -> D
 
 def grid_knn(vertices: DataFrame, cells: DataFrame, value: str, k: int = S.K_NEAREST,
              boundary: DataFrame | None = None, holes: DataFrame | None = None,
-             vertex_key: str = "vid") -> DataFrame:
+             vertex_key: str = "vid", on: Sequence[str] = ()) -> DataFrame:
     """Inverse-distance mean of the k nearest vertices per cell.
 
     Cells outside the boundary or inside a hole are NaN; a vertex at the cell
     centre gives its value unweighted.
     """
-    cell = ["row_no", "col_no"]
+    on = list(on)
+    cell = [*on, "row_no", "col_no"]
+    vertices = checkpointed(vertices.select(*on, vertex_key, "x", "y", value))  # read for the box, each level and the leaves
     wanted = cells
     if boundary is not None:
-        wanted = points_in_polygons(cells, boundary.select("ring")).select(*cell, "x", "y").dropDuplicates(cell)
+        wanted = points_in_polygons(cells, boundary.select(*on, "ring"), on=on).select(*cell, "x", "y").dropDuplicates(cell)
     if holes is not None:
-        hit = points_in_polygons(wanted, holes.select("ring")).select(*cell).distinct()
+        hit = points_in_polygons(wanted, holes.select(*on, "ring"), on=on).select(*cell).distinct()
         wanted = wanted.join(hit, cell, "left_anti")
     if wanted is not cells:
         wanted = checkpointed(wanted)
-    near = k_nearest(wanted, vertices, k, cell, vertex_key).join(vertices.select(vertex_key, value), vertex_key)
+    near = k_nearest(wanted, vertices, k, cell[-2:], vertex_key, on).join(vertices.select(*on, vertex_key, value), [*on, vertex_key])
     weight = F.when(F.col("d2") > 0, 1.0 / F.sqrt("d2"))
     mixed = near.groupBy(*cell).agg(
         F.max(F.when(F.col("d2") == 0, F.struct(-F.col("rank"), F.col(value)))).alias("_same"),
@@ -178,10 +190,15 @@ def grid_knn(vertices: DataFrame, cells: DataFrame, value: str, k: int = S.K_NEA
 
 
 def gauge_scorecard(observations: DataFrame, peaks: DataFrame, gauge_key: str = "gauge_id",
-                    vertex_key: str = "vid") -> DataFrame:
-    """Per gauge: simulated peak at the nearest vertex against the field stage."""
-    near = nearest_vertex(observations, peaks.select(vertex_key, "x", "y"), gauge_key, vertex_key)
-    scored = (observations.join(near, gauge_key).join(peaks.select(vertex_key, "peak_stage"), vertex_key)
+                    vertex_key: str = "vid", on: Sequence[str] = ()) -> DataFrame:
+    """Per gauge: simulated peak at the nearest vertex against the field stage.
+
+    ``on`` names columns that must agree, such as the run. Gauges without a place or vertex are not scored.
+    """
+    on = list(on)
+    peaks = checkpointed(peaks.select(*on, vertex_key, "x", "y", "peak_stage"))
+    near = nearest_vertex(observations, peaks.select(*on, vertex_key, "x", "y"), gauge_key, vertex_key, on).where("status = 'ok'").drop("status")
+    scored = (observations.join(near, [*on, gauge_key]).join(peaks.select(*on, vertex_key, "peak_stage"), [*on, vertex_key])
               .withColumn("diff", F.col("peak_stage") - F.col("field_stage")))
     return scored.withColumn("passed", F.abs("diff") <= F.col("tolerance"))
 

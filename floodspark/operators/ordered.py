@@ -8,7 +8,6 @@ inside the buckets, and pass only one summary row per bucket across them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,30 +75,26 @@ def carry(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[st
 
 
 def first_at_max(value: Column, ident: Column) -> Column:
-    """One number whose maximum is the largest value and, among equals, the lowest id.
-
-    A number fits the fixed-width buffers of hash aggregation, where a struct
-    of both would make Spark sort all rows first. Values must not be negative,
-    ids must be below 1e16; NaN counts as missing.
-    """
-    return _order_number(value) - ident.cast("decimal(16,0)")
+    """Ordering whose maximum is the largest value and, among equals, the lowest id; NaN counts as missing."""
+    return F.when(value.isNotNull() & ~F.isnan(value), F.struct(value.alias("v"), (-ident).alias("i")))
 
 
 def first_at_min(value: Column, ident: Column) -> Column:
-    """One number whose minimum is the smallest value and, among equals, the lowest id."""
-    return _order_number(value) + ident.cast("decimal(16,0)")
-
-
-def _order_number(value: Column) -> Column:
-    """Exponent and mantissa of a double as one whole number: exact, and in the same order."""
-    one = 2 ** 52
-    held = F.least(value, F.lit(1.0e150))
-    exponent = F.floor(F.log2(held))
-    mantissa = ((held / F.pow(F.lit(2.0), exponent) - 1.0) * F.lit(float(one))).cast("bigint")
-    # least() skips nulls, so a missing value has to stay missing by itself.
-    number = (F.when(F.isnan(value) | value.isNull(), None)
-              .when(value > 1.0e-150, (exponent + 500) * F.lit(one) + mantissa).otherwise(F.lit(0).cast("bigint")))
-    return number.cast("decimal(19,0)") * F.lit(Decimal(10) ** 16)
+    """Ordering whose minimum is the smallest value and, among equals, the lowest id; NaN counts as missing."""
+    return F.when(value.isNotNull() & ~F.isnan(value), F.struct(value.alias("v"), ident.alias("i")))
+
+
+def row_at_extreme(df: DataFrame, keys: Sequence[str], value: str, ident: str, columns: Sequence[str], largest: bool) -> DataFrame:
+    """Per key: ``columns`` of the row with the largest or smallest value, the lowest id among equals.
+
+    The extreme is one fixed-width aggregation; only rows that reach it are
+    then ordered by id, so the bulk of the rows is never sorted.
+    """
+    keys, columns = list(keys), list(columns)
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value, ident, *columns)
+    best = known.groupBy(*keys).agg((F.max if largest else F.min)(value).alias("_best"))
+    tied = known.join(best, keys).where(F.col(value) == F.col("_best"))
+    return tied.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.col(ident)).alias("_at")).select(*keys, "_at.*")
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .ordered import first_at_max
+from .ordered import first_at_max, row_at_extreme
 from .spatial import BIN, bin_of, ring_tiles, _segment_bins
 from ..functions import inside_ring, ring_edges
 
@@ -42,7 +42,7 @@ def clip_counts(cells: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFram
 
 
 def flow_diagnostics(cells: DataFrame, cfl: float = 0.9, keys: Sequence[str] = ("run_id", "t")) -> DataFrame:
-    """Flow figures per run and step in one aggregation.
+    """Flow figures per run and step.
 
     ``cells`` carries stage, elevation, momenta, area, inradius, place and
     ``dt``, the last internal time step in seconds. Depth is taken over all
@@ -54,13 +54,17 @@ def flow_diagnostics(cells: DataFrame, cfl: float = 0.9, keys: Sequence[str] = (
     c = c.withColumn("speed", F.when(F.col("wet"), F.sqrt(F.col("xmom") / deep * (F.col("xmom") / deep) + F.col("ymom") / deep * (F.col("ymom") / deep))))
     wet = lambda v: F.when(F.col("wet"), v)
     fastest = first_at_max(F.col("speed"), F.col("cell_id"))
+    # A stream can't meet its own aggregate, so there the place is part of the one aggregation.
+    place = [F.max_by("x", fastest).alias("_x"), F.max_by("y", fastest).alias("_y")] if cells.isStreaming else []
     out = c.groupBy(*keys).agg(
         F.count_if("wet").alias("wet_cells"), F.count_if("is_full").alias("_full"),
         F.sum(wet(F.col("depth") * F.col("area"))).alias("_volume"),
         F.max(F.when(F.col("is_full"), F.col("depth"))).alias("_depth"),
-        F.max("speed").alias("_speed"),
-        F.max_by("x", fastest).alias("_x"), F.max_by("y", fastest).alias("_y"),
+        F.max("speed").alias("_speed"), *place,
         F.min(wet(F.col("inradius"))).alias("_r"), F.max("dt").alias("_dt"))
+    if not place:
+        at = row_at_extreme(c, keys, "speed", "cell_id", ["x", "y"], True)
+        out = out.join(at.withColumnsRenamed({"x": "_x", "y": "_y"}), keys, "left")
     zero = F.lit(0.0)
     return out.select(
         *keys, "wet_cells", (F.col("wet_cells") / F.greatest(F.lit(1), "_full")).alias("wet_fraction"),
@@ -127,26 +131,28 @@ def _segment_meets_box() -> Column:
 
 
 def raster_nodata_in_boundary(cells: DataFrame, rings: DataFrame, raster_keys: Sequence[str] = ("raster_id",),
-                              ring_key: str = "zone_id", size: float = BIN) -> DataFrame:
+                              ring_key: str = "zone_id", size: float = BIN, on: Sequence[str] = ()) -> DataFrame:
     """Number of nodata cells each boundary touches, per raster; zero counts are left out.
 
+    ``on`` names columns of rasters and boundaries that must agree, such as the package.
+
     A cell is touched when an edge of the ring meets its rectangle or when it
     lies wholly inside, which its centre then shows. Only nodata cells travel.
     """
-    raster_keys = list(raster_keys)
-    cell = [*raster_keys, "row_no", "col_no"]
+    raster_keys, on = list(raster_keys), list(on)
+    cell = list(dict.fromkeys([*on, *raster_keys, "row_no", "col_no"]))
     bad = with_nodata_flag(cells).where("is_nodata").select(*cell, "x", "y", "min_x", "max_x", "min_y", "max_y")
-    edges = (rings.select(ring_key, F.explode(ring_edges(F.col("ring"))).alias("e"))
-             .select(ring_key, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"),
+    edges = (rings.select(*on, ring_key, F.explode(ring_edges(F.col("ring"))).alias("e"))
+             .select(*on, ring_key, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"),
                      F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by")))
     in_bins = (bad.withColumn("gx", F.explode(F.sequence(bin_of(F.col("min_x"), size), bin_of(F.col("max_x"), size))))
                .withColumn("gy", F.explode(F.sequence(bin_of(F.col("min_y"), size), bin_of(F.col("max_y"), size)))))
-    touched = in_bins.join(_segment_bins(edges, size), ["gx", "gy"]).where(_segment_meets_box()).select(*cell, ring_key)
-    tiles = ring_tiles(rings.select(ring_key, "ring"), size)
+    touched = in_bins.join(_segment_bins(edges, size), [*on, "gx", "gy"]).where(_segment_meets_box()).select(*cell, ring_key)
+    tiles = ring_tiles(rings.select(*on, ring_key, "ring"), size)
     inside = (bad.withColumn("bx", bin_of(F.col("x"), size)).withColumn("by", bin_of(F.col("y"), size))
-              .join(tiles, ["bx", "by"]).where(inside_ring(F.col("x"), F.col("y"), F.col("edges"))).select(*cell, ring_key))
+              .join(tiles, [*on, "bx", "by"]).where(inside_ring(F.col("x"), F.col("y"), F.col("edges"))).select(*cell, ring_key))
     both = touched.unionByName(inside).distinct()
-    return both.groupBy(*raster_keys, ring_key).agg(F.count(F.lit(1)).alias("n_nodata")).withColumn(
+    return both.groupBy(*dict.fromkeys([*on, *raster_keys]), ring_key).agg(F.count(F.lit(1)).alias("n_nodata")).withColumn(
         "message", F.format_string("raster %s has %d nodata cells inside the boundary",
                                    F.concat_ws("/", *raster_keys), F.col("n_nodata")))
 
@@ -157,17 +163,20 @@ def frame_order(frames: DataFrame, keys: Sequence[str], step: str = "step") -> D
     return frames.select(*keys, step).distinct().withColumn("frame", rank)
 
 
-def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
+def compare_runs(a: DataFrame, b: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """|b − a| per cell and frame, frames paired by rank of their step.
 
-    Frames or cells on one side only give a row with ``status`` unmatched.
+    ``on`` names columns of both that tell pairs of runs apart. Frames or
+    cells on one side only give a row with ``status`` unmatched.
     """
+    on = list(on)
+
     def framed(df, side):
-        order = frame_order(df.withColumn("_s", F.lit(side)), ["_s"])
-        return df.join(order.drop("_s"), "step").select(
-            "frame", "row_no", "col_no", F.col("step").alias(f"step_{side}"), F.col("value").alias(f"value_{side}"))
+        order = frame_order(df.withColumn("_s", F.lit(side)), ["_s", *on])
+        return df.join(order.drop("_s"), [*on, "step"]).select(
+            *on, "frame", "row_no", "col_no", F.col("step").alias(f"step_{side}"), F.col("value").alias(f"value_{side}"))
 
-    both = framed(a, "a").join(framed(b, "b"), ["frame", "row_no", "col_no"], "full")
+    both = framed(a, "a").join(framed(b, "b"), [*on, "frame", "row_no", "col_no"], "full")
     matched = F.col("step_a").isNotNull() & F.col("step_b").isNotNull()
     return both.withColumn("diff", F.abs(F.col("value_b") - F.col("value_a"))).withColumn(
         "status", F.when(matched, F.lit("ok")).otherwise(F.lit("error: unmatched")))

@@ -211,7 +211,7 @@ SELECT n AS zone_id, min(r) AS cluster FROM reach GROUP BY n""")
 _NEAR = """near AS (SELECT g.gauge_id, v.vid, sqrt(power(v.x - g.x, 2) + power(v.y - g.y, 2)) AS distance,
   row_number() OVER (PARTITION BY g.gauge_id ORDER BY power(v.x - g.x, 2) + power(v.y - g.y, 2), v.vid) AS k FROM p_gauges g, {v} v)"""
 oracle("nearest_vertex", "p_gauges p_vertices", f"""WITH {_NEAR.format(v='p_vertices')}
-SELECT gauge_id, vid, {r6('distance', 'distance')} FROM near WHERE k = 1""")
+SELECT gauge_id, vid, {r6('distance', 'distance')}, 'ok' AS status FROM near WHERE k = 1""")
 _SCORE = f"""pk AS (SELECT v.vid, v.x, v.y, s.peak FROM p_vertices v JOIN (SELECT cell_id, max(stage) AS peak FROM p_cell_state GROUP BY 1) s ON s.cell_id = v.vid),
 {_NEAR.format(v='pk')},
 sc AS (SELECT n.gauge_id, n.vid, n.distance, pk.peak, pk.peak - g.field_stage AS diff, abs(pk.peak - g.field_stage) <= g.tolerance AS passed, g.field_stage
@@ -390,9 +390,10 @@ oracle("stuck_runs", "p_progress", """
 WITH l AS (SELECT *, epoch_us(lead(ts, 1, TIMESTAMP '2024-02-01 00:00:00') OVER (PARTITION BY run_id ORDER BY ts, seq)) - epoch_us(ts) AS silent_us FROM p_progress)
 SELECT run_id, seq, epoch_us(ts) AS last_event_us, silent_us FROM l WHERE silent_us > 86400000000 AND status NOT IN ('error', 'purchase')""")
 oracle("stuck_runs_live", "p_progress", """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC) AS k, max(ts) OVER () AS newest FROM p_progress)
-SELECT run_id, epoch_us(ts) AS last_event_us FROM r WHERE k = 1 AND status NOT IN ('error', 'purchase')
-  AND epoch_us(ts) // 1000 + 3600000 < epoch_us(newest) // 1000 - 600000""")
+WITH r AS (SELECT *, lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq) AS next, max(ts) OVER () AS newest FROM p_progress)
+SELECT run_id, epoch_us(ts) AS last_event_us FROM r WHERE status NOT IN ('error', 'purchase')
+  AND CASE WHEN next IS NULL THEN epoch_us(ts) // 1000 + 3600000 < epoch_us(newest) // 1000 - 600000
+           ELSE epoch_us(next) - epoch_us(ts) > 3600000000 END""")
 oracle("typed_events", "p_log p_progress", """
 SELECT seq, ['status', 'metric', 'file', 'heartbeat', 'progress', 'log'][seq % 6 + 1] AS kind,
   CASE seq % 6 WHEN 1 THEN 'memory_used' WHEN 2 THEN 'raster' END AS key,

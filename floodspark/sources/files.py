@@ -80,8 +80,8 @@ def read_vertex_states(spark: SparkSession, path: str) -> DataFrame:
 
 def _named_batch(df: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(path, r"run_diagnostics_(\d+)", 1).try_cast("bigint").alias("batch_number"),
-                     F.regexp_extract(path, r"outputs_([^/]+)/", 1).alias("run"))
+    return df.select("*", F.regexp_extract(path, r"(?:run_diagnostics_|batch_number=)(\d+)", 1).try_cast("bigint").alias("batch_number"),
+                     F.regexp_extract(path, r"(?:outputs_|/run=)([^/]+)/", 1).alias("run"))
 
 
 def _csv(reader):
@@ -89,8 +89,12 @@ def _csv(reader):
 
 
 def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
-    """Diagnostics files: a comment line with the mesh summary, a header, 14 columns."""
-    return _named_batch(_csv(spark.read).option("pathGlobFilter", "run_diagnostics_*").csv(path))
+    """Diagnostics files: a comment line with the mesh summary, a header, 14 columns.
+
+    Both layouts are read: ``outputs_<run>/run_diagnostics_<batch>`` and what ``write_diagnostics`` leaves, where
+    run and batch number are folders.
+    """
+    return _named_batch(_csv(spark.read).option("pathGlobFilter", "{run_diagnostics_*,part-*.csv}").csv(path))
 
 
 def diagnostics_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -98,15 +102,29 @@ def diagnostics_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_diagnostics(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Diagnostics as CSV below ``path``, each file with its header."""
+    """Diagnostics as CSV below ``path``, each file with its header.
+
+    Partition by ``run`` and ``batch_number`` for ``read_diagnostics`` to give both back.
+    """
     fields = [f.name for f in S.DIAGNOSTICS.fields]
     df.select(*partition_by, *fields).write.mode("append").partitionBy(*partition_by).option("header", True).csv(path)
 
 
 def read_run_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Run summaries, nested as written; files of another schema version are left out."""
-    return (spark.read.schema(S.RUN_SUMMARY).option("multiLine", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.json").json(path).where(F.col("schema_version") == S.SUMMARY_SCHEMA_VERSION))
+    """Run summaries, nested as written, with ``status``.
+
+    A file holds one document, over as many lines as it likes, or one document a line. A document of another schema
+    version is a row whose status names it.
+    """
+    found = lambda reader: reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    name = F.col("_metadata.file_path").alias("_file")
+    lines = found(spark.read).text(path).select(name, "value").where(F.get_json_object("value", "$.schema_version").isNotNull())
+    by_line = lines.select("_file", F.from_json("value", S.RUN_SUMMARY).alias("_d")).select("_file", "_d.*")
+    whole = found(spark.read.schema(S.RUN_SUMMARY).option("multiLine", True)).json(path).select("*", name)
+    rows = by_line.unionByName(whole.join(lines.select("_file").distinct(), "_file", "left_anti"))
+    known = F.col("schema_version") == S.SUMMARY_SCHEMA_VERSION
+    status = F.when(known, F.lit("ok")).otherwise(F.concat(F.lit("error: schema version "), F.coalesce("schema_version", F.lit("missing"))))
+    return rows.drop("_file").withColumn("status", status)
 
 
 def nest_run_summary(flat: DataFrame) -> DataFrame:

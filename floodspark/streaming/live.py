@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,11 +68,12 @@ def heartbeats_stream(events: DataFrame, interval_s: int = S.HEARTBEAT_S, key: s
     def fold(run, batches, state: GroupState):
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["us", "seq"])
-        kept = []
-        for us, seq in zip(rows["us"], rows["seq"]):
-            if last is None or us - last >= gap:
-                kept.append((run[0], int(us), int(seq)))
-                last = int(us)
+        us, seq = rows["us"].to_numpy(), rows["seq"].to_numpy()
+        kept, k = [], 0 if last is None else int(us.searchsorted(last + gap))
+        while k < len(us):  # from one heartbeat straight to the next
+            last = int(us[k])
+            kept.append((run[0], last, int(seq[k])))
+            k = int(us.searchsorted(last + gap))
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(kept, columns=[f.name for f in out.fields])
@@ -83,7 +85,11 @@ def heartbeats_stream(events: DataFrame, interval_s: int = S.HEARTBEAT_S, key: s
 
 def stuck_runs_stream(events: DataFrame, timeout_s: int = S.STUCK_AFTER_S, terminal: Sequence[str] = ("completed", "error"),
                       watermark: str = "10 minutes", key: str = "run_id") -> DataFrame:
-    """Runs silent for longer than the timeout without a terminal event, by event-time timers."""
+    """Every silence longer than the timeout after an event that is not terminal: (run, time of that event).
+
+    A silence that an event ends shows when that event comes; one still open shows by an event-time timer. Events
+    older than what a run has shown before count for nothing.
+    """
     out = T.StructType([events.schema[key], T.StructField("last_event_us", T.LongType())])
     done = tuple(terminal)
 
@@ -94,17 +100,21 @@ def stuck_runs_stream(events: DataFrame, timeout_s: int = S.STUCK_AFTER_S, termi
             if not ended:
                 yield pd.DataFrame([(run[0], last)], columns=[f.name for f in out.fields])
             return
-        last, ended = state.get if state.exists else (-1, False)
-        for batch in batches:
-            if len(batch):
-                newest = batch.loc[batch["us"].idxmax()]
-                if int(newest["us"]) > last:
-                    last, ended = int(newest["us"]), newest["status"] in done
-        state.update((last, bool(ended)))
+        last, ended = state.get if state.exists else (-1, True)
+        rows = pd.concat(list(batches)).sort_values(["us", "seq"])
+        rows = rows[rows["us"] >= last]
+        us = np.concatenate([[last], rows["us"].to_numpy(np.int64)])
+        over = np.concatenate([[ended], rows["status"].isin(done).to_numpy(bool)])
+        silent = np.flatnonzero((np.diff(us) > timeout_s * 1_000_000) & ~over[:-1])
+        if len(silent):
+            yield pd.DataFrame([(run[0], int(us[k])) for k in silent], columns=[f.name for f in out.fields])
+        last, ended = int(us[-1]), bool(over[-1])
+        state.update((last, ended))
         due = last // 1000 + timeout_s * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    slim = events.withWatermark("ts", watermark).select(key, "ts", F.unix_micros("ts").alias("us"), "status")
+    seq = F.col("seq").cast("bigint") if "seq" in events.columns else F.lit(0).cast("bigint")
+    slim = events.withWatermark("ts", watermark).select(key, "ts", F.unix_micros("ts").alias("us"), seq.alias("seq"), "status")
     return slim.groupBy(key).applyInPandasWithState(
         watch, out, T.StructType([T.StructField("last", T.LongType()), T.StructField("ended", T.BooleanType())]),
         "append", GroupStateTimeout.EventTimeTimeout)
@@ -152,14 +162,17 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str, keys: Sequence[str]
     repeated batch replaces itself. In update mode the newest row per key stands.
     """
     base = f"{shared_dir(spark).rstrip('/')}/drain-{uuid.uuid4().hex}"
-    schema = stream.schema
+    schema, numbers = stream.schema, []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        numbers.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
+    if not numbers:  # nothing was there to read
+        return spark.createDataFrame([], schema)
     written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
     if mode != "update":
         return written.drop("batch")
