@@ -38,6 +38,9 @@ SELECT run_id, t, wet_cells, {r6('wet_fraction', 'wet_fraction')}, {r6('volume_m
   {r6('max_speed_ms', 'max_speed_ms')}, {r6('peak_speed_x', 'peak_speed_x')}, {r6('peak_speed_y', 'peak_speed_y')},
   {r6('implied_max_speed_ms', 'implied_max_speed_ms')}, {r6('last_dt_ms', 'last_dt_ms')} FROM flow"""
 oracle("flow_diagnostics", "p_cell_state", f"WITH {_FLOW} {_FLOW_OUT}")
+oracle("diagnostics_files", "p_cell_state", f"""WITH {_FLOW}
+SELECT CAST(run_id AS STRING) AS run, CAST(floor(t / 3600) AS BIGINT) AS batch_number, wet_cells, {r6('CAST(t AS DOUBLE)', 'sim_time_s')},
+  {r6('wet_fraction', 'wet_fraction')}, {r6('volume_m3', 'volume_m3')} FROM flow""")
 oracle("flow_diagnostics_live", "p_cell_state", f"WITH {_FLOW} {_FLOW_OUT}")
 
 # The step counter grows evenly, so a delta is the counter's value less that of the latest earlier step.
@@ -71,6 +74,8 @@ oracle("run_summary", "p_cell_state", f"""WITH {_SUM}
 SELECT run_id, n_yieldsteps, total_internal_steps, max_steps_per_yieldstep, stable, outcome, {', '.join(r6(c, c) for c in _doubles)} FROM summary""")
 oracle("run_summary_documents", "p_cell_state", f"""WITH {_SUM}
 SELECT concat('run_', CAST(run_id AS STRING)) AS run_label, outcome, n_yieldsteps, stable, {r6('min_dt_ms', 'min_dt_ms')}, '1' AS schema_version FROM summary""")
+oracle("run_summary_files", "p_cell_state", f"""WITH {_SUM}
+SELECT concat('run_', CAST(run_id AS STRING)) AS run_label, outcome, n_yieldsteps, stable, {r6('min_dt_ms', 'min_dt_ms')}, '1' AS schema_version, 'ok' AS status FROM summary""")
 oracle("stalled_runs", "p_cell_state", f"""WITH {_SUM}
 SELECT run_id, outcome, {r6('timestep_collapse_ratio', 'timestep_collapse_ratio')}, {r6('min_dt_at_sim_s', 'min_dt_at_sim_s')}, {r6('min_dt_ms', 'min_dt_ms')}
 FROM summary WHERE outcome <> 'completed'""")
@@ -156,6 +161,21 @@ oracle("apply_raised", "p_vertices p_zones", f"""
 SELECT p.vid, {r6('max(p.elevation) + coalesce(sum(CASE WHEN z.zone_id IS NOT NULL THEN coalesce(z.raised_height, 5.0) END), 0.0)', 'elevation')},
   {r6('coalesce(sum(CASE WHEN z.zone_id IS NOT NULL THEN coalesce(z.raised_height, 5.0) END), 0.0)', 'raised_by')}, count(z.zone_id) AS n_structures
 FROM p_vertices p LEFT JOIN p_zones z ON {_IN} AND z.method = 'Raised' GROUP BY p.vid""")
+_SAME = "p.vid % 2 = z.zone_id % 2"
+oracle("assign_friction_fleet", "p_vertices p_zones", f"""
+SELECT vid % 2 AS package_id, vid, {r6(f'''CASE WHEN EXISTS (SELECT 1 FROM p_zones z WHERE {_SAME} AND {_IN} AND z.method = 'Mannings') THEN 10.0
+  ELSE coalesce((SELECT arg_min(z.mannings, z.zone_id) FROM p_zones z WHERE {_SAME} AND {_IN}), 0.04) END''', 'mannings')} FROM p_vertices p""")
+oracle("apply_raised_fleet", "p_vertices p_zones", f"""
+SELECT p.vid % 2 AS package_id, p.vid, {r6('max(p.elevation) + coalesce(sum(CASE WHEN z.zone_id IS NOT NULL THEN coalesce(z.raised_height, 5.0) END), 0.0)', 'elevation')},
+  count(z.zone_id) AS n_structures
+FROM p_vertices p LEFT JOIN p_zones z ON {_SAME} AND {_IN} AND z.method = 'Raised' GROUP BY p.vid""")
+oracle("target_area_fleet", "p_vertices p_zones", f"""
+SELECT p.vid % 2 AS package_id, p.vid, {r6('least(12.5, coalesce(min(z.resolution), 12.5))', 'target_area')} FROM p_vertices p LEFT JOIN p_zones z ON {_SAME} AND {_IN} GROUP BY p.vid""")
+oracle("nearest_vertex_fleet", "p_gauges p_vertices", f"""
+WITH near AS (SELECT g.gauge_id, v.vid, sqrt(power(v.x - g.x, 2) + power(v.y - g.y, 2)) AS distance,
+  row_number() OVER (PARTITION BY g.gauge_id ORDER BY power(v.x - g.x, 2) + power(v.y - g.y, 2), v.vid) AS k
+  FROM p_gauges g JOIN p_vertices v ON v.vid % 2 = g.gauge_id % 2)
+SELECT gauge_id % 2 AS package_id, gauge_id, vid, {r6('distance', 'distance')}, 'ok' AS status FROM near WHERE k = 1""")
 oracle("target_area", "p_vertices p_zones", f"""
 SELECT p.vid, {r6('least(12.5, coalesce(min(z.resolution), 12.5))', 'target_area')} FROM p_vertices p LEFT JOIN p_zones z ON {_IN} GROUP BY p.vid""")
 oracle("assign_nodes", "p_gauges p_zones", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions import line_length, normalise_manifest, rounded
 from ..operators import artefacts, forcing, inputs, lines as polylines, mesh, nearest, quality, results, runs, spatial, telemetry
-from ..session import configure
-from ..sources import nest_run_summary
+from ..schemas import DIAGNOSTICS
+from ..session import configure, shared_dir
+from ..sources import nest_run_summary, read_diagnostics, read_run_summaries, write_diagnostics, write_run_summaries
 from ..streaming import live
 from .probes import lines, view, zones
 
@@ -94,6 +96,30 @@ def run_summary_documents(spark, d):
                        "s.performance.min_dt_ms", "s.schema_version")
 
 
+@query
+def run_summary_files(spark, d):
+    """Summaries written and read back, several a file."""
+    doc = nest_run_summary(_summaries(spark, d).withColumn("run_label", F.concat(F.lit("run_"), "run_id")))
+    path = f"{shared_dir(spark).rstrip('/')}/summaries-{uuid.uuid4().hex}"
+    write_run_summaries(doc, path)
+    return read_run_summaries(spark, path).select(
+        "run.run_label", "run.outcome", "model.n_yieldsteps", "stability.stable", "performance.min_dt_ms", "schema_version", "status")
+
+
+@query
+def diagnostics_files(spark, d):
+    """Flow figures written as diagnostics and read back, run and batch number as folders."""
+    flow = results.flow_diagnostics(_cells(spark, d))
+    fields = {"t": "sim_time_s", "wet_fraction": "wet_fraction", "volume_m3": "volume_m3", "last_dt_ms": "last_dt_ms"}
+    rows = flow.select(F.col("run_id").cast("string").alias("run"), F.floor(F.col("t") / 3600).cast("bigint").alias("batch_number"), "wet_cells",
+                       *[F.col(a).cast("double").alias(b) for a, b in fields.items()])
+    for f in DIAGNOSTICS.fields:
+        rows = rows if f.name in rows.columns else rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    path = f"{shared_dir(spark).rstrip('/')}/diagnostics-{uuid.uuid4().hex}"
+    write_diagnostics(rows, path, ("run", "batch_number"))
+    return read_diagnostics(spark, path).select("run", "batch_number", "wet_cells", "sim_time_s", "wet_fraction", "volume_m3")
+
+
 @query
 def stalled_runs(spark, d):
     return runs.stalled_runs(_summaries(spark, d))
@@ -219,6 +245,35 @@ def apply_raised(spark, d):
         "vid", "elevation", "raised_by", "n_structures")
 
 
+def _fleet(df, key):
+    """Two packages over one area."""
+    return df.withColumn("package_id", F.col(key) % 2)
+
+
+@query
+def assign_friction_fleet(spark, d):
+    z = _fleet(zones(spark, d), "zone_id")
+    return inputs.assign_friction(_fleet(view(spark, d, "p_vertices"), "vid"), z, z.withColumn("seq", F.col("zone_id")), on=["package_id"]).select(
+        "package_id", "vid", "mannings")
+
+
+@query
+def apply_raised_fleet(spark, d):
+    cells, z = _fleet(view(spark, d, "p_vertices"), "vid"), _fleet(zones(spark, d), "zone_id")
+    return inputs.apply_raised(cells, z, structure_key="zone_id", on=["package_id"]).select("package_id", "vid", "elevation", "n_structures")
+
+
+@query
+def target_area_fleet(spark, d):
+    cells, z = _fleet(view(spark, d, "p_vertices"), "vid"), _fleet(zones(spark, d), "zone_id")
+    return spatial.target_area(cells, z, 5.0, on=["package_id"]).select("package_id", "vid", "target_area")
+
+
+@query
+def nearest_vertex_fleet(spark, d):
+    return nearest.nearest_vertex(_fleet(view(spark, d, "p_gauges"), "gauge_id"), _fleet(view(spark, d, "p_vertices"), "vid"), on=["package_id"])
+
+
 @query
 def target_area(spark, d):
     return spatial.target_area(view(spark, d, "p_vertices"), zones(spark, d), 5.0).select("vid", "target_area")
