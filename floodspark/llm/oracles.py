@@ -69,5 +69,21 @@ SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = e
 FROM e JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
 """
 
-ORACLES = {"op3_cover_tree": COVER_TREE,
+#: Bytes as pairs of hex digits; 400 of them are named by a 64-bit hash.
+BWT_EXPANSION = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+s AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d)),
+r AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+t AS (SELECT doc_id, i, i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 400 AS fresh FROM s SEMI JOIN r USING (k)),
+g AS (SELECT doc_id, i, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM t),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, g),
+q AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t FROM p
+      UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM p GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op10_bwt_expansion": BWT_EXPANSION, "op3_cover_tree": COVER_TREE,
            "op7_redirect_equivalence": REDIRECT_EQUIVALENCE, "op2_positional_index": POSITIONAL_INDEX, "op5_bbit_minhash": BBIT_MINHASH}
