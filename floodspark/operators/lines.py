@@ -18,7 +18,7 @@ from .. import schemas as S
 from ..functions import edge_length, line_length
 from ..functions.geometry import VERTICES
 from ..session import checkpointed
-from .spatial import clip_lines, held, node_lines
+from .spatial import clip_lines, connected_components, held, node_lines
 
 __all__ = ["segment_floor", "dedupe_polyline", "drop_collinear", "densified", "joined_parts", "condition_breaklines",
            "clip_lines", "node_lines"]
@@ -128,7 +128,7 @@ def condition_breaklines(breaklines: DataFrame, boundary: DataFrame, key: str =
 
     Clipped to the boundary, freed of collinear jitter, densified to each
     line's ``near_spacing``, deduplicated, and cut at every crossing. Pieces
-    under the floor go; the default floor follows the finest spacing.
+    under the floor shrink to a point; the default floor follows the finest spacing.
     """
     spacing = F.when(F.col("near_spacing") > 0, F.col("near_spacing")).otherwise(F.lit(float(default_spacing)))
     wanted = breaklines.where(F.size("line") >= 2).withColumn("_s", F.greatest(spacing, F.lit(1e-6)))
@@ -141,6 +141,25 @@ def condition_breaklines(breaklines: DataFrame, boundary: DataFrame, key: str =
     straight = drop_collinear(parts, F.col("_s")).select(*ident, "_s", held(F.col("line")).alias("line"))
     dense = straight.select(*ident, held(densified(F.col("line"), F.col("_s"))).alias("line"))
     ready = checkpointed(dedupe_polyline(dense, floor).select(F.struct(*ident).alias("_id"), "line"))
-    pieces = node_lines(ready, "_id")
-    return pieces.select("_id.*", "seg", "x0", "y0", "x1", "y1").where(
-        F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= floor)
+    pieces = checkpointed(node_lines(ready, "_id").select("_id", "seg", "t0", _node("x0", "y0").alias("p0"), _node("x1", "y1").alias("p1")))
+    pieces = _absorb_short(pieces, floor)
+    # Lines that lie on one another leave one piece, that of the least key.
+    first = pieces.groupBy(F.least("p0", "p1").alias("_a"), F.greatest("p0", "p1").alias("_b")).agg(
+        F.min(F.struct("_id", "seg", "t0", "p0", "p1")).alias("_s"))
+    return first.select("_s._id.*", "_s.seg", F.col("_s.p0.x").alias("x0"), F.col("_s.p0.y").alias("y0"),
+                        F.col("_s.p1.x").alias("x1"), F.col("_s.p1.y").alias("y1"))
+
+
+def _node(x: str, y: str) -> Column:
+    return F.struct(F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+def _absorb_short(pieces: DataFrame, floor: float) -> DataFrame:
+    """Pieces under the floor shrink to one node, which all lines that meet there then share, so none is broken."""
+    short = _apart(F.col("p0"), F.col("p1")) < floor
+    edges = pieces.where(short).select(F.col("p0").alias("a"), F.col("p1").alias("b"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    merged = checkpointed(connected_components(nodes, edges, "node"))
+    to = lambda p: merged.select(F.col("node").alias(p), F.col("cluster").alias(f"_{p}"))
+    moved = pieces.join(to("p0"), "p0", "left").join(to("p1"), "p1", "left")
+    return moved.select("_id", "seg", "t0", F.coalesce("_p0", "p0").alias("p0"), F.coalesce("_p1", "p1").alias("p1")).where("p0 <> p1")

@@ -128,3 +128,18 @@ def test_an_empty_stream_drains_to_no_rows(spark, tmp_path):
 def test_codes_are_trimmed(spark):
     got = spark.createDataFrame([(" EPSG:28355 ",), ("28355",)], "c string").select(epsg_code(F.col("c")).alias("e")).collect()
     assert [r.e for r in got] == [28355, 28355]
+
+
+def test_a_crossing_near_a_vertex_leaves_lines_whole(spark):
+    box = ring_rows(spark, {1: [(0, 0), (100, 0), (100, 100), (0, 100)]}, "zone_id")
+    rows = {1: [(10, 50), (50, 50), (90, 50)], 2: [(50.1, 10), (50.1, 90)], 3: [(10, 50), (50, 50), (90, 50)]}
+    table = line_rows(spark, rows, "line_id").withColumn("near_spacing", F.lit(40.0))
+    got = lines.condition_breaklines(table, box, floor=1.0).collect()
+    ends = {}
+    for r in got:
+        assert math.dist((r.x0, r.y0), (r.x1, r.y1)) >= 1.0
+        for p in ((r.x0, r.y0), (r.x1, r.y1)):
+            ends[p] = ends.get(p, 0) + 1
+    assert len(got) == len({frozenset([(r.x0, r.y0), (r.x1, r.y1)]) for r in got})
+    assert sorted(ends.values()) == [1, 1, 1, 1] + [2] * (len(ends) - 5) + [4]
+    assert {r.line_id for r in got} == {1, 2}
