@@ -18,9 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one; every executor can read and write it."""
-    return f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex[:12]}/{name}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex[:12]}")
+    return f"{_MADE[-1]}/{name}"
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this process has made so far; results that read them must be written before."""
+    conf, paths = spark._jsc.hadoopConfiguration(), [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _MADE]
+    _MADE.clear()
+    return sum(bool(p.getFileSystem(conf).delete(p, True)) for p in paths)
 
 
 def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
