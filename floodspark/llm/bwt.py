@@ -272,7 +272,7 @@ def _split_places(places: DataFrame, docs: DataFrame, width: int, length: int) -
     return docs.join(wanted, "doc_row").select("doc_row", "text", "wanted").mapInArrow(work, PLACES)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 1 << 22, most_contexts: int = 5_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 1 << 21, most_contexts: int = 2_500) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and the bytes that stay.
 
     Removed is every byte inside a string of ``length`` bytes that starts anywhere else too, in the same document or
