@@ -45,9 +45,10 @@ _KEPT: dict = {}
 
 
 def kept(kind, source, make):
-    """The object of a kind that this Python worker keeps between tasks; made anew when it comes from another source."""
+    """The one object that this Python worker keeps between tasks; another kind or source takes its place."""
     have = _KEPT.get(kind)
     if have is None or have[0] is not source:
+        _KEPT.clear()
         have = _KEPT[kind] = (source, make())
     return have[1]
 
