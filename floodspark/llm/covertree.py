@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import stored
+from floodspark.llm.common import BASE, mix, runs, stored
 from floodspark.llm.components import components
 
 SLACK = 1e-9
@@ -41,7 +41,7 @@ def cover(sample: np.ndarray, most: int) -> np.ndarray:
     chosen = [0]
     far = _distances(sample, sample[:1])[:, 0]
     radius = far.max()
-    while radius > SLACK and len(chosen) < most // 4:
+    while radius > SLACK and len(chosen) < max(2, most // 4):
         radius /= 2
         while len(chosen) < most and far.max() > radius:
             k = int(np.argmax(far))
@@ -75,11 +75,11 @@ def unit_points(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
     return each.mapInArrow(work, POINT)
 
 
-def build(points: DataFrame, leaf: int = 512, fan: int = 256, share: int = 20_000) -> tuple[DataFrame, list[DataFrame]]:
+def build(points: DataFrame, leaf: int = 4096, fan: int = 256, share: int = 20_000) -> tuple[DataFrame, list[DataFrame]]:
     """The points with their leaf, and for each level the table of its nodes: parent, child, centre, radius.
 
-    A node of more than ``leaf`` points is split by centres from ``fan`` of its points; parts of about ``share`` points
-    are dealt by one task each. A node whose points all coincide is cut by number.
+    A node of more than ``leaf`` points is split by centres from ``fan`` of its points, about two for each leaf that it
+    needs; parts of about ``share`` points are dealt by one task each. A node whose points all coincide is cut by number.
     """
     points, levels = stored(points, "points"), []
     while True:
@@ -103,7 +103,7 @@ def build(points: DataFrame, leaf: int = 512, fan: int = 256, share: int = 20_00
 def _centres(group: pd.DataFrame, fan: int, leaf: int) -> pd.DataFrame:
     node, size = group["node"].iloc[0], int(group["size"].iloc[0])
     matrix = _matrix(group.sort_values("k")["unit"])
-    chosen = cover(matrix, fan)
+    chosen = cover(matrix, max(2, min(fan, -(-2 * size // leaf))))
     if len(chosen) == 1:
         chosen = np.zeros(-(-size // leaf), np.int64)
     return pd.DataFrame({"node": node, "size": size, "child": [f"{node}/{k}" for k in range(len(chosen))],
@@ -117,7 +117,8 @@ def _dealt(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
     matrix, table = _matrix(mine["unit"]), _matrix(centres["centre"])
     child = centres["child"].to_numpy()
     if len(table) > 1 and (table == table[0]).all():
-        nearest = mine["rep"].to_numpy() % len(table)
+        deep = np.uint64(len(child[0]))  # another deal at every level
+        nearest = (mix(mine["rep"].to_numpy(np.int64).view(np.uint64) + deep * BASE) % np.uint64(len(table))).astype(np.int64)
     else:
         nearest = np.concatenate([np.argmax(matrix[k:k + 4096] @ table.T, 1) for k in range(0, len(matrix), 4096)])
     reach = np.sqrt(np.maximum(((matrix - table[nearest]) ** 2).sum(1), 0.0))
@@ -165,22 +166,69 @@ def _pruned(batches: Iterator[pa.RecordBatch], distance: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], names=["a", "b"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _packed(group: pd.DataFrame) -> pd.DataFrame:
+    """A leaf as one row, ordered by the nested centres of a cover of its own; ``sizes`` and ``reaches`` are by centre."""
+    units = _matrix(group["unit"])
+    centres = units[cover(units, 32)]
+    gaps = _distances(units, centres)
+    nearest = gaps.argmin(1)
+    order = np.argsort(nearest, kind="stable")
+    sizes = np.bincount(nearest, minlength=len(centres))
+    reaches = np.zeros(len(centres))
+    np.maximum.at(reaches, nearest, gaps.min(1))
+    rows = group.iloc[order]
+    return pd.DataFrame({"node": [group["node"].iloc[0]], "reps": [rows["rep"].to_numpy(np.int64).tobytes()], "copies": [rows["copies"].to_numpy(np.int64).tobytes()],
+                         "units": [units[order].tobytes()], "centres": [centres.tobytes()], "sizes": [sizes.astype(np.int64).tobytes()], "reaches": [reaches.tobytes()]})
+
+
+BLOCK = "node string, reps binary, copies binary, units binary, centres binary, sizes binary, reaches binary"
+
+
+def _opened(row: dict, side: str) -> tuple[np.ndarray, ...]:
+    whole = lambda name, kind: np.frombuffer(row[f"{name}_{side}"], kind)
+    reps, sizes = whole("reps", np.int64), whole("sizes", np.int64)
+    units, centres = whole("units", np.float64).reshape(len(reps), -1), whole("centres", np.float64).reshape(len(sizes), -1)
+    return reps, whole("copies", np.int64), units, centres, np.concatenate([[0], np.cumsum(sizes)]), whole("reaches", np.float64)
+
+
+def _near(left: tuple, right: tuple, cosine: float) -> np.ndarray:
+    """Which points of two leaves are linked; parts whose centres are too far apart are never compared."""
+    units_a, centres_a, at_a, reach_a = left[2:]
+    units_b, centres_b, at_b, reach_b = right[2:]
+    near = np.zeros((len(units_a), len(units_b)), bool)
+    close = _distances(centres_a, centres_b) <= reach_a[:, None] + reach_b[None, :] + np.sqrt(2.0 - 2.0 * cosine) + SLACK
+    for i in np.flatnonzero(close.any(1)):
+        rows = slice(at_a[i], at_a[i + 1])
+        for a, b in zip(*runs(close[i])):
+            columns = slice(at_b[a], at_b[b])
+            near[rows, columns] = units_a[rows] @ units_b[columns].T >= cosine
+    return near
+
+
+def _linked(batches: Iterator[pa.RecordBatch], cosine: float, step: int = 512) -> Iterator[pa.RecordBatch]:
     """Of each leaf pair: how many vectors each point is linked with across the pair, and a tree over linked points."""
+    top = np.iinfo(np.int64).max
     for batch in batches:
-        for a, b, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-            same = a == b
-            near = _matrix(p["unit"] for p in left) @ _matrix(p["unit"] for p in right).T >= cosine
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            left, right = _opened(row, "a"), _opened(row, "b")
+            same = row["a"] == row["b"]
+            near = _near(left, right, cosine)
             if same:
                 np.fill_diagonal(near, False)
-            rep_a, rep_b = (np.array([p["rep"] for p in side]) for side in (left, right))
-            n_a = near @ np.array([p["copies"] for p in right])
-            n_b = near.T @ np.array([p["copies"] for p in left])
+            (rep_a, copies_a), (rep_b, copies_b) = left[:2], right[:2]
+            n_a, n_b = np.zeros(len(rep_a)), np.zeros(len(rep_b))
+            for i in range(0, len(rep_a), step):
+                part = near[i:i + step].astype(np.float64)
+                n_a[i:i + step] = part @ copies_b
+                n_b += copies_a[i:i + step] @ part
             low_a, low_b = rep_a.copy(), rep_b.copy()
-            top = np.iinfo(np.int64).max
-            while True:
-                new_a = np.minimum(low_a, np.where(near, low_b[None, :], top).min(1, initial=top))
-                new_b = np.minimum(low_b, np.where(near, new_a[:, None], top).min(0, initial=top))
+            while n_a.any():
+                new_a, new_b = low_a.copy(), low_b.copy()
+                for i in range(0, len(rep_a), step):
+                    part = near[i:i + step]
+                    new_a[i:i + step] = np.minimum(new_a[i:i + step], np.where(part, low_b[None, :], top).min(1))
+                    new_b = np.minimum(new_b, np.where(part, new_a[i:i + step, None], top).min(0))
                 if same:
                     new_a = new_b = np.minimum(new_a, new_b)
                 if (new_a == low_a).all() and (new_b == low_b).all():
@@ -189,10 +237,10 @@ def _linked(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
             rows = [(rep_a, n_a, low_a)] if same else [(rep_a, n_a, low_a), (rep_b, n_b, low_b)]
             rep, n, low = (np.concatenate(x) for x in zip(*rows))
             keep = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (rep, n, low)], names=["rep", "n", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64), pa.int64()) for x in (rep, n, low)], names=["rep", "n", "low"])
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, leaf: int = 512, fan: int = 256) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, leaf: int = 4096, fan: int = 256) -> DataFrame:
     """One row per vector: vec_id, n_links (others with a cosine of at least ``cosine``), component_id, kept.
 
     Copies of a vector are one point with a count. Vectors that are null, zero, or hold null or non-finite components
@@ -202,9 +250,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, leaf: int = 512, fan:
     distance = float(np.sqrt(2.0 - 2.0 * cosine))
     points, levels = build(unit_points(vectors), leaf, fan)
     pairs = leaf_pairs(points, levels, distance)
-    blocks = stored(points.groupBy("node").agg(F.collect_list(F.struct("rep", "copies", "unit")).alias("points")), "blocks")
-    joined = (pairs.join(blocks.select(F.col("node").alias("a"), F.col("points").alias("left")), "a")
-              .join(blocks.select(F.col("node").alias("b"), F.col("points").alias("right")), "b").select("a", "b", "left", "right"))
+    blocks = stored(points.groupBy("node").applyInPandas(_packed, BLOCK), "blocks")
+    side = lambda name: blocks.select(*(F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in blocks.columns))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     found = stored(joined.mapInArrow(lambda batches: _linked(batches, cosine), "rep long, n long, low long"), "found")
     counts = points.select("rep", "copies").join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left")
     placed = counts.join(components(found, "rep", "low"), counts["rep"] == F.col("node"), "left").select(
