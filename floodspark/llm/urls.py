@@ -54,12 +54,56 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def tags(kind: str) -> Column:
+    return F.regexp_extract_all("html", F.lit(rf"(?i)<{kind}[\s/][^>]*>"), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute of that name, without quotes and outer space; null without one."""
+    all_of = F.regexp_extract_all(tag, F.lit(r"""[^\s"'>/=]+\s*=\s*(?:"[^">]*|'[^'>]*|[^\s"'>][^\s>]*)"""), F.lit(0))
+    named = F.get(F.filter(all_of, lambda a: a.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    return F.regexp_replace(F.regexp_replace(named, r"""^[^=]*=\s*["']?\s*""", ""), r"\s+$", "")
+
+
+def without_dots(url: Column) -> Column:
+    """A url without the . and .. segments of its path."""
+    path = path_of(url)
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda have, part: F.when(part == ".", have).when(
+        part == "..", F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(0)))).otherwise(F.concat(have, F.array(part))))
+    short = F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.lit("/"), F.array_join(kept, "/"), F.regexp_extract(url, r"(?s)^[^?#]*(.*)", 1))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), short).otherwise(url)
+
+
+def joined(target: Column, base: Column) -> Column:
+    """The url that a link names on a page of url ``base``, dots as they are. Null for schemes without ://, and where the
+    link is relative and the page has no host."""
+    root, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), path_of(base)
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (target == "") | (host_of(base) == ""), F.lit(None))
+            .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+            .when(target.startswith("/"), F.concat(root, target))
+            .when(target.rlike("^[?#]"), F.concat(root, path, target))
+            .otherwise(F.concat(root, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")), target)))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(address, target): from each page's plain address to the urls of its canonical link and its redirect, where it has any."""
-    tag = lambda kind: F.regexp_extract("html", rf"(?i)<{kind}[^>]*>", 0)
-    canonical = F.regexp_extract(tag(r"link\b[^>]*\brel=[\"']?canonical\b"), r"(?i)\bhref=[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(tag(r"meta\b[^>]*\bhttp-equiv=[\"']?refresh\b"), r"(?i)\burl=[\"']?([^\"'\s>]+)", 1)
-    return pages.select("address", F.explode(F.array(canonical, refresh)).alias("target")).filter("target LIKE '%://%'")
+    """(address, target): from each page's plain address to the urls of all its canonical links and redirects.
+
+    Relative links count from the page's base element, or else from its url.
+    """
+    canonical = F.transform(F.filter(tags("link"), lambda t: F.array_contains(F.split(small(attribute(t, "rel")), r"\s+"), "canonical")),
+                            lambda t: attribute(t, "href"))
+    after = lambda t: F.regexp_extract(attribute(t, "content"), r"""(?is)^\s*[\d.]*\s*(?:[;,]|\s)\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", 0)
+    named = lambda t: F.regexp_replace(F.regexp_replace(after(t), r"""(?i)^\s*[\d.]*\s*(?:[;,]|\s)\s*(?:url\s*=\s*)?["']?\s*""", ""), r"\s+$", "")
+    loose = lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    refresh = F.transform(F.filter(tags("meta"), lambda t: small(attribute(t, "http-equiv")) == "refresh"),
+                          lambda t: F.coalesce(F.nullif(named(t), F.lit("")), loose(t)))
+    href = F.get(F.filter(F.transform(tags("base"), lambda t: attribute(t, "href")), lambda h: h.isNotNull()), F.lit(0))
+    held = pages.select("address", "url", href.alias("href"), F.concat(canonical, refresh).alias("targets"))
+    based = held.select("address", F.coalesce(joined(F.col("href"), F.col("url")), "url").alias("base"), F.explode("targets").alias("target"))
+    whole = based.select("address", joined(F.col("target"), F.col("base")).alias("whole")).filter("whole IS NOT NULL")
+    return whole.select("address", without_dots(F.col("whole")).alias("target"))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -55,3 +55,22 @@ def test_added_redirects_and_empty_tables(spark):
     assert judge(pages, redirects=redirects).first().verdict == "block"
     assert judge(pages).first().verdict == "allow"
     assert judge(pages.limit(0)).count() == 0
+
+
+def test_every_tag_and_relative_links_count(spark):
+    link = lambda href, rel="canonical": f'<link rel="{rel}" href="{href}">'
+    to = lambda url: f'<meta http-equiv="Refresh" content="0; URL={url}">'
+    pages = [(1, "http://s.net/a/b?q", link("/up")), (2, "http://s.net/c/d", link("//p1.io/x")), (3, "http://s.net/e/", to("//p2.io/y")),
+             (4, "http://s.net/f", link("http://p3.io/1") + link("http://p4.io/1") + to("http://p5.io/1") + to("http://p6.io/1")),
+             (5, "http://s.net/g", link("http://p7.io/1", "alternate canonical")), (6, "http://s.net/h", "<link href = 'http://p8.io/1' rel = canonical>"),
+             (7, "http://s.net/i", '<base href="http://p9.io/k/l"><link rel=canonical href=../m>'), (8, "http://s.net/j", link("http://no.io/1", "alternate")),
+             (9, "http://s.net/k", '<link title="a href=http://no.io/2" rel=canonical href="http://p10.io/1">'), (10, "http://s.net/l", link("mailto:a@no.io")),
+             (11, "http://r.io/a/b", to("../c/./d")), (12, "http://r.io/c/d", link("http://bad.net/")), (13, "http://r.io", to("e?u=http://no.io/3")),
+             (14, "http://r.io/e", to("http://bad.net/")), (15, "http://s.net/m", "<meta http-equiv=refresh content='0 ; \"http://p11.io/1\"'>")]
+    blocked = ["http://p1.io/x", "http://p2.io/y", *(f"http://p{k}.io/1" for k in (3, 4, 5, 6, 7, 8, 10, 11)), "http://p9.io/m"]
+    clean = ["http://no.io/1", "http://no.io/2", "http://no.io/3", "http://p9.io/k/l"]
+    rows = pages + [(100 + k, u, "") for k, u in enumerate(blocked)] + [(200 + k, u, "") for k, u in enumerate(clean)]
+    found = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {u: found[100 + k].verdict for k, u in enumerate(blocked)} == dict.fromkeys(blocked, "block")
+    assert {u: found[200 + k].verdict for k, u in enumerate(clean)} == dict.fromkeys(clean, "allow")
+    assert found[1].component == "s.net/a/b" and [found[k].verdict for k in (11, 13)] == ["block", "block"]
