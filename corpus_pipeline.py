@@ -7,10 +7,12 @@ documents with benchmark passages go; personal data is masked; the last stage re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from floodspark.llm import language, minhash, pii, postings, sentencepiece
 from floodspark.llm.common import stored, table
 from floodspark.llm.queries import tokenizer_file
+from floodspark.llm.spans import row_key
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +21,17 @@ def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least key of each near-duplicate group; rows that repeat a key stay together."""
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The row with the least key of each near-duplicate group; of several, the least by the hash of its text. A null key
+    comes last. Rows are told apart by a number of their own, so rows that share a key, or have none, are several."""
+    rows = stored(docs.withColumn("near_row", F.monotonically_increasing_id()), "rows")
+    found = stored(minhash.near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text"))
+                   .select(F.col("doc_id").alias("near_row"), F.col("component_id").alias("near_group")), "groups")
+    ranked = rows.select("near_row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", row_key().alias("twin"), "near_row").alias("rank"))
+    later = found.filter("near_row <> near_group").select("near_row", "near_group")
+    several = later.union(later.select("near_group", "near_group").distinct())
+    stays = several.join(ranked, "near_row").groupBy("near_group").agg(F.min("rank")["near_row"].alias("near_row")).select("near_row")
+    gone = several.select("near_row").join(stays, "near_row", "left_anti")
+    return rows.join(gone, "near_row", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,17 +115,18 @@ def deduplicated(docs: DataFrame, least_bytes: int = 64) -> DataFrame:
 
     A chunk is repeated if its digest occurs elsewhere, in the same document or another, and it stands in a run of such
     chunks of ``least_bytes`` or more: shorter ones are common phrases, not passages. All but the first of its
-    occurrences, by doc_id and place, are removed. Null or empty text: no chunks. A null doc_id comes after all others.
+    occurrences, by doc_id and place, are removed. Null or empty text: no chunks. A null doc_id comes after all others;
+    different rows of one doc_id, or of none, follow one another by the hash of their text.
     Rows that repeat a doc_id with its text count as one document and get the same result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_row", row_key())
-    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "doc_row")
     chunks = stored(with_chunks(docs), "chunks")
-    each = chunks.groupBy("high", "low").agg(F.min(last).alias("first_doc"), F.max(last).alias("last_doc"), F.max("again").alias("within"),
+    each = chunks.groupBy("high", "low").agg(F.min(order)["doc_row"].alias("first_row"), F.max("again").alias("within"),
                                              F.min("doc_row").alias("low_row"), F.max("doc_row").alias("high_row"))
-    repeated = stored(each.filter("first_doc < last_doc OR within OR low_row < high_row").select("high", "low", "first_doc"), "repeated")
+    repeated = stored(each.filter("within OR low_row < high_row").select("high", "low", "first_row"), "repeated")
     hit = chunks.join(repeated, ["high", "low"]).select(
-        "doc_row", "at", (F.col("at") + F.col("size")).alias("end"), ((last == F.col("first_doc")) & ~F.col("again")).alias("first")).distinct()
+        "doc_row", "at", (F.col("at") + F.col("size")).alias("end"), ((F.col("doc_row") == F.col("first_row")) & ~F.col("again")).alias("first")).distinct()
     listed = hit.groupBy("doc_row").agg(F.array_sort(F.collect_list(F.struct("at", "end", "first"))).alias("hits"))
     counted = chunks.groupBy("doc_row").agg((F.max("place") + 1).cast("long").alias("n_chunks"))
     cuts = listed.mapInArrow(lambda batches: _cuts(batches, least_bytes), "doc_row long, n_repeated long, cut array<struct<start:long,end:long>>")

@@ -62,6 +62,14 @@ def test_pipeline(spark, con):
         before = after.cache()
 
 
+def test_near_copies_are_told_by_row_not_by_key(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (4, text(3)), (4, text(4)), (None, text(5)), (9, text(5)), (6, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(1, text(1)), (None, text(2)), (3, text(3)), (4, text(4)), (9, text(5)), (6, None), (6, None)]))
+
+
 def test_pipeline_edges(spark, edge_docs, no_docs):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (edge_docs.select(names), no_docs.select(names)):

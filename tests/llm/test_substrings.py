@@ -52,6 +52,17 @@ def test_first_copy_stays(spark):
     assert all(len(r.kept) == r.n_bytes - r.n_removed for r in found.values())
 
 
+def test_one_of_different_rows_with_one_key_or_none_keeps_a_passage(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for key in (7, None):
+        passage = " ".join(word() for _ in range(60))
+        rows = [(key, f"{word()} {passage} {word()}") for _ in range(3)]
+        found = chunks.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r.n_removed > 250 for r in found) == [False, True, True]
+        assert sorted(r.n_removed for r in found)[0] == 0 and all(r.n_repeated > 2 for r in found)
+
+
 def test_chunk_edges(spark, edge_docs, no_docs):
     rows = chunks.deduplicated(edge_docs).collect()
     assert Counter((r.doc_id, r.n_bytes) for r in rows) == Counter((r.doc_id, len((r.text or "").encode())) for r in edge_docs.collect())
