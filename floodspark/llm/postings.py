@@ -8,19 +8,20 @@ shuffled: a row answers for its own documents.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.llm.common import byte_table, stored, text_blocks, utf8, word_hashes
 
 WORD_BYTES = byte_table(inside=bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
-INDEX = "doc_ids array<long>, n_words binary, terms binary, counts binary, steps binary"
+INDEX = "name string, doc_ids array<long>, n_words binary, terms binary, counts binary, steps binary"
 FOUND = "doc_id long, n_words long, n_hit long, items array<long>, starts array<long>, lengths array<long>"
 WINDOW = 10
 
@@ -29,10 +30,13 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", row_by
     """Token postings of all documents, one row per run of documents of about ``row_bytes``.
 
     Terms are 64-bit hashes of words; positions are kept as steps from one posting to the next. A null text has no
-    words; a null or repeated key is kept as it is. Words are ``WORD_BYTES`` after A-Z became a-z.
+    words; a null or repeated key is kept as it is. Words are ``WORD_BYTES`` after A-Z became a-z. ``name`` differs between
+    all rows, also of several indexes: this index, the partition and the place in it.
     """
+    made = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, j, block, bounds in text_blocks(*utf8(batch.column(1)), size=row_bytes):
                 words, _, _, counts = word_hashes(block, bounds, WORD_BYTES)
@@ -42,10 +46,11 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", row_by
                 each = np.diff(np.append(first, len(words)))
                 steps = np.diff(order, prepend=0)
                 blobs = [counts.astype("<i8"), ordered[first].astype("<u8"), each.astype("<i4"), steps.astype("<i4")]
+                n += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
+                    [pa.array([f"{made}:{here}:{n}"], pa.string()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
                      *(pa.array([b.tobytes()], pa.binary()) for b in blobs)],
-                    names=["doc_ids", "n_words", "terms", "counts", "steps"])
+                    names=["name", "doc_ids", "n_words", "terms", "counts", "steps"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, INDEX)
 
@@ -136,7 +141,8 @@ def search(index: DataFrame, phrases: DataFrame, span: int | None = None, block:
 
     ``items``, ``starts`` and ``lengths`` list the matches: item, first word and length in words; ``n_hit`` counts the
     words inside matches. With ``span`` a match is a place of the phrase's rarest term that has all others within so
-    many words, listed with length 1. Phrases are searched in blocks; results of several blocks are joined by document.
+    many words, listed with length 1. Phrases are searched in blocks; results of several blocks are joined by document,
+    for which the index should be stored: it is read once a block.
     """
     parts = []
     for wanted in _phrase_blocks(phrases, block):
@@ -190,7 +196,7 @@ def _searcher(shared, span: int | None):
                         size = len(phrase) if span is None else 1
                         for item in items[q]:
                             hits.append((np.full(len(found), item), found, np.full(len(found), size)))
-                yield _found_rows(row, hits, hashlib.blake2b(batch.column("n_words")[k].as_buffer() , digest_size=8).hexdigest())
+                yield _found_rows(row, hits, batch.column("name")[k].as_py())
 
     return work
 
@@ -205,7 +211,7 @@ def _found_rows(row: IndexRow, hits: list, name: str) -> pa.RecordBatch:
     n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[row.doc_starts])
     bounds = pa.array(np.searchsorted(home, np.arange(n + 1)), pa.int32())
     lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (item, start - row.doc_starts[home], size)]
-    ids = pa.array([f"{name}:{row.doc_ids[0]}:{k}" for k in range(n)], pa.string())
+    ids = pa.array([f"{name}:{k}" for k in range(n)], pa.string())
     return pa.RecordBatch.from_arrays([ids, pa.array(row.doc_ids, pa.int64()), pa.array(row.n_words, pa.int64()),
                                        pa.array(n_hit, pa.int64()), *lists],
                                       names=["doc_row", "doc_id", "n_words", "n_hit", "items", "starts", "lengths"])

@@ -48,6 +48,15 @@ def test_hits(spark):
     assert result(postings.search(index, phrases, block=2)) == want
 
 
+def test_rows_alike_keep_their_own_results_over_several_blocks(spark):
+    rows = [(1, "tiny item"), (None, "tiny item"), (None, "the the"), (1, "the the")] * 2
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    index = stored(postings.build_index(docs), "index")
+    assert result(postings.search(index, postings.phrase_windows(items), block=2)) == scan(rows, [i for i in ITEMS if i[0] is not None])
+    assert index.select("name").distinct().count() == len(rows)
+
+
 def test_matches_name_place_and_length(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame([(11, "tiny item")], "item_id long, text string")
     row = postings.decontaminate(docs, items).filter("doc_id = 3").first()
