@@ -113,18 +113,28 @@ def write_diagnostics(df: DataFrame, path: str, partition_by: tuple[str, ...] =
 def read_run_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Run summaries, nested as written, with ``status``.
 
-    A file holds one document, over as many lines as it likes, or one document a line. A document of another schema
-    version is a row whose status names it.
+    A file holds one document, over as many lines as it likes, or one document a line: it does where the first line that
+    is not blank is an object, or another one is and the first opens neither an object nor an array. Every line of such
+    a file that is not blank is a row. A document of another schema version, without one, or broken is a row whose
+    status says so.
     """
     found = lambda reader: reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     name = F.col("_metadata.file_path").alias("_file")
-    lines = found(spark.read).text(path).select(name, "value").where(F.get_json_object("value", "$.schema_version").isNotNull())
-    by_line = lines.select("_file", F.from_json("value", S.RUN_SUMMARY).alias("_d")).select("_file", "_d.*")
-    whole = found(spark.read.schema(S.RUN_SUMMARY).option("multiLine", True)).json(path).select("*", name)
-    rows = by_line.unionByName(whole.join(lines.select("_file").distinct(), "_file", "left_anti"))
+    sound = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)) & F.col("value").rlike(r"\}\s*$")
+    lines = found(spark.read).text(path).select(
+        name, "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("_at"),
+        sound.alias("_sound")).where(F.col("value").rlike(r"\S"))
+    first = F.min_by(F.struct(F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"), "_sound"), "_at")
+    by_lines = lines.groupBy("_file").agg(first.alias("_first"), F.max(F.col("_sound") & F.col("value").startswith("{")).alias("_any")).where(
+        F.col("_first._sound") | (F.col("_any") & ~F.col("_first.text").startswith("[") & (F.col("_first.text") != "{"))).select("_file")
+    by_line = lines.join(by_lines, "_file", "left_semi").select("_file", "_sound", F.from_json("value", S.RUN_SUMMARY).alias("_d")).select(
+        "_file", "_sound", "_d.*")
+    whole = found(spark.read.schema(S.RUN_SUMMARY).option("multiLine", True)).json(path).select("*", name, F.lit(True).alias("_sound"))
+    rows = by_line.unionByName(whole.join(by_lines, "_file", "left_anti"))
     known = F.col("schema_version") == S.SUMMARY_SCHEMA_VERSION
-    status = F.when(known, F.lit("ok")).otherwise(F.concat(F.lit("error: schema version "), F.coalesce("schema_version", F.lit("missing"))))
-    return rows.drop("_file").withColumn("status", status)
+    status = F.when(~F.col("_sound"), F.lit("error: broken JSON")).when(known, F.lit("ok")).otherwise(
+        F.concat(F.lit("error: schema version "), F.coalesce("schema_version", F.lit("missing"))))
+    return rows.withColumn("status", status).drop("_file", "_sound")
 
 
 def nest_run_summary(flat: DataFrame) -> DataFrame:

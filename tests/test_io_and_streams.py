@@ -177,3 +177,17 @@ def test_typed_lines(spark):
     assert (got[2].key, got[2].value) == ("raster", "a/b -> c.tif") and (got[3].pct, got[3].eta_s) == (12.5, 90) and got[4].eta_s is None
     p = got[5]
     assert (p.n_steps, p.dt_ms, p.vmax, p.v_impl, p.wet_pct, p.volume) == (480, 125.0, 2.1, 2.2, 23.0, 1234.0)
+
+
+def test_run_summary_lines_without_version_or_broken_keep_their_rows(spark, tmp_path):
+    good, bare, cut = '{"schema_version": "%s", "run": {"run_label": "g"}}' % sources.files.S.SUMMARY_SCHEMA_VERSION, '{"run": {"run_label": "b"}}', '{"schema_version": "1", "run": {"run_'
+    files = {"mixed": [good, bare, "", cut, good], "bare": [bare, bare, bare], "cut_first": [cut, bare, bare], "array": ["[", good + ",", good, "]"],
+             "whole": json.dumps(json.loads(good), indent=1).split("\n"), "whole_bare": json.dumps(json.loads(bare), indent=1).split("\n")}
+    for name, rows in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(rows) + "\n")
+    of = lambda name: sorted(r.status for r in sources.read_run_summaries(spark, str(tmp_path / name)).collect())
+    missing, broken = "error: schema version missing", "error: broken JSON"
+    assert {name: of(name) for name in files} == {
+        "mixed": [broken, missing, "ok", "ok"], "bare": [missing] * 3, "cut_first": [broken, missing, missing], "array": ["ok", "ok"],
+        "whole": ["ok"], "whole_bare": [missing]}
