@@ -9,10 +9,13 @@ from floodspark.llm.bwt import without_repeats
 from floodspark.llm.chunks import deduplicated
 from floodspark.llm.common import table
 from floodspark.llm.covertree import near_vectors
+from floodspark.llm.hnsw import nearest_vectors
+from floodspark.llm.impacts import ranked
 from floodspark.llm.language import identify, train
 from floodspark.llm.minhash import near_duplicates
 from floodspark.llm.pii import KINDS, find_pii, fit
 from floodspark.llm.postings import decontaminate
+from floodspark.llm.segments import hard_negatives
 from floodspark.llm.sentencepiece import encode
 from floodspark.llm.tokenstore import read_store, with_checksums, write_store
 from floodspark.llm.urls import judge
@@ -77,6 +80,19 @@ def op10_bwt_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op11_segment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_small_world_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_positional_index, op3_cover_tree, op4_word_backoff_language, op5_bbit_minhash, op6_minimal_perfect_hash,
-                                  op7_redirect_equivalence, op8_gear_chunks, op9_numpy_viterbi,
-                                  op10_bwt_expansion)}
+                                  op7_redirect_equivalence, op8_gear_chunks, op9_numpy_viterbi, op10_bwt_expansion, op11_segment_summaries,
+                                  op12_small_world_shards, op13_geometric_blocks)}
