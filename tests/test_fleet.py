@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import line_rows, points, ring_rows
+from shapes import line_rows, points, ring_rows
 from floodspark import sources
 from floodspark.functions import epsg_code
 from floodspark.operators import inputs, lines, nearest, ordered, results, spatial

@@ -327,7 +327,7 @@ def raster(spark, values, nodata=-9999.0):
 @pytest.mark.parametrize("row,col,value,nodata,hits", [
     (5, 5, -9999.0, -9999.0, 1), (0, 0, -9999.0, -9999.0, 0), (5, 5, float("nan"), None, 1), (5, 5, float("nan"), float("nan"), 1), (5, 5, -9999.0, None, 0), (2, 1, -9999.0, -9999.0, 1)])
 def test_nodata_guard(spark, row, col, value, nodata, hits):
-    from conftest import ring_rows
+    from shapes import ring_rows
 
     values = [1.0] * 100
     values[row * 10 + col] = value

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import line_rows, points, ring_rows
+from shapes import line_rows, points, ring_rows
 from pyspark.sql import functions as F
 
 from floodspark.operators import inputs, lines, nearest, spatial
