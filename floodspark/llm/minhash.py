@@ -180,10 +180,10 @@ def _split_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _block_links(split: DataFrame, classes: DataFrame, docs: DataFrame, side: int, slack: float) -> DataFrame:
-    """Links between different components that meet in a bucket, each confirmed in the first bucket that a pair shares.
+    """Links that join different components within a bucket; a pair is looked at in the first bucket that it shares.
 
-    A bucket is cut into blocks of about ``side`` classes; a task holds two blocks, however large the bucket is, and
-    neither pairs nor sets leave it.
+    A bucket is cut into blocks of about ``side`` classes; a task holds two blocks, however large the bucket is. Components
+    that a link has joined count as one from then on, so a task returns a forest: fewer links than it has classes.
     """
     members = (split.join(classes.select("node", "signature", "bands").distinct(), "node")
                .join(docs.select(F.col("doc_id").alias("node"), "text"), "node"))
@@ -205,6 +205,7 @@ def _block_links(split: DataFrame, classes: DataFrame, docs: DataFrame, side: in
                 sets[k] = next(shingle_sets(pa.array([texts[k]], pa.string())))
             return sets[k]
 
+        _, part = np.unique(part, return_inverse=True)
         out = []
         for k in range(len(group)):
             rest = np.flatnonzero((part != part[k]) & (mine != mine[k] if cross else True) & (node < node[k]))
@@ -213,7 +214,10 @@ def _block_links(split: DataFrame, classes: DataFrame, docs: DataFrame, side: in
             if len(rest):
                 shared = bands[rest] == bands[k]
                 rest = rest[bands[k][np.argmax(shared, 1)] == band[k]]
-            out += [(node[k], node[m]) for m in rest if linked(shingles(k), shingles(m))]
+            for m in rest:
+                if part[m] != part[k] and linked(shingles(k), shingles(m)):
+                    out.append((node[k], node[m]))
+                    part[part == part[m]] = part[k]
         return pd.DataFrame(out, columns=["x", "y"], dtype=np.int64)
 
     return dealt.groupBy("band", "i", "j").applyInPandas(work, "x long, y long")

@@ -77,3 +77,18 @@ def test_pipeline_edges(spark, edge_docs, no_docs):
             docs = stage(spark, docs, SF).cache()
             assert docs.columns == names
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_benchmark_passages_are_told_by_text_not_by_key(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 100").first().text
+    rows = [(None, f"before {item} after"), (5, item), (5, "a clean text that shares the key of another"), (None, "a clean text without a key"), (6, None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, near_row long, held_text long")
+    kept = corpus_pipeline.without_benchmark(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, rows[2:]))
+
+
+def test_columns_with_the_names_of_the_stages_stay(spark):
+    rows = [(1, "one text of some words", 7, 8, 9), (2, "another text of other words", 17, 18, 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_row long, Near_Row_ long, gone_row long")
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows

@@ -88,3 +88,19 @@ def test_components_of_paths_rings_and_stars(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     want = {k: 0 for k in range(61)} | {100 + k: 100 for k in range(7)} | {200 + k: 200 for k in range(30)} | {300: 300, 301: 300}
     assert got == want
+
+
+def test_near_copies_give_a_forest(spark, monkeypatch):
+    """Many near copies, and one text with the least key that shares buckets with them but no link."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words[:46]))] + [(i, " ".join([*words, f"x{i}"])) for i in range(1, 300)]
+    seen = []
+
+    def counted(edges, a="a", b="b"):
+        seen.append(edges.count())
+        return components(edges, a, b)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    got = result(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), side=120))
+    assert got == [(i, n, min(i, 1), i < 2) for i, n in sorted(((i, max(len(t.split()) - 4, 1)) for i, t in rows), key=str)]
+    assert max(seen) <= 12 * len(rows)
