@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-__all__ = ["edge_length", "line_length", "ring_area", "triangle_area", "triangle_angles",
+__all__ = ["edge_length", "line_length", "ring_area", "signed_area", "triangle_area", "triangle_angles",
            "polar_correction", "close_ring", "ring_edges", "flatten_line", "outer_ring",
            "geometry_point", "is_multi_polygon", "point_segment_distance", "ray_crosses",
            "on_segment", "inside_ring", "line_centroid"]
@@ -53,14 +53,18 @@ def ring_edges(ring: Column) -> Column:
     return _pairs(close_ring(ring))
 
 
-def ring_area(ring: Column) -> Column:
-    """Enclosed area, relative to the first vertex so that large map coordinates cancel."""
+def signed_area(ring: Column) -> Column:
+    """Enclosed area, positive where the ring runs counter-clockwise, relative to the first vertex so that large map coordinates cancel."""
     origin = F.get(ring, F.lit(0))
     twice = F.aggregate(
         ring_edges(ring), F.lit(0.0),
         lambda acc, e: acc + ((e["a"]["x"] - origin["x"]) * (e["b"]["y"] - origin["y"])
                               - (e["b"]["x"] - origin["x"]) * (e["a"]["y"] - origin["y"])))
-    return F.abs(twice) / 2.0
+    return twice / 2.0
+
+
+def ring_area(ring: Column) -> Column:
+    return F.abs(signed_area(ring))
 
 
 def triangle_area(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

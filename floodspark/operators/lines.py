@@ -6,7 +6,7 @@ shuffle: the vertices of a line are already together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,9 +18,9 @@ from .. import schemas as S
 from ..functions import edge_length, line_length
 from ..functions.geometry import VERTICES
 from ..session import checkpointed
-from .spatial import clip_lines, connected_components, held, node_lines
+from .spatial import _segment_bins, clip_lines, held, node_lines
 
-__all__ = ["segment_floor", "dedupe_polyline", "drop_collinear", "densified", "joined_parts", "condition_breaklines",
+__all__ = ["segment_floor", "dedupe_polyline", "drop_collinear", "densified", "joined_parts", "condition_breaklines", "snap_rounded",
            "clip_lines", "node_lines"]
 
 
@@ -33,7 +33,7 @@ def _apart(a: Column, b: Column) -> Column:
     return edge_length(a["x"], a["y"], b["x"], b["y"])
 
 
-def dedupe_polyline(lines: DataFrame, floor: float, line: str = "line") -> DataFrame:
+def dedupe_polyline(lines: DataFrame, floor: float | Column, line: str = "line") -> DataFrame:
     """Drops inner vertices closer than ``floor`` to the last one kept.
 
     Both ends stay; a kept vertex too close to the last end gives way to it.
@@ -122,44 +122,82 @@ def joined_parts(segments: DataFrame, keys: list[str]) -> DataFrame:
     return pieces.select(*keys, "part", F.concat(start, rest).alias("line"))
 
 
+def _floor_column(finest: Column) -> Column:
+    return F.greatest(F.lit(1e-3), F.least(F.lit(S.MIN_SEGMENT_M), finest / 4))
+
+
 def condition_breaklines(breaklines: DataFrame, boundary: DataFrame, key: str = "line_id", ring_key: str = "zone_id",
-                         default_spacing: float = S.DEFAULT_NEAR_SPACING_M, floor: float | None = None) -> DataFrame:
+                         default_spacing: float = S.DEFAULT_NEAR_SPACING_M, floor: float | None = None,
+                         on: Sequence[str] = ()) -> DataFrame:
     """Breaklines ready for a mesher, as segments that meet only at their ends.
 
     Clipped to the boundary, freed of collinear jitter, densified to each
-    line's ``near_spacing``, deduplicated, and cut at every crossing. Pieces
-    under the floor shrink to a point; the default floor follows the finest spacing.
+    line's ``near_spacing``, deduplicated, cut at every crossing, and rounded
+    to a grid as wide as the floor (``snap_rounded``): no place moves by more
+    than the floor, and no segment is shorter. ``on`` names columns that must
+    agree, such as the package; the default floor follows the package's finest
+    spacing.
     """
+    on = list(on)
     spacing = F.when(F.col("near_spacing") > 0, F.col("near_spacing")).otherwise(F.lit(float(default_spacing)))
     wanted = breaklines.where(F.size("line") >= 2).withColumn("_s", F.greatest(spacing, F.lit(1e-6)))
     if floor is None:
-        floor = segment_floor(wanted.agg(F.min("_s")).first()[0])
-    parts = joined_parts(clip_lines(wanted, boundary, key, ring_key), [key, ring_key])
-    parts = checkpointed(parts.join(wanted.select(key, "_s"), key))
+        floors = wanted.groupBy(*on).agg(_floor_column(F.min("_s")).alias("_floor"))
+        wanted = wanted.join(floors, on) if on else wanted.withColumn("_floor", F.lit(floors.first()["_floor"]))
+    else:
+        wanted = wanted.withColumn("_floor", F.lit(float(floor)))
+    parts = joined_parts(clip_lines(wanted, boundary, key, ring_key, on=on), [*on, key, ring_key])
+    parts = checkpointed(parts.join(wanted.select(*on, key, "_s", "_floor"), [*on, key]))
     ident = [key, ring_key, "part"]
     # Each step is held, as the next one names the line many times over.
-    straight = drop_collinear(parts, F.col("_s")).select(*ident, "_s", held(F.col("line")).alias("line"))
-    dense = straight.select(*ident, held(densified(F.col("line"), F.col("_s"))).alias("line"))
-    ready = checkpointed(dedupe_polyline(dense, floor).select(F.struct(*ident).alias("_id"), "line"))
-    pieces = checkpointed(node_lines(ready, "_id").select("_id", "seg", "t0", _node("x0", "y0").alias("p0"), _node("x1", "y1").alias("p1")))
-    pieces = _absorb_short(pieces, floor)
+    straight = drop_collinear(parts, F.col("_s")).select(*on, *ident, "_s", "_floor", held(F.col("line")).alias("line"))
+    dense = straight.select(*on, *ident, "_floor", held(densified(F.col("line"), F.col("_s"))).alias("line"))
+    ready = checkpointed(dedupe_polyline(dense, F.col("_floor")).select(*on, "_floor", F.struct(*ident).alias("_id"), "line"))
+    floors = ready.select(*on, "_floor").distinct()
+    cut = node_lines(ready, "_id", on=on)
+    cut = cut.join(floors, on) if on else cut.withColumn("_floor", F.lit((floors.first() or [1.0])[0]))
+    pieces = snap_rounded(cut.select(*on, "_id", "seg", "t0", "x0", "y0", "x1", "y1", "_floor"), "_floor", on)
     # Lines that lie on one another leave one piece, that of the least key.
-    first = pieces.groupBy(F.least("p0", "p1").alias("_a"), F.greatest("p0", "p1").alias("_b")).agg(
-        F.min(F.struct("_id", "seg", "t0", "p0", "p1")).alias("_s"))
-    return first.select("_s._id.*", "_s.seg", F.col("_s.p0.x").alias("x0"), F.col("_s.p0.y").alias("y0"),
-                        F.col("_s.p1.x").alias("x1"), F.col("_s.p1.y").alias("y1"))
+    a, b = (F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1))
+    first = pieces.groupBy(*on, F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).agg(
+        F.min(F.struct("_id", "seg", "t0", "place", "x0", "y0", "x1", "y1")).alias("_p"))
+    return first.select(*on, "_p._id.*", "_p.seg", *[F.col(f"_p.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-def _node(x: str, y: str) -> Column:
-    return F.struct(F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+def snap_rounded(pieces: DataFrame, width: str, on: Sequence[str] = ()) -> DataFrame:
+    """Pieces that share only end points, rounded to a grid with cells of ``width`` without crossing anew.
 
-
-def _absorb_short(pieces: DataFrame, floor: float) -> DataFrame:
-    """Pieces under the floor shrink to one node, which all lines that meet there then share, so none is broken."""
-    short = _apart(F.col("p0"), F.col("p1")) < floor
-    edges = pieces.where(short).select(F.col("p0").alias("a"), F.col("p1").alias("b"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    merged = checkpointed(connected_components(nodes, edges, "node"))
-    to = lambda p: merged.select(F.col("node").alias(p), F.col("cluster").alias(f"_{p}"))
-    moved = pieces.join(to("p0"), "p0", "left").join(to("p1"), "p1", "left")
-    return moved.select("_id", "seg", "t0", F.coalesce("_p0", "p0").alias("p0"), F.coalesce("_p1", "p1").alias("p1")).where("p0 <> p1")
+    Cells are centred on multiples of the width; one with an end point is hot. Every piece goes through the centres of
+    all hot cells that it meets, in order, so it moves by at most
+    0.71 of the width and stays on its side of every end point; pieces between
+    two centres are at least as long as the width. ``place`` numbers them
+    within the piece (x0, y0, x1, y1) that they come from.
+    """
+    on, shape = list(on), ["ax", "ay", "bx", "by"]
+    rest = [c for c in pieces.columns if c not in ("x0", "y0", "x1", "y1")]
+    scaled = checkpointed(pieces.withColumn("_n", F.monotonically_increasing_id())
+                          .withColumns({n: F.col(c) / F.col(width) + 0.5 for n, c in zip(shape, ("x0", "y0", "x1", "y1"))}).drop("x0", "y0", "x1", "y1"))
+    ends = F.explode(F.array(*[F.struct(F.floor(x).alias("gx"), F.floor(y).alias("gy")) for x, y in (("ax", "ay"), ("bx", "by"))]))
+    hot = scaled.select(*on, ends.alias("c")).select(*on, "c.*").distinct()
+    passed = _segment_bins(scaled.select(*on, "_n", *shape), 1.0).join(hot, [*on, "gx", "gy"])
+
+    def between(a: str, b: str, g: str) -> tuple[Column, Column]:
+        """Parameters at which the piece enters and leaves a cell's column or row; nulls where it never does."""
+        d = F.nullif(F.col(b) - F.col(a), F.lit(0.0))
+        t, u = (F.col(g) - F.col(a)) / d, (F.col(g) + 1 - F.col(a)) / d
+        within = (F.col(a) >= F.col(g)) & (F.col(a) <= F.col(g) + 1)
+        always = d.isNull() & within
+        return (F.when(always, F.lit(0.0)).when(d.isNotNull(), F.least(t, u)), F.when(always, F.lit(1.0)).when(d.isNotNull(), F.greatest(t, u)))
+
+    (tx, ux), (ty, uy) = between("ax", "bx", "gx"), between("ay", "by", "gy")
+    start = lambda p, q: (F.floor(p) == F.col("gx")) & (F.floor(q) == F.col("gy"))
+    enter = F.when(start("ax", "ay"), F.lit(-1.0)).when(start("bx", "by"), F.lit(3.0)).when(
+        tx.isNotNull() & ty.isNotNull(), F.greatest(tx, ty, F.lit(0.0)) + F.least(ux, uy, F.lit(1.0)))
+    leaves = F.when(start("ax", "ay") | start("bx", "by"), F.lit(True)).otherwise(F.greatest(tx, ty, F.lit(0.0)) <= F.least(ux, uy, F.lit(1.0)))
+    met = passed.withColumn("_t", enter).where(F.col("_t").isNotNull() & leaves)
+    chain = met.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("_t", "gx", "gy"))).alias("_c"))
+    n = F.size("_c")
+    steps = F.when(n >= 2, F.zip_with(F.slice("_c", F.lit(1), n - 1), F.slice("_c", F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    joined = scaled.select(*rest, "_n").join(chain, "_n").select(*rest, F.posexplode(steps).alias("place", "_s"))
+    centre = lambda side, axis: F.col(f"_s.{side}.{axis}") * F.col(width)
+    return joined.select(*rest, "place", centre("a", "gx").alias("x0"), centre("a", "gy").alias("y0"), centre("b", "gx").alias("x1"), centre("b", "gy").alias("y1"))

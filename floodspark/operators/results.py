@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .ordered import first_at_max, row_at_extreme
-from .spatial import BIN, bin_of, ring_tiles, _segment_bins
+from .spatial import BIN, bin_of, points_in_polygons, _segment_bins
 from ..functions import inside_ring, ring_edges
 
 
@@ -148,9 +148,7 @@ def raster_nodata_in_boundary(cells: DataFrame, rings: DataFrame, raster_keys: S
     in_bins = (bad.withColumn("gx", F.explode(F.sequence(bin_of(F.col("min_x"), size), bin_of(F.col("max_x"), size))))
                .withColumn("gy", F.explode(F.sequence(bin_of(F.col("min_y"), size), bin_of(F.col("max_y"), size)))))
     touched = in_bins.join(_segment_bins(edges, size), [*on, "gx", "gy"]).where(_segment_meets_box()).select(*cell, ring_key)
-    tiles = ring_tiles(rings.select(*on, ring_key, "ring"), size)
-    inside = (bad.withColumn("bx", bin_of(F.col("x"), size)).withColumn("by", bin_of(F.col("y"), size))
-              .join(tiles, [*on, "bx", "by"]).where(inside_ring(F.col("x"), F.col("y"), F.col("edges"))).select(*cell, ring_key))
+    inside = points_in_polygons(bad, rings.select(*on, ring_key, "ring"), size, on).select(*cell, ring_key)
     both = touched.unionByName(inside).distinct()
     return both.groupBy(*dict.fromkeys([*on, *raster_keys]), ring_key).agg(F.count(F.lit(1)).alias("n_nodata")).withColumn(
         "message", F.format_string("raster %s has %d nodata cells inside the boundary",

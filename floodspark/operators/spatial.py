@@ -1,9 +1,11 @@
 """Spatial joins: binned equi-joins followed by exact tests.
 
-Points fall in exactly one bin, so they are never copied. Rings are cut into
-tiles, one per bin under their bounding box, that carry only the edges a point
-in the bin can need. Nothing is broadcast by hand: Spark broadcasts a side only
-where its measured size allows, and splits skewed bins at run time otherwise.
+Rings are cut into tiles that carry only the edges a point in the tile can
+need. A ring of few bins has one tile per bin, so a point is looked up once; a
+wide one is covered by tiles of several levels, large and without edges inside,
+small along its outline, and a point is looked up once per level. Segments are
+listed in the bins they pass. Nothing is broadcast by hand: Spark broadcasts a
+side only where its measured size allows, and splits skewed bins at run time.
 """
 
 from __future__ import annotations
@@ -58,6 +60,60 @@ def ring_tiles(rings: DataFrame, size: float = BIN) -> DataFrame:
     return tiles.select(*rest, "bx", "by", held(edges).alias("edges"))
 
 
+def _top_level(extent: Column, size: float) -> Column:
+    """The level whose tiles, each four times as wide as one below, a ring of this extent starts from: about eight a side."""
+    return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(extent, F.lit(size)) / (8.0 * size)) / F.log(F.lit(4.0)))).cast("int")
+
+
+def _extent(edges: Column) -> Column:
+    return F.greatest(_reach(edges, "x", "max") - _reach(edges, "x", "min"), _reach(edges, "y", "max") - _reach(edges, "y", "min"))
+
+
+def _meets_tile(e: Column, left: Column, low: Column, width: float) -> Column:
+    """Whether an edge may meet a square; a hair too often rather than too rarely."""
+    hair, half = width * 1e-6, width / 2.0
+    nx, ny = e["b"]["y"] - e["a"]["y"], e["a"]["x"] - e["b"]["x"]
+    off = F.abs(nx * (left + half - e["a"]["x"]) + ny * (low + half - e["a"]["y"]))
+    return ((off <= (F.abs(nx) + F.abs(ny)) * (half + hair))
+            & (F.least(e["a"]["x"], e["b"]["x"]) <= left + width + hair) & (F.greatest(e["a"]["x"], e["b"]["x"]) >= left - hair)
+            & (F.least(e["a"]["y"], e["b"]["y"]) <= low + width + hair) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= low - hair))
+
+
+def ring_cover(rings: DataFrame, size: float, top: int) -> DataFrame:
+    """Tiles of levels 0 (bins) to ``top``, each four times as wide as one below, that cover each ring.
+
+    A tile that no edge meets is wholly inside, and has no edges, or wholly outside, and is left out. Others are cut
+    in sixteen down to bins, whose ``edges`` decide as those of ``ring_tiles`` do. So the number of tiles of a ring
+    follows its outline, not its area; each level is its own set of rows, so no task makes all tiles of a ring.
+    """
+    rest = [c for c in rings.columns if c != "ring"]
+    flat = (rings.where(F.size("ring") > 2).select(*rest, held(ring_edges(F.col("ring"))).alias("edges"))
+            .withColumn("_top", F.least(_top_level(_extent(F.col("edges")), size), F.lit(top))))
+    out, cut = None, None
+    for level in range(top, -1, -1):
+        width = size * 4.0 ** level
+        own = flat.where(F.col("_top") == level)
+        for axis, name in (("x", "bx"), ("y", "by")):
+            own = own.withColumn(name, F.explode(bin_range(_reach(F.col("edges"), axis, "min"), _reach(F.col("edges"), axis, "max"), width)))
+        here = own.drop("_top") if cut is None else own.drop("_top").unionByName(cut)
+        left, low = F.col("bx") * width, F.col("by") * width
+        ahead = F.filter("edges", lambda e: (F.least(e["a"]["y"], e["b"]["y"]) <= low + width) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= low)
+                         & (F.greatest(e["a"]["x"], e["b"]["x"]) >= left))
+        here = here.select(*rest, "bx", "by", held(ahead).alias("edges")).where(F.size("edges") > 0)
+        here = here.withColumn("_meets", F.exists("edges", lambda e: _meets_tile(e, left, low, width))).withColumn("level", F.lit(level))
+        whole = here.where(~F.col("_meets") & inside_ring(left + width / 2, low + width / 2, F.col("edges")))
+        tiles = whole.withColumn("edges", F.slice("edges", 1, 0)).withColumn("inner", F.lit(True))
+        met = here.where("_meets")
+        if level == 0:
+            tiles = tiles.unionByName(met.withColumn("inner", F.lit(False)))
+        else:
+            sixteen = met.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(15))))
+            cut = sixteen.select(*rest, (F.col("bx") * 4 + F.col("_k") % 4).alias("bx"), (F.col("by") * 4 + F.floor(F.col("_k") / 4)).alias("by"), "edges")
+        tiles = tiles.drop("_meets")
+        out = tiles if out is None else out.unionByName(tiles)
+    return out
+
+
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = BIN,
                        on: Sequence[str] = ()) -> DataFrame:
     """Pairs (point, ring) with the point strictly inside the ring.
@@ -65,11 +121,20 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = BIN,
     ``on`` names columns that must agree, such as the package. Points need x
     and y, rings a vertex array ``ring``; all other columns pass through.
     """
-    tiles = ring_tiles(rings, size)
-    binned = (points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-              .withColumn("bx", bin_of(F.col("x"), size)).withColumn("by", bin_of(F.col("y"), size)))
-    pairs = binned.join(tiles, [*on, "bx", "by"])
-    return pairs.where(inside_ring(F.col("x"), F.col("y"), F.col("edges"))).drop("bx", "by", "edges")
+    size = float(size)
+    edges = rings.where(F.size("ring") > 2).select(held(ring_edges(F.col("ring"))).alias("_e"))
+    top = edges.agg(F.max(_top_level(_extent(F.col("_e")), size))).first()[0] or 0
+    placed = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    inside = inside_ring(F.col("x"), F.col("y"), F.col("_edges"))
+    named = {"bx": "_tx", "by": "_ty", "edges": "_edges", "level": "_level", "inner": "_inner"}
+    if top == 0:
+        binned = placed.withColumn("_tx", bin_of(F.col("x"), size)).withColumn("_ty", bin_of(F.col("y"), size))
+        return binned.join(ring_tiles(rings, size).withColumnsRenamed(named), [*on, "_tx", "_ty"]).where(inside).drop("_tx", "_ty", "_edges")
+    width = F.lit(size) * F.pow(F.lit(4.0), F.col("_level"))
+    binned = (placed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_tx", F.floor(F.col("x") / width).cast("bigint"))
+              .withColumn("_ty", F.floor(F.col("y") / width).cast("bigint")))
+    pairs = binned.join(ring_cover(rings, size, top).withColumnsRenamed(named), [*on, "_level", "_tx", "_ty"])
+    return pairs.where(F.col("_inner") | inside).drop(*named.values())
 
 
 def lines_inside_polygon(lines: DataFrame, rings: DataFrame, key: str, ring_key: str,
@@ -101,10 +166,18 @@ def segments_of(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _segment_bins(segments: DataFrame, size: float, grow: Column | float = 0.0) -> DataFrame:
-    grow = F.lit(grow) if not isinstance(grow, Column) else grow
-    return (segments
-            .withColumn("gx", F.explode(bin_range(F.least("ax", "bx") - grow, F.greatest("ax", "bx") + grow, size)))
-            .withColumn("gy", F.explode(bin_range(F.least("ay", "by") - grow, F.greatest("ay", "by") + grow, size))))
+    """The bins (gx, gy) that a segment passes, or comes within ``grow`` of, column by column.
+
+    Their number follows the segment's length, not its box. A hair is added, so rounding loses no bin.
+    """
+    grow = (grow if isinstance(grow, Column) else F.lit(float(grow))) + F.lit(size * 1e-6)
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    columns = segments.withColumn("gx", F.explode(bin_range(low - grow, high + grow, size)))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    share = lambda x: F.when(dx != 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / F.nullif(dx, F.lit(0.0)))))
+    from_ = F.coalesce(F.col("ay") + share(F.col("gx") * size - grow) * dy, F.col("ay"))
+    to = F.coalesce(F.col("ay") + share((F.col("gx") + 1) * size + grow) * dy, F.col("by"))
+    return columns.withColumn("gy", F.explode(bin_range(F.least(from_, to) - grow, F.greatest(from_, to) + grow, size)))
 
 
 def target_area(points: DataFrame, mesh_regions: DataFrame, base_resolution: float, key: str = "vid",
@@ -146,42 +219,41 @@ def clip_lines(lines: DataFrame, rings: DataFrame, key: str, ring_key: str, size
     """Parts of each line strictly inside each ring, as segments.
 
     Every segment is cut where it crosses the ring's edges; a piece stays when
-    its midpoint is inside. Only segments and edges of a common bin are
+    its midpoint is inside. Only segments and edges that pass a common bin are
     compared; a cut found in several bins is one value of the set of cuts.
     """
     on = list(on)
+    ends = ["ax", "ay", "bx", "by"]
     segments = segments_of(lines.select(*on, key, "line"))
-    tiles = ring_tiles(rings.select(*on, ring_key, "ring"), size)
-    tiles = tiles.select(*on, ring_key, F.col("bx").alias("gx"), F.col("by").alias("gy"), "edges")
-    touching = _segment_bins(segments, size).join(tiles, [*on, "gx", "gy"])
-    edge = F.explode("edges").alias("e")
-    crossed = touching.select(*on, key, "seg", "ax", "ay", "bx", "by", ring_key, edge).where(
-        (F.least("e.a.x", "e.b.x") <= F.greatest("ax", "bx")) & (F.greatest("e.a.x", "e.b.x") >= F.least("ax", "bx"))
-        & (F.least("e.a.y", "e.b.y") <= F.greatest("ay", "by")) & (F.greatest("e.a.y", "e.b.y") >= F.least("ay", "by")))
-    ex, ey = F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")
+    edges = (rings.where(F.size("ring") > 2).select(*on, ring_key, F.explode(ring_edges(F.col("ring"))).alias("e"))
+             .select(*on, ring_key, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by")))
+    near = _segment_bins(edges, size).select(*on, ring_key, "gx", "gy", *[F.col(c).alias(f"e_{c}") for c in ends])
+    met = _segment_bins(segments, size).join(near, [*on, "gx", "gy"])
+    ex, ey = F.col("e_bx") - F.col("e_ax"), F.col("e_by") - F.col("e_ay")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     det = F.nullif(dx * ey - dy * ex, F.lit(0.0))
-    t = ((F.col("e.a.x") - F.col("ax")) * ey - (F.col("e.a.y") - F.col("ay")) * ex) / det
-    u = ((F.col("e.a.x") - F.col("ax")) * dy - (F.col("e.a.y") - F.col("ay")) * dx) / det
-    cuts = (crossed.where(det.isNotNull()).withColumn("t", t).withColumn("u", u)
+    t = ((F.col("e_ax") - F.col("ax")) * ey - (F.col("e_ay") - F.col("ay")) * ex) / det
+    u = ((F.col("e_ax") - F.col("ax")) * dy - (F.col("e_ay") - F.col("ay")) * dx) / det
+    cuts = (met.where(det.isNotNull()).withColumn("t", t).withColumn("u", u)
             .where(F.col("t").between(0.0, 1.0) & F.col("u").between(0.0, 1.0))
-            .groupBy(*on, key, "seg", ring_key).agg(F.collect_set(F.round("t", 12)).alias("_cuts")))
-    whole = touching.groupBy(*on, key, "seg", ring_key).agg(*[F.first(c).alias(c) for c in ("ax", "ay", "bx", "by")])
-    split = whole.join(cuts, [*on, key, "seg", ring_key], "left").withColumn(
-        "_t", F.array_sort(F.array_distinct(F.concat(
-            F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("_cuts", F.array().cast("array<double>"))))))
-    pieces = split.select(*on, key, "seg", ring_key, "ax", "ay", "bx", "by", F.posexplode(F.zip_with(
+            .groupBy(*on, key, "seg", ring_key, *ends).agg(F.collect_set(F.round("t", 12)).alias("_cuts")))
+    split = cuts.withColumn("_t", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), "_cuts"))))
+    parts = split.select(*on, key, "seg", ring_key, *ends, F.explode(F.zip_with(
         F.slice("_t", F.lit(1), F.size("_t") - 1), F.slice("_t", F.lit(2), F.size("_t") - 1),
-        lambda a, b: F.struct(a.alias("t0"), b.alias("t1")))).alias("piece", "_p"))
+        lambda a, b: F.struct(a.alias("t0"), b.alias("t1")))).alias("_p"))
+    middle = (F.col("_p.t0") + F.col("_p.t1")) / 2
     at = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
-    pieces = pieces.select(
-        *on, key, "seg", ring_key, "piece", F.col("_p.t0").alias("t0"), F.col("_p.t1").alias("t1"),
-        at("ax", "bx", F.col("_p.t0")).alias("x0"), at("ay", "by", F.col("_p.t0")).alias("y0"),
-        at("ax", "bx", F.col("_p.t1")).alias("x1"), at("ay", "by", F.col("_p.t1")).alias("y1"))
-    middle = (pieces.withColumn("x", (F.col("x0") + F.col("x1")) / 2).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
-              .withColumn("gx", bin_of(F.col("x"), size)).withColumn("gy", bin_of(F.col("y"), size)))
-    kept = middle.join(tiles, [*on, ring_key, "gx", "gy"]).where(inside_ring(F.col("x"), F.col("y"), F.col("edges")))
-    return kept.select(*on, key, "seg", ring_key, "t0", "t1", "x0", "y0", "x1", "y1")
+    # Pieces are looked up in their own ring, segments that a ring does not cut in every ring.
+    own = points_in_polygons(parts.withColumn("x", at("ax", "bx", middle)).withColumn("y", at("ay", "by", middle)),
+                             rings.select(*on, ring_key, "ring"), size, [*on, ring_key])
+    whole = segments.withColumn("x", at("ax", "bx", F.lit(0.5))).withColumn("y", at("ay", "by", F.lit(0.5)))
+    uncut = (points_in_polygons(whole, rings.select(*on, ring_key, "ring"), size, on)
+             .join(cuts.select(*on, key, "seg", ring_key), [*on, key, "seg", ring_key], "left_anti")
+             .withColumn("_p", F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"))))
+    kept = own.select(*on, key, "seg", ring_key, *ends, "_p").unionByName(uncut.select(*on, key, "seg", ring_key, *ends, "_p"))
+    return kept.select(*on, key, "seg", ring_key, F.col("_p.t0").alias("t0"), F.col("_p.t1").alias("t1"),
+                       at("ax", "bx", F.col("_p.t0")).alias("x0"), at("ay", "by", F.col("_p.t0")).alias("y0"),
+                       at("ax", "bx", F.col("_p.t1")).alias("x1"), at("ay", "by", F.col("_p.t1")).alias("y1"))
 
 
 def split_hot_bins(segments: DataFrame, size: float, limit: int, depth: int, on: Sequence[str] = ()) -> DataFrame:
@@ -303,27 +375,22 @@ def densify_polyline(lines: DataFrame, key: str, spacing: float) -> DataFrame:
     return inner.unionByName(ends.select(key, "seg", "part", "_p.x", "_p.y"))
 
 
-def footprint_edges(footprints: DataFrame, key: str, size: float = BIN) -> DataFrame:
-    """Pairs of footprints that touch or overlap (a < b)."""
-    outline = footprints.withColumn("line", F.transform(ring_edges(F.col("ring")), lambda e: e["a"]))
-    closed = outline.withColumn("line", F.concat("line", F.array(F.get("line", F.lit(0)))))
-    segments = segments_of(closed.select(key, "line"))
-    met = crossings(segments, [key, "seg"], size)
+def outlines(footprints: DataFrame) -> DataFrame:
+    """Footprints as closed lines: ``line`` in place of ``ring``."""
+    return footprints.withColumn("line", F.when(F.size("ring") > 0, F.concat(F.transform(ring_edges(F.col("ring")), lambda e: e["a"]), F.slice("ring", 1, 1)))).drop("ring")
+
+
+def footprint_edges(footprints: DataFrame, key: str, size: float = BIN, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of footprints that touch or overlap (a < b); ``on`` names columns that must agree, such as the package."""
+    on = list(on)
+    segments = segments_of(outlines(footprints).select(*on, key, "line"))
+    met = crossings(segments, [key, "seg"], size, on=on)
     touching = met.where(F.col(f"a.{key}") != F.col(f"b.{key}")).select(
-        F.least(f"a.{key}", f"b.{key}").alias("a"), F.greatest(f"a.{key}", f"b.{key}").alias("b"))
-    corners = segments.select(F.col(key).alias("_own"), F.col("ax").alias("x"), F.col("ay").alias("y"))
-    within = points_in_polygons(corners, footprints.select(key, "ring"), size).where(F.col("_own") != F.col(key)).select(
-        F.least("_own", key).alias("a"), F.greatest("_own", key).alias("b"))
-    # Edges that lie on one another have no single crossing point: compare corners with edges.
-    bins = split_hot_bins(segments, size, 512, 6)
-    other = bins.select(F.col(key).alias("_o"), F.col("ax").alias("x"), F.col("ay").alias("y"), "level", "gx", "gy")
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    on_edge = bins.join(other, ["level", "gx", "gy"]).where(
-        (F.col("_o") != F.col(key)) & (dx * (F.col("y") - F.col("ay")) - dy * (F.col("x") - F.col("ax")) == 0)
-        & F.col("x").between(F.least("ax", "bx"), F.greatest("ax", "bx"))
-        & F.col("y").between(F.least("ay", "by"), F.greatest("ay", "by"))).select(
-        F.least("_o", key).alias("a"), F.greatest("_o", key).alias("b"))
-    return touching.unionByName(within).unionByName(on_edge).distinct()
+        *on, F.least(f"a.{key}", f"b.{key}").alias("a"), F.greatest(f"a.{key}", f"b.{key}").alias("b"))
+    corners = segments.select(*on, F.col(key).alias("_own"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    within = points_in_polygons(corners, footprints.select(*on, key, "ring"), size, on).where(F.col("_own") != F.col(key)).select(
+        *on, F.least("_own", key).alias("a"), F.greatest("_own", key).alias("b"))
+    return touching.unionByName(within).distinct()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -351,17 +418,26 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFr
     return nodes.join(root, key, "left").withColumn("cluster", F.coalesce("cluster", key))
 
 
-def footprint_clusters(footprints: DataFrame, key: str, size: float = BIN) -> DataFrame:
-    """Cluster label per footprint; footprints that touch share one.
+def footprint_clusters(footprints: DataFrame, key: str, size: float = BIN, on: Sequence[str] = ()) -> DataFrame:
+    """Cluster label per footprint; footprints that touch share one. ``on`` names columns that must agree, such as the package.
 
     Copies of a footprint stand as one shape, that of the lowest key.
     """
-    shapes = footprints.groupBy("ring").agg(F.min(key).alias(key))
-    labels = connected_components(shapes.select(key), footprint_edges(shapes, key, size), key)
-    shape_of = footprints.select(key, "ring").join(shapes.withColumnRenamed(key, "_shape"), "ring").select(key, "_shape")
-    return shape_of.join(labels.withColumnRenamed(key, "_shape"), "_shape").select(key, "cluster")
-
-
-def merged_counts(clusters: DataFrame) -> DataFrame:
+    on = list(on)
+    shapes = footprints.groupBy(*on, "ring").agg(F.min(key).alias(key))
+    edges = footprint_edges(shapes, key, size, on)
+    if on:  # a key counts within its package only
+        named = F.struct(*on, key)
+        shapes = shapes.withColumn("_node", named)
+        edges = edges.select(F.struct(*on, F.col("a").alias(key)).alias("a"), F.struct(*on, F.col("b").alias(key)).alias("b"))
+        labels = connected_components(shapes.select("_node"), edges, "_node").select(
+            *[F.col(f"_node.{c}").alias(c) for c in on], F.col(f"_node.{key}").alias("_shape"), F.col(f"cluster.{key}").alias("cluster"))
+    else:
+        labels = connected_components(shapes.select(key), edges, key).withColumnRenamed(key, "_shape")
+    shape_of = footprints.select(*on, key, "ring").join(shapes.select(*on, "ring", F.col(key).alias("_shape")), [*on, "ring"]).select(*on, key, "_shape")
+    return shape_of.join(labels, [*on, "_shape"]).select(*on, key, "cluster")
+
+
+def merged_counts(clusters: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Footprints before and clusters after merging."""
-    return clusters.agg(F.count(F.lit(1)).alias("n_footprints"), F.count_distinct("cluster").alias("n_clusters"))
+    return clusters.groupBy(*on).agg(F.count(F.lit(1)).alias("n_footprints"), F.count_distinct("cluster").alias("n_clusters"))

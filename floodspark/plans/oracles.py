@@ -200,7 +200,7 @@ iv AS (SELECT line_id, seg, zone_id, max(len) AS len, greatest(0.0, coalesce(max
   least(1.0, coalesce(min((h - c) / nullif(m, 0)) FILTER (WHERE m > 0), 1.0)) AS hi,
   bool_and(m <> 0 OR c < h) AS ok FROM hp GROUP BY 1, 2, 3)
 SELECT line_id, CAST(seg AS BIGINT) AS seg, zone_id, round(len * (hi - lo), 4) + 0.0 AS inside_length FROM iv
-WHERE ok AND hi > lo AND round(len * (hi - lo), 4) > 0.001""")
+WHERE ok AND round(hi, 12) > round(lo, 12)""")
 oracle("node_lines", "p_lines", f"""WITH {_SEG},
 x AS (SELECT a.line_id AS al, a.seg AS asg, b.line_id AS bl, b.seg AS bsg, a.ax, a.ay, a.bx - a.ax AS dx, a.by_ - a.ay AS dy,
   ((b.ax - a.ax) * (b.by_ - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / nullif((a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax), 0) AS t,
@@ -228,6 +228,22 @@ oracle("footprint_clusters", "p_zones", """WITH z AS (SELECT * FROM p_zones WHER
 e AS (SELECT a.zone_id AS a, b.zone_id AS b FROM z a JOIN z b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) <= a.h + b.h),
 reach AS (SELECT zone_id AS n, zone_id AS r FROM z UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.r)
 SELECT n AS zone_id, min(r) AS cluster FROM reach GROUP BY n""")
+oracle("footprint_clusters_fleet", "p_zones", """WITH z AS (SELECT *, (zone_id // 4) % 2 AS pkg FROM p_zones WHERE method = 'Reflective'),
+e AS (SELECT a.zone_id AS a, b.zone_id AS b FROM z a JOIN z b ON a.pkg = b.pkg AND abs(a.cx - b.cx) + abs(a.cy - b.cy) <= a.h + b.h),
+reach AS (SELECT zone_id AS n, zone_id AS r FROM z UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.r)
+SELECT pkg AS package_id, n AS zone_id, min(r) AS cluster FROM reach JOIN z ON z.zone_id = n GROUP BY 1, 2""")
+# In x + y and x - y a diamond is an upright square: cells between all their sides are covered or not as a whole.
+oracle("merged_outlines", "p_zones", """WITH z AS (SELECT zone_id, (zone_id // 4) % 2 AS pkg, cx + cy - h AS u0, cx + cy + h AS u1, cx - cy - h AS v0, cx - cy + h AS v1
+  FROM p_zones WHERE method = 'Reflective'),
+e AS (SELECT a.zone_id AS a, b.zone_id AS b, least(a.u1, b.u1) - greatest(a.u0, b.u0) AS du, least(a.v1, b.v1) - greatest(a.v0, b.v0) AS dv FROM z a JOIN z b ON a.pkg = b.pkg),
+reach AS (SELECT zone_id AS n, zone_id AS r FROM z UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.r WHERE du >= 0 AND dv >= 0 AND du + dv > 0),
+c AS (SELECT n, min(r) AS c FROM reach GROUP BY n),
+us AS (SELECT pkg, u, lead(u) OVER (PARTITION BY pkg ORDER BY u) AS u2 FROM (SELECT pkg, u0 AS u FROM z UNION SELECT pkg, u1 FROM z)),
+vs AS (SELECT pkg, v, lead(v) OVER (PARTITION BY pkg ORDER BY v) AS v2 FROM (SELECT pkg, v0 AS v FROM z UNION SELECT pkg, v1 FROM z)),
+s AS (SELECT us.pkg, sum((u2 - u) * (v2 - v)) / 2 AS area FROM us JOIN vs ON us.pkg = vs.pkg
+      WHERE EXISTS (SELECT 1 FROM z WHERE z.pkg = us.pkg AND u0 <= u AND u1 >= u2 AND v0 <= v AND v1 >= v2) GROUP BY us.pkg)
+SELECT z.pkg AS package_id, count(*) AS n_footprints, count(DISTINCT c) AS n_outlines, """ + r6('any_value(area)', 'covered_area') + """
+FROM z JOIN c ON c.n = z.zone_id JOIN s ON s.pkg = z.pkg GROUP BY z.pkg""")
 _NEAR = """near AS (SELECT g.gauge_id, v.vid, sqrt(power(v.x - g.x, 2) + power(v.y - g.y, 2)) AS distance,
   row_number() OVER (PARTITION BY g.gauge_id ORDER BY power(v.x - g.x, 2) + power(v.y - g.y, 2), v.vid) AS k FROM p_gauges g, {v} v)"""
 oracle("nearest_vertex", "p_gauges p_vertices", f"""WITH {_NEAR.format(v='p_vertices')}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import line_length, normalise_manifest, rounded
-from ..operators import artefacts, forcing, inputs, lines as polylines, mesh, nearest, quality, results, runs, spatial, telemetry
+from ..operators import artefacts, forcing, inputs, lines as polylines, mesh, nearest, outlines, quality, results, runs, spatial, telemetry
 from ..schemas import DIAGNOSTICS
 from ..session import configure, shared_dir
 from ..sources import nest_run_summary, read_diagnostics, read_run_summaries, write_diagnostics, write_run_summaries
@@ -295,8 +295,7 @@ def breakline_grading(spark, d):
 def clip_lines(spark, d):
     parts = polylines.clip_lines(lines(spark, d), zones(spark, d), "line_id", "zone_id")
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    return parts.groupBy("line_id", "seg", "zone_id").agg(F.round(F.sum(length), 4).alias("inside_length")).where(
-        "inside_length > 0.001")
+    return parts.where("t0 < t1").groupBy("line_id", "seg", "zone_id").agg(F.round(F.sum(length), 4).alias("inside_length"))
 
 
 @query
@@ -329,6 +328,30 @@ def footprint_clusters(spark, d):
     return spatial.footprint_clusters(zones(spark, d).where("method = 'Reflective'"), "zone_id")
 
 
+@query
+def footprint_clusters_fleet(spark, d):
+    return spatial.footprint_clusters(_halves(zones(spark, d).where("method = 'Reflective'")), "zone_id", on=["package_id"])
+
+
+def _halves(z):
+    """Two packages of neighbouring zones over one area."""
+    return z.withColumn("package_id", F.floor(F.col("zone_id") / 4) % 2)
+
+
+@query
+def merged_outlines(spark, d):
+    z = _halves(zones(spark, d).where("method = 'Reflective'"))
+    return outlines.outline_counts(z, outlines.merged_outlines(z, on=["package_id"]), ["package_id"])
+
+
+@query
+def condition_breaklines(spark, d):
+    low, high = (F.struct(f(x).alias("x"), f(y).alias("y")) for f, x, y in ((F.min, "x0", "y0"), (F.max, "x2", "y2")))
+    box = view(spark, d, "p_lines").agg(low.alias("a"), high.alias("b")).select(F.lit(1).cast("bigint").alias("zone_id"), F.array(
+        "a", F.struct(F.col("b.x").alias("x"), F.col("a.y").alias("y")), "b", F.struct(F.col("a.x").alias("x"), F.col("b.y").alias("y"))).alias("ring"))
+    return polylines.condition_breaklines(lines(spark, d), box)
+
+
 @query
 def nearest_vertex(spark, d):
     return nearest.nearest_vertex(view(spark, d, "p_gauges"), view(spark, d, "p_vertices"))
