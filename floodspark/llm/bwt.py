@@ -279,10 +279,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 1
     another, judged on the input. Anchors with more than ``most_contexts`` distinct contexts are split by where their
     windows start and what those share, so that no task holds an unbounded group; it changes no result.
 
-    Null and empty texts have no bytes. Rows that repeat a document are documents of their own: both lose what they
-    share. A null doc_id is kept; other columns are ignored.
+    Null and empty texts have no bytes. Rows that repeat a document are documents of their own: all lose what they
+    share, which is everything from ``length`` bytes on; only one of them is searched. A null doc_id is kept; other
+    columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_row", row_key())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc_row", row_key())
+    # A row that occurs again is repeated as a whole: one of its copies stands for all beside other documents.
+    twins = stored(rows.groupBy("doc_row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("n_bytes"))
+                   .filter("n > 1").select("doc_row", "n_bytes"), "twins")
+    one = rows.join(twins, "doc_row", "left_semi").groupBy("doc_row").agg(F.min("text").alias("text"))
+    docs = rows.join(twins, "doc_row", "left_anti").select("doc_row", "text").unionByName(one)
     places, width = stored(with_places(docs, length), "places"), length - GRAM + 1
     every = None
     while True:
@@ -306,4 +312,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 1
     part = several.select("doc_row", "at", "anchor", "name").join(marks.filter(F.size("marks") > 0), ["anchor", "name"]).select(
         "doc_row", F.transform("marks", lambda m: cut(m["first"], m["last"])).alias("cut"))
     ranges = whole.union(part).groupBy("doc_row").agg(F.flatten(F.collect_list("cut")).alias("cut"))
-    return without_ranges(docs, ranges)
+    entire = twins.filter(F.col("n_bytes") >= length).select("doc_row", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end"))).alias("cut"))
+    return without_ranges(rows, ranges.join(twins, "doc_row", "left_anti").union(entire))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from floodspark.llm import bwt, chunks
 from floodspark.llm.common import runs
@@ -130,3 +131,16 @@ def test_removal_edges(spark, edge_docs, no_docs):
     assert same(rows, bwt.without_repeats(edge_docs.filter("doc_id <> 4 OR doc_id IS NULL")))
     assert bwt.without_repeats(edge_docs).count() == edge_docs.count()
     assert bwt.without_repeats(no_docs).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """Thousands of equal rows cost as much as one, and what they share with another document goes there too."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    other = "".join(rng.choice("ijkl ") for _ in range(700)) + text[500:1000] + "m" * 300
+    rows = [(1, other), (2, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(
+        spark.range(20_000, numPartitions=4).selectExpr("7L doc_id", f"'{text}' text")).unionByName(
+        spark.range(50).selectExpr("cast(null as long) doc_id", "'short too' text"))
+    found = bwt.without_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", F.length("kept").alias("k")).count().collect()
+    assert {tuple(r) for r in found} == {(1, 1500, 500, 1, 1000, 1), (2, 5, 0, 0, 5, 1), (7, 3000, 3000, 1, 0, 20_000), (None, 9, 0, 0, 9, 50)}
