@@ -13,6 +13,7 @@ import re
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,24 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class TextEncoder:
-    """Ids of texts by the tokenizers library, unit by unit; remembers up to ``limit`` units.
+    """Ids of texts by the tokenizers library, unit by unit; remembers units up to ``limit`` bytes of text and ids.
 
     A unit begins at a space or line end between two other characters: the byte-level pre-tokenizer never joins what
     stands before such a place with what follows, so the units' ids in turn are the text's ids. Texts with any other
-    white space, or with several white spaces in a row, are cut at single spaces only.
+    white space, or with several white spaces in a row, are cut at single spaces only. Once the memory is full, what is
+    remembered stays, and new units serve the texts at hand only.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 800_000):
+    def __init__(self, tokenizer_file: str, limit: int = 160_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
+        self.tokenizer, self.limit, self.held = Tokenizer.from_file(tokenizer_file), limit, 0
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.forget()
-
-    def forget(self) -> None:
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes that each id stands for: a byte-level token has one character per byte.
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         #: Units without the space before them; a zero byte stands for a line end instead of the space.
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {"": b""}
@@ -63,22 +66,40 @@ class TextEncoder:
         found = [(list(map(self.plain.get, plain)), list(map(self.spaced.get, spaced))) for plain, spaced in cut]
         gaps = [k for k, (a, b) in enumerate(found) if None in a or None in b]
         if gaps:
-            plain = {u for k in gaps for u, f in zip(cut[k][0], found[k][0]) if f is None}
-            spaced = {u for k in gaps for u, f in zip(cut[k][1], found[k][1]) if f is None}
-            if len(self.plain) + len(self.spaced) + len(plain) + len(spaced) > self.limit:
-                self.forget()
-                plain, spaced = ({u for k in gaps for u in cut[k][side]} - {""} for side in (0, 1))
-            self.plain.update(self._encoded(list(plain), list(plain)))
-            self.spaced.update(self._encoded(list(spaced), ["\n" + u[1:] if u[0] == "\0" else " " + u for u in spaced]))
+            plain = list({u for k in gaps for u, f in zip(cut[k][0], found[k][0]) if f is None})
+            spaced = list({u for k in gaps for u, f in zip(cut[k][1], found[k][1]) if f is None})
+            plain = dict(zip(plain, self._encoded(plain)))
+            spaced = dict(zip(spaced, self._in_a_row(["\n" + u[1:] if u[0] == "\0" else " " + u for u in spaced])))
             for k in gaps:
-                found[k] = list(map(self.plain.__getitem__, cut[k][0])), list(map(self.spaced.__getitem__, cut[k][1]))
-        return [b"".join(a + b) for a, b in found]
-
-    def _encoded(self, units: list[str], texts: list[str]):
-        code = "H" if self.width == 2 else "I"
-        for k in range(0, len(units), 10_000):
-            ids = self.tokenizer.encode_batch_fast(texts[k:k + 10_000], add_special_tokens=False)
-            yield from ((u, array(code, found.ids).tobytes()) for u, found in zip(units[k:k + 10_000], ids))
+                found[k] = tuple([new[u] if f is None else f for u, f in zip(units, have)] for new, units, have in zip((plain, spaced), cut[k], found[k]))
+            for kept_, new in ((self.plain, plain), (self.spaced, spaced)):
+                size = sum(len(u) + len(i) + 200 for u, i in new.items())
+                if self.held + size <= self.limit:
+                    kept_.update(new)
+                    self.held += size
+        return [b"".join(chain(a, b)) for a, b in found]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(texts), 10_000):
+            yield from (self._bytes(found.ids) for found in self.tokenizer.encode_batch_fast(texts[k:k + 10_000], add_special_tokens=False))
+
+    def _in_a_row(self, texts: list[str], step: int = 4000) -> Iterator[bytes]:
+        """Ids of units that begin with a space or line end: many are encoded as one text, and cut where their bytes end."""
+        for k in range(0, len(texts), step):
+            some = texts[k:k + step]
+            whole = "".join(some)
+            ids = self.tokenizer.encode(whole, add_special_tokens=False).ids
+            ends = np.cumsum([len(t) for t in some] if whole.isascii() else [len(t.encode()) for t in some])
+            done = np.cumsum(self.sizes[ids])
+            cuts = np.minimum(np.searchsorted(done, ends), max(len(ids) - 1, 0))
+            if not len(ids) or (done[cuts] != ends).any():  # an id that stands for other bytes than its own
+                yield from self._encoded(some)
+                continue
+            blob, at = self._bytes(ids), ((cuts + 1) * self.width).tolist()
+            yield from (blob[a:b] for a, b in zip([0, *at], at))
 
 
 def _hashed(keys: np.ndarray) -> np.ndarray:
@@ -147,8 +168,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str | None = None, e
         ids: list[bytes] = []
         held = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 2000):
+                some = batch.slice(k, 2000)
                 encoded = [e + end for e in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
                 keys += some.column(0).to_pylist()
                 ids += encoded

@@ -60,3 +60,20 @@ def test_edges(spark, edge_docs, no_docs):
     nothing = tokenstore.write_store(no_docs, FILE)
     assert tokenstore.read_store(nothing).count() == 0
     assert tokenstore.lookup(nothing, edge_docs.select("doc_id")).count() == 0
+
+
+def test_units_are_the_librarys_whatever_is_remembered():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    rng, plain = random.Random(3), Tokenizer.from_file(file)
+    parts = [*"ab \n\t.,'1é日🎉", "  ", "<|endoftext|>", "\r\n", "'s", " don't", "\0", "\xa0", " words", " of", "\nlines"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for limit in (0, 3000, 1 << 30):
+        encoder = tokenstore.TextEncoder(file, limit)
+        got = [i for k in range(0, len(texts), 100) for i in encoder.encode(texts[k:k + 100])]
+        assert got == want and encoder.held <= limit
