@@ -244,6 +244,9 @@ s AS (SELECT us.pkg, sum((u2 - u) * (v2 - v)) / 2 AS area FROM us JOIN vs ON us.
       WHERE EXISTS (SELECT 1 FROM z WHERE z.pkg = us.pkg AND u0 <= u AND u1 >= u2 AND v0 <= v AND v1 >= v2) GROUP BY us.pkg)
 SELECT z.pkg AS package_id, count(*) AS n_footprints, count(DISTINCT c) AS n_outlines, """ + r6('any_value(area)', 'covered_area') + """
 FROM z JOIN c ON c.n = z.zone_id JOIN s ON s.pkg = z.pkg GROUP BY z.pkg""")
+oracle("read_feature_files", "p_zones", f"""SELECT zone_id // 50 AS package, row_number() OVER (PARTITION BY zone_id // 50 ORDER BY zone_id) - 1 AS feature_no, zone_id,
+  CAST(28356 AS BIGINT) AS epsg_code, method, {r6('raised_height', 'raised_height')}, {r6('mannings', 'mannings')}, {r6('resolution', 'resolution')},
+  CAST(4 AS BIGINT) AS n_corners, {r6('2 * h * h', 'area')} FROM p_zones""")
 _NEAR = """near AS (SELECT g.gauge_id, v.vid, sqrt(power(v.x - g.x, 2) + power(v.y - g.y, 2)) AS distance,
   row_number() OVER (PARTITION BY g.gauge_id ORDER BY power(v.x - g.x, 2) + power(v.y - g.y, 2), v.vid) AS k FROM p_gauges g, {v} v)"""
 oracle("nearest_vertex", "p_gauges p_vertices", f"""WITH {_NEAR.format(v='p_vertices')}

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import line_length, normalise_manifest, rounded
+from ..functions import line_length, normalise_manifest, ring_area, rounded
 from ..operators import artefacts, forcing, inputs, lines as polylines, mesh, nearest, outlines, quality, results, runs, spatial, telemetry
 from ..schemas import DIAGNOSTICS
 from ..session import configure, shared_dir
 from ..sources import nest_run_summary, read_diagnostics, read_run_summaries, write_diagnostics, write_run_summaries
+from ..sources import read_feature_files as read_feature_files_of
 from ..streaming import live
 from .probes import lines, view, zones
 
@@ -352,6 +353,23 @@ def condition_breaklines(spark, d):
     return polylines.condition_breaklines(lines(spark, d), box)
 
 
+@query
+def read_feature_files(spark, d):
+    """Zones written as feature collections, one file a package, and read back as typed features."""
+    z = zones(spark, d)
+    corners = F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.array(p["x"], p["y"]))
+    feature = F.struct(F.lit("Feature").alias("type"), F.col("zone_id").alias("id"), F.struct("method", "raised_height", "mannings", "resolution").alias("properties"),
+                       F.struct(F.lit("Polygon").alias("type"), F.array(corners).alias("coordinates")).alias("geometry"))
+    files = z.groupBy((F.floor(F.col("zone_id") / 50)).alias("package")).agg(F.array_sort(F.collect_list(F.struct("zone_id", feature.alias("f")))).alias("f"))
+    crs = F.struct(F.lit("name").alias("type"), F.struct(F.lit("urn:ogc:def:crs:EPSG::28356").alias("name")).alias("properties"))
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), crs.alias("crs"), F.transform("f", lambda r: r["f"]).alias("features")))
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    files.select("package", text.alias("value")).write.partitionBy("package").text(path)
+    got = read_feature_files_of(spark, path, "part-*")
+    return got.select(F.regexp_extract("path", r"package=(\d+)", 1).cast("bigint").alias("package"), "feature_no", F.col("feature_id").cast("bigint").alias("zone_id"),
+                      "epsg_code", "method", "raised_height", "mannings", "resolution", (F.size("ring") - 1).alias("n_corners"), ring_area(F.col("ring")).alias("area"))
+
+
 @query
 def nearest_vertex(spark, d):
     return nearest.nearest_vertex(view(spark, d, "p_gauges"), view(spark, d, "p_vertices"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import epsg_code
+from ..functions import epsg_code, flatten_line, geometry_point, outer_ring
+from ..operators.ordered import number_rows
 
-__all__ = ["read_scenarios", "read_features", "read_mesh", "read_vertex_states", "read_diagnostics",
+__all__ = ["read_scenarios", "read_features", "read_feature_files", "with_properties", "read_mesh", "read_vertex_states", "read_diagnostics",
            "diagnostics_stream", "write_diagnostics", "read_run_summaries", "write_run_summaries",
            "nest_run_summary", "read_point_csv", "read_observations", "ring_of_points", "write_features",
            "file_inventory"]
@@ -37,35 +38,76 @@ def read_scenarios(spark: SparkSession, root: str) -> DataFrame:
     return parsed.select("package", "path", "raw", F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("valid"), *fields)
 
 
+FEATURE_START = r',?\s*\{\s*"type"\s*:\s*$'
+CRS_NAME = r'"crs"\s*:\s*\{[^{}]*"properties"\s*:\s*\{[^{}]*"name"\s*:\s*"([^"]*)"'
+NUMBERS = ("raised_height", "mannings", "resolution", "near_spacing")
+TEXTS = ("boundary", "location", "method", "data")
+
+
+def read_feature_files(spark: SparkSession, root: str, glob: str = "*.geojson") -> DataFrame:
+    """Features of all feature collections below ``root``: ``path``, ``crs``, ``feature_no`` and what ``with_properties`` adds.
+
+    A file is split by byte range at the word that opens a feature, so one large file is many tasks; a quote inside a
+    value is escaped and can't be taken for that word. Files whose features do not start with their type are read
+    whole. Files without features give no rows. Geometry and properties stay JSON text beside the decoded columns.
+    """
+    options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
+    path = F.col("_metadata.file_path")
+    raw = spark.read.option("lineSep", '"Feature"').text(root, **options).select(
+        path.alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("_v"), F.monotonically_increasing_id().alias("_i"))
+    opens = F.col("_v").rlike(FEATURE_START)
+    ends = raw.groupBy("path").agg(F.count_if(~opens).alias("_closed"), F.count(F.lit(1)).alias("_n"))
+    # Of n pieces all but the last must end where a feature starts.
+    odd = [r["path"] for r in ends.where("_n > 1 AND _closed > 1").select("path").toLocalIterator()]
+    pieces = number_rows(raw.where(~F.col("path").isin(odd)) if odd else raw, ["path"], F.col("_at"), [F.col("_i")], "_no")
+    clean = F.regexp_replace("_v", FEATURE_START, "")
+    split = pieces.where("_no > 1").select("path", (F.col("_no") - 2).alias("feature_no"), F.concat(F.lit('{"type":"Feature"'), clean).alias("_f"))
+    # The reference system stands before the features, or after the last of them.
+    last = F.regexp_extract("_v", r"\]\s*,\s*" + CRS_NAME, 1)
+    named = pieces.select("path", F.nullif(F.when(F.col("_no") == 1, F.regexp_extract("_v", CRS_NAME, 1)).when(~opens, last), F.lit("")).alias("crs"))
+    crs = named.where("crs IS NOT NULL").groupBy("path").agg(F.min("crs").alias("crs"))
+    found = split.join(crs, "path", "left").select("path", "crs", "feature_no", "_f")
+    if odd:
+        shape = "struct<crs:struct<properties:struct<name:string>>,features:array<string>>"
+        whole = spark.read.text(odd, wholetext=True).select(path.alias("path"), F.from_json("value", shape).alias("_c"))
+        found = found.unionByName(whole.select("path", F.col("_c.crs.properties.name").alias("crs"), F.posexplode("_c.features").alias("feature_no", "_f")))
+    return with_properties(found.withColumn("feature_no", F.col("feature_no").cast("int")))
+
+
+def with_properties(features: DataFrame, text: str = "_f") -> DataFrame:
+    """Columns of a feature's JSON ``text``: id, geometry and properties, the properties that operators use by their type,
+    and the geometry as they take it: ``ring`` of a polygon, ``line`` of a line, ``x`` and ``y`` of a point."""
+    prop = lambda name: F.get_json_object(text, f"$.properties.{name}")
+    out = features.withColumns({
+        "epsg_code": epsg_code(F.col("crs")), "feature_id": F.get_json_object(text, "$.id"), "geometry": F.get_json_object(text, "$.geometry"),
+        "geom_type": F.get_json_object(text, "$.geometry.type"), "properties": F.get_json_object(text, "$.properties"),
+        **{name: prop(name) for name in TEXTS}, **{name: prop(name).try_cast("double") for name in NUMBERS}}).drop(text)
+    kind, shape = F.col("geom_type"), F.col("geometry")
+    point = F.when(kind == "Point", geometry_point(shape))
+    return (out.withColumn("ring", F.when(kind.isin("Polygon", "MultiPolygon"), outer_ring(shape)))
+            .withColumn("line", F.when(kind.isin("LineString", "MultiLineString"), flatten_line(shape)))
+            .withColumn("x", point["x"]).withColumn("y", point["y"]))
+
+
 def read_features(spark: SparkSession, root: str, scenarios: DataFrame) -> DataFrame:
     """Features of the layers a scenario names and the package holds.
 
     The boundary layer is mandatory: a package without one is a row with
-    ``status`` set and no feature. Geometry and properties stay JSON text.
+    ``status`` set and no feature. Columns are those of ``read_feature_files``.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.geojson")
-    path = F.col("_metadata.file_path")
-    texts = files.select(F.regexp_extract(path, r"([^/]+)/(?:inputs/)?[^/]+$", 1).alias("package"),
-                         F.regexp_extract(path, r"([^/]+)$", 1).alias("file"), F.col("value").alias("_text"))
+    features = read_feature_files(spark, root).withColumn("package", F.regexp_extract("path", r"([^/]+)/(?:inputs/)?[^/]+$", 1)).withColumn(
+        "file", F.regexp_extract("path", r"([^/]+)$", 1))
     declared = scenarios.select("package", F.explode(F.array(*[
         F.struct(F.lit(layer).alias("layer"), F.col(layer).alias("file"))
         for layer in ("boundary", *S.LAYERS)])).alias("d")).select("package", "d.layer", "d.file").where(
         F.col("file").isNotNull() & (F.col("file") != ""))
-    shape = "struct<crs:struct<properties:struct<name:string>>,features:array<string>>"
-    found = declared.join(texts, ["package", "file"]).withColumn("_c", F.from_json("_text", shape))
-    rows = found.select("package", "layer", F.col("_c.crs.properties.name").alias("crs"),
-                        F.posexplode("_c.features").alias("feature_no", "_f"))
-    prop = lambda name: F.get_json_object("_f", f"$.properties.{name}")
-    features = rows.select(
-        "package", "layer", "crs", epsg_code(F.col("crs")).alias("epsg_code"), "feature_no",
-        F.get_json_object("_f", "$.id").alias("feature_id"), F.get_json_object("_f", "$.geometry").alias("geometry"),
-        F.get_json_object("_f", "$.geometry.type").alias("geom_type"), F.get_json_object("_f", "$.properties").alias("properties"),
-        prop("boundary").alias("boundary"), prop("location").alias("location"), prop("method").alias("method"),
-        prop("data").alias("data"), F.lit("ok").alias("status"))
-    named = found.where("layer = 'boundary'").select("package").distinct()
+    found = declared.join(features, ["package", "file"]).withColumn("status", F.lit("ok")).drop("file", "path")
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.geojson").load(root).select(
+        F.regexp_extract("path", r"([^/]+)/(?:inputs/)?[^/]+$", 1).alias("package"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    named = declared.where("layer = 'boundary'").join(held, ["package", "file"], "left_semi").select("package")
     missing = scenarios.select("package").join(named, "package", "left_anti").withColumn("layer", F.lit("boundary")).withColumn(
         "status", F.lit("error: boundary layer missing"))
-    return features.unionByName(missing, allowMissingColumns=True)
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
