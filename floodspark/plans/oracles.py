@@ -41,6 +41,7 @@ oracle("flow_diagnostics", "p_cell_state", f"WITH {_FLOW} {_FLOW_OUT}")
 oracle("diagnostics_files", "p_cell_state", f"""WITH {_FLOW}
 SELECT CAST(run_id AS STRING) AS run, CAST(floor(t / 3600) AS BIGINT) AS batch_number, wet_cells, {r6('CAST(t AS DOUBLE)', 'sim_time_s')},
   {r6('wet_fraction', 'wet_fraction')}, {r6('volume_m3', 'volume_m3')} FROM flow""")
+ORACLES["diagnostics_sink"] = ORACLES["diagnostics_files"]
 oracle("flow_diagnostics_live", "p_cell_state", f"WITH {_FLOW} {_FLOW_OUT}")
 
 # The step counter grows evenly, so a delta is the counter's value less that of the latest earlier step.

@@ -14,7 +14,7 @@ from ..operators import artefacts, forcing, inputs, lines as polylines, mesh, ne
 from ..schemas import DIAGNOSTICS
 from ..session import configure, shared_dir
 from ..sources import nest_run_summary, read_diagnostics, read_run_summaries, write_diagnostics, write_run_summaries
-from ..sources import read_feature_files as read_feature_files_of
+from ..sources import read_feature_files as read_feature_files_of, write_diagnostics_files
 from ..streaming import live
 from .probes import lines, view, zones
 
@@ -107,20 +107,36 @@ def run_summary_files(spark, d):
         "run.run_label", "run.outcome", "model.n_yieldsteps", "stability.stable", "performance.min_dt_ms", "schema_version", "status")
 
 
-@query
-def diagnostics_files(spark, d):
-    """Flow figures written as diagnostics and read back, run and batch number as folders."""
+def _diagnostics_rows(spark, d):
     flow = results.flow_diagnostics(_cells(spark, d))
     fields = {"t": "sim_time_s", "wet_fraction": "wet_fraction", "volume_m3": "volume_m3", "last_dt_ms": "last_dt_ms"}
     rows = flow.select(F.col("run_id").cast("string").alias("run"), F.floor(F.col("t") / 3600).cast("bigint").alias("batch_number"), "wet_cells",
                        *[F.col(a).cast("double").alias(b) for a, b in fields.items()])
     for f in DIAGNOSTICS.fields:
         rows = rows if f.name in rows.columns else rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-    path = f"{shared_dir(spark).rstrip('/')}/diagnostics-{uuid.uuid4().hex}"
-    write_diagnostics(rows, path, ("run", "batch_number"))
+    return rows
+
+
+def _read_back(spark, path):
     return read_diagnostics(spark, path).select("run", "batch_number", "wet_cells", "sim_time_s", "wet_fraction", "volume_m3")
 
 
+@query
+def diagnostics_files(spark, d):
+    """Flow figures written as diagnostics and read back, run and batch number as folders."""
+    path = f"{shared_dir(spark).rstrip('/')}/diagnostics-{uuid.uuid4().hex}"
+    write_diagnostics(_diagnostics_rows(spark, d), path, ("run", "batch_number"))
+    return _read_back(spark, path)
+
+
+@query
+def diagnostics_sink(spark, d):
+    """The same through the sink with one numbered file a run and batch, mesh summary included."""
+    path = f"{shared_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    write_diagnostics_files(_diagnostics_rows(spark, d).withColumn("mesh_summary", F.concat(F.lit("run "), "run")), path)
+    return _read_back(spark, path)
+
+
 @query
 def stalled_runs(spark, d):
     return runs.stalled_runs(_summaries(spark, d))
