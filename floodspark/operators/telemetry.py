@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..session import checkpointed
@@ -57,60 +59,90 @@ def latest_resource_row(rows: DataFrame, job: str = "job_id") -> DataFrame:
         F.max_by(F.struct(*rest), rank).alias("_r")).select(job, "_r.*")
 
 
-def _throttle(gap_us: int):
-    def emit(pdf):
-        times = np.sort(pdf["us"].to_numpy())
-        kept, i = [], 0
-        while i < len(times):
-            kept.append(i)
-            i = int(np.searchsorted(times, times[i] + gap_us))
-        return pdf.assign(us=times).iloc[kept]
+def _next_places(times: np.ndarray, gap_us: int) -> np.ndarray:
+    """Place of the first time at least the gap after each time; the number of times where there is none."""
+    return np.searchsorted(times, times + gap_us)
+
+
+def _entries(gap_us: int, width_us: int):
+    """How a bucket answers to what may come in: times at which its chain can start, and what that chain leaves closed.
+
+    Whatever was let through before the bucket closes less than a gap of it, so a chain starts at a time in its first
+    gap, or at the first time after that.
+    """
+    def chains(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.unique(pdf["us"].to_numpy())
+        after = _next_places(times, gap_us)
+        last = np.where(after < len(times), after, np.arange(len(times)))
+        while (last[last] != last).any():
+            last = last[last]
+        first = int(np.searchsorted(times, (times[0] // width_us) * width_us + gap_us))
+        can = slice(0, min(first + 1, len(times)))
+        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "us": times[can], "until": times[last[can]] + gap_us})
+
+    return chains
+
+
+def _let_through(gap_us: int):
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = pdf.loc[pdf["_start"], "us"]
+        times, kept = np.unique(pdf["us"].to_numpy()), []
+        if len(start):
+            k = int(np.searchsorted(times, int(start.iloc[0])))
+            after = _next_places(times, gap_us)
+            while k < len(times):
+                kept.append(times[k])
+                k = int(after[k])
+        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "us": np.array(kept, np.int64)})
 
     return emit
 
 
-def _throttle_by_doubling(times: DataFrame, key: str, gap_us: int) -> DataFrame:
-    """The same for runs of any length: follow all runs' chains at once by doubling jumps."""
-    wanted = times.select(key, (F.col("us") + gap_us).alias("us"), F.col("us").alias("_from"))
-    both = times.withColumn("_from", F.lit(None).cast("bigint")).unionByName(wanted)
+def _reached(entries: DataFrame, width_us: int) -> DataFrame:
+    """The entries that the chain of each run comes by, followed for all runs at once by doubling jumps from bucket to bucket."""
+    nodes = entries.select("_key", "us")
+    both = nodes.withColumn("_from", F.lit(None).cast("bigint")).unionByName(
+        entries.select("_key", F.col("until").alias("us"), F.col("us").alias("_from")))
     both = both.withColumn("_q", F.col("_from").isNull().cast("int"))
-    # A wanted time sorts before a row of the same time, so that row counts as next.
-    found = carry(both, [key], F.floor(F.col("us") / (4 * gap_us)), ["us", "_q"],
-                  {"us": F.col("us")}, F.col("_q") == 1, after="_to")
-    jump = checkpointed(found.where("_q = 0 and _to is not null").select(key, F.col("_from").alias("us"), F.col("_to.us").alias("to")))
-    reached = checkpointed(times.groupBy(key).agg(F.min("us").alias("us")))
+    # A wanted time sorts before an entry of the same time, so that entry counts as next.
+    found = carry(both, ["_key"], F.floor(F.col("us") / width_us), ["us", "_q"], {"us": F.col("us")}, F.col("_q") == 1, after="_to")
+    jump = checkpointed(found.where("_q = 0 and _to is not null").select("_key", F.col("_from").alias("us"), F.col("_to.us").alias("to")))
+    reached = checkpointed(nodes.groupBy("_key").agg(F.min("us").alias("us")))
     size = reached.count()
     while True:
-        step = reached.join(jump, [key, "us"]).select(key, F.col("to").alias("us"))
+        step = reached.join(jump, ["_key", "us"]).select("_key", F.col("to").alias("us"))
         reached = checkpointed(reached.unionByName(step).distinct())
         grown = reached.count()
         if grown == size:
             return reached
         size = grown
-        jump = checkpointed(jump.join(jump.select(key, F.col("us").alias("to"), F.col("to").alias("far")), [key, "to"])
-                            .select(key, "us", F.col("far").alias("to")))
+        jump = checkpointed(jump.join(jump.select("_key", F.col("us").alias("to"), F.col("to").alias("far")), ["_key", "to"])
+                            .select("_key", "us", F.col("far").alias("to")))
 
 
-def heartbeats(progress: DataFrame, interval_s: int = S.HEARTBEAT_S, key: str = "run_id",
-               group_limit: int = 200_000) -> DataFrame:
+def heartbeats(progress: DataFrame, interval_s: int = S.HEARTBEAT_S, key: str = "run_id", bucket: int = 1024) -> DataFrame:
     """Progress rows a greedy throttle lets through.
 
     The first row of a run passes, then each first row at least ``interval_s``
     after the last one that passed; of rows at one time the lowest seq stands.
-    Runs with at most ``group_limit`` distinct times are folded one run at a
-    time; longer runs are followed by doubling jumps, so none is one task.
+    Rows without a run or time count for nothing. A run is cut into buckets of
+    ``bucket`` intervals. Each bucket tells, for every time at which a chain
+    may enter it, up to when that chain closes what follows; these answers are
+    composed from bucket to bucket, and the buckets then let through what
+    follows their entry. So no task holds more than a bucket of a run.
     """
     gap = int(interval_s) * 1_000_000
+    width = int(bucket) * gap
     rest = [c for c in progress.columns if c not in (key, "ts")]
-    timed = progress.withColumn("us", F.unix_micros("ts"))
-    times = timed.select(key, "us").distinct()
-    long_runs = times.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_limit).select(key)
-    fold = _throttle(gap)
-    if long_runs.limit(1).count():
-        kept = (times.join(long_runs, key, "left_anti").groupBy(key).applyInPandas(fold, times.schema)
-                .unionByName(_throttle_by_doubling(times.join(long_runs, key, "left_semi"), key, gap)))
-    else:
-        kept = times.groupBy(key).applyInPandas(fold, times.schema)
+    timed = progress.withColumn("us", F.unix_micros("ts")).where(F.col("us").isNotNull() & F.col(key).isNotNull())
+    place = F.floor(F.col("us") / width).alias("_b")
+    slim = timed.select(F.col(key).alias("_key"), place, "us")
+    named = T.StructField("_key", progress.schema[key].dataType)
+    times = T.StructType([named, T.StructField("us", T.LongType())])
+    entries = checkpointed(slim.groupBy("_key", "_b").applyInPandas(_entries(gap, width), T.StructType([*times, T.StructField("until", T.LongType())])))
+    starts = _reached(entries, width).select("_key", place, "us", F.lit(True).alias("_start"))
+    marked = slim.withColumn("_start", F.lit(False)).unionByName(starts)
+    kept = marked.groupBy("_key", "_b").applyInPandas(_let_through(gap), times).withColumnRenamed("_key", key)
     rows = timed.join(kept, [key, "us"]).groupBy(key, "us").agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_row"))
     return rows.select(key, F.timestamp_micros("us").alias("ts"), "_row.*")
 

@@ -295,21 +295,21 @@ def test_phases(spark):
                    ("stage", "solve", None): 9.0, ("run", None, None): 20.0}
 
 
-def test_heartbeats_fold_and_doubling_agree(spark):
+def test_heartbeats_whatever_the_buckets(spark):
     rng = random.Random(6)
     rows = [(k, i, t) for k in (1, 2) for i, t in enumerate(sorted(rng.uniform(0, 40000) for _ in range(150)))]
+    rows += [(3, i, 7.0 * (i // 2)) for i in range(4000)] + [(4, 0, 5.0), (4, 1, 100_000.0), (4, 2, 100_001.0), (4, 3, 100_900.0)]
     df = spark.createDataFrame(rows, "run_id long, seq long, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1000000).cast("long"))).drop("s")
-    want = set()
-    for k in (1, 2):
-        last = None
-        for kk, i, t in rows:
-            us = int(t * 1000000)
-            if kk == k and (last is None or us - last >= 900_000_000):
-                want.add((k, i))
-                last = us
-    for limit in (10 ** 6, 1):
-        got = telemetry.heartbeats(df, group_limit=limit)
-        assert {(r.run_id, r.seq) for r in got.collect()} == want
+    df = df.unionByName(spark.sql("SELECT CAST(NULL AS LONG) run_id, 1L seq, timestamp_micros(5L) ts UNION ALL SELECT 9L, 1L, NULL"))
+    want, last = set(), {}
+    for k, i, t in rows:
+        us = int(t * 1000000)
+        if k not in last or us - last[k] >= 900_000_000:
+            want.add((k, i))
+            last[k] = us
+    for bucket in (1, 3, 1024):
+        assert {(r.run_id, r.seq) for r in telemetry.heartbeats(df, bucket=bucket).collect()} == want
+    assert telemetry.heartbeats(df.limit(0)).count() == 0
 
 
 def test_latest_row_prefers_final(spark):
