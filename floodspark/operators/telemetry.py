@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -59,41 +59,63 @@ def latest_resource_row(rows: DataFrame, job: str = "job_id") -> DataFrame:
         F.max_by(F.struct(*rest), rank).alias("_r")).select(job, "_r.*")
 
 
-def _next_places(times: np.ndarray, gap_us: int) -> np.ndarray:
-    """Place of the first time at least the gap after each time; the number of times where there is none."""
-    return np.searchsorted(times, times + gap_us)
+def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of sorted rows, cut between buckets: the last bucket of a batch waits for the next one."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        last = (pdf["_key"] != pdf["_key"].iloc[-1]) | (pdf["_b"] != pdf["_b"].iloc[-1])
+        at = int(np.flatnonzero(last.to_numpy())[-1]) + 1 if last.any() else 0
+        same = held and held[0]["_key"].iloc[0] == pdf["_key"].iloc[-1] and held[0]["_b"].iloc[0] == pdf["_b"].iloc[-1]
+        if at or (held and not same):
+            yield pd.concat([*held, pdf.iloc[:at]])
+            held = []
+        held.append(pdf.iloc[at:])
+    if held:
+        yield pd.concat(held)
+
+
+def _chained(pdf: pd.DataFrame, gap_us: int, width_us: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct times of some buckets, their offsets in the bucket, the place after each at least a gap later, and where its bucket ends."""
+    pdf = pdf.drop_duplicates(["_key", "_b", "us"]).reset_index(drop=True)
+    new = ((pdf["_key"] != pdf["_key"].shift()) | (pdf["_b"] != pdf["_b"].shift())).to_numpy()
+    group = np.cumsum(new) - 1
+    offset = pdf["us"].to_numpy() % width_us
+    place = group * (width_us + gap_us) + offset  # buckets a gap apart, so that no search runs into the next one
+    ends = np.append(np.flatnonzero(new)[1:], len(pdf))[group]
+    return pdf, offset, np.minimum(np.searchsorted(place, place + gap_us), ends), ends
 
 
 def _entries(gap_us: int, width_us: int):
-    """How a bucket answers to what may come in: times at which its chain can start, and what that chain leaves closed.
+    """How buckets answer to what may come in: times at which a chain can start, and what that chain leaves closed.
 
-    Whatever was let through before the bucket closes less than a gap of it, so a chain starts at a time in its first
+    Whatever was let through before a bucket closes less than a gap of it, so a chain starts at a time in its first
     gap, or at the first time after that.
     """
-    def chains(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["us"].to_numpy())
-        after = _next_places(times, gap_us)
-        last = np.where(after < len(times), after, np.arange(len(times)))
-        while (last[last] != last).any():
-            last = last[last]
-        first = int(np.searchsorted(times, (times[0] // width_us) * width_us + gap_us))
-        can = slice(0, min(first + 1, len(times)))
-        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "us": times[can], "until": times[last[can]] + gap_us})
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _whole_buckets(batches):
+            pdf, offset, after, ends = _chained(some, gap_us, width_us)
+            last = np.where(after < ends, after, np.arange(len(pdf)))
+            while (last[last] != last).any():
+                last = last[last]
+            first = np.concatenate([[True], ends[1:] != ends[:-1]])
+            can = (offset < gap_us) | first | np.concatenate([[False], offset[:-1] < gap_us])
+            times = pdf["us"].to_numpy()
+            yield pd.DataFrame({"_key": pdf["_key"][can], "us": times[can], "until": times[last[can]] + gap_us})
 
     return chains
 
 
-def _let_through(gap_us: int):
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf.loc[pdf["_start"], "us"]
-        times, kept = np.unique(pdf["us"].to_numpy()), []
-        if len(start):
-            k = int(np.searchsorted(times, int(start.iloc[0])))
-            after = _next_places(times, gap_us)
-            while k < len(times):
-                kept.append(times[k])
-                k = int(after[k])
-        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "us": np.array(kept, np.int64)})
+def _let_through(gap_us: int, width_us: int):
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _whole_buckets(batches):
+            pdf, _, after, ends = _chained(some, gap_us, width_us)
+            kept, at = np.zeros(len(pdf), bool), np.flatnonzero(pdf["_start"].to_numpy())
+            while len(at):  # one step of all buckets' chains at a time
+                kept[at] = True
+                at = after[at][after[at] < ends[at]]
+            yield pdf.loc[kept, ["_key", "us"]]
 
     return emit
 
@@ -139,10 +161,13 @@ def heartbeats(progress: DataFrame, interval_s: int = S.HEARTBEAT_S, key: str =
     slim = timed.select(F.col(key).alias("_key"), place, "us")
     named = T.StructField("_key", progress.schema[key].dataType)
     times = T.StructType([named, T.StructField("us", T.LongType())])
-    entries = checkpointed(slim.groupBy("_key", "_b").applyInPandas(_entries(gap, width), T.StructType([*times, T.StructField("until", T.LongType())])))
+    dealt = slim.repartition("_key", "_b").sortWithinPartitions("_key", "_b", "us")
+    entries = checkpointed(dealt.mapInPandas(_entries(gap, width), T.StructType([*times, T.StructField("until", T.LongType())])))
     starts = _reached(entries, width).select("_key", place, "us", F.lit(True).alias("_start"))
-    marked = slim.withColumn("_start", F.lit(False)).unionByName(starts)
-    kept = marked.groupBy("_key", "_b").applyInPandas(_let_through(gap), times).withColumnRenamed("_key", key)
+    marked = slim.withColumn("_start", F.lit(False)).unionByName(starts).repartition("_key", "_b")
+    # Of equal times the entry sorts first and stands.
+    marked = marked.sortWithinPartitions("_key", "_b", "us", F.desc("_start"))
+    kept = marked.mapInPandas(_let_through(gap, width), times).withColumnRenamed("_key", key)
     rows = timed.join(kept, [key, "us"]).groupBy(key, "us").agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_row"))
     return rows.select(key, F.timestamp_micros("us").alias("ts"), "_row.*")
 
