@@ -165,3 +165,26 @@ def test_random_lines_become_planar(spark):
     wanted = {k: [(rng.uniform(0, 20), rng.uniform(0, 20)) for _ in range(4)] for k in range(12)}
     rows = lines.condition_breaklines(line_rows(spark, wanted, near_spacing={k: 3.0 for k in wanted}), ring_rows(spark, {1: square(2, 2, 15)}), floor=0.4).collect()
     assert len(rows) > 100 and planar(rows, 0.4)
+
+
+def test_query_of_conditioned_breaklines(spark):
+    """The registered query over its whole table: planar, on the grid, near its own line, and along all of it inside the box."""
+    from floodspark.plans.probes import lines as given
+    from floodspark.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["condition_breaklines"](spark, sf).collect()
+    assert planar(rows, 0.25)
+    source = {r.line_id: ([(p.x, p.y) for p in r.line], r.near_spacing or 2.0) for r in given(spark, sf).collect()}
+    for r in rows:
+        line, spacing = source[r.line_id]
+        assert math.dist((r.x0, r.y0), (r.x1, r.y1)) >= 0.25 - 1e-9
+        assert min(distance((r.x0, r.y0), a, b) for a, b in zip(line, line[1:])) <= 0.25 + 0.25 * spacing
+    left, low = (min(line[0][k] for line, _ in source.values()) for k in (0, 1))
+    right, high = (max(line[2][k] for line, _ in source.values()) for k in (0, 1))
+    for line, spacing in source.values():
+        for a, b in zip(line, line[1:]):
+            for i in range(1, 10):
+                q = (a[0] + (b[0] - a[0]) * i / 10, a[1] + (b[1] - a[1]) * i / 10)
+                if left + 1 < q[0] < right - 1 and low + 1 < q[1] < high - 1:
+                    assert min(distance(q, (r.x0, r.y0), (r.x1, r.y1)) for r in rows) <= 0.25 + 0.25 * spacing

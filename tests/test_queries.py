@@ -25,11 +25,15 @@ def plain(rows):
     return sorted(tuple(repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
+#: Rounding to hot cells has no SQL form; test_outlines.py holds this query against exact crossing tests.
+WITHOUT_SQL = {"condition_breaklines"}
+
+
 def test_every_query_has_checking_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | WITHOUT_SQL and not set(ORACLES) & WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
