@@ -12,6 +12,9 @@ from .ordered import carry
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
+#: Grid steps of a window that are handled together.
+PIECE = 4096
+
 
 def classify_forcing(features: DataFrame, data: str = "data") -> DataFrame:
     """Adds kind (missing, constant, series, invalid), constant and series.
@@ -81,8 +84,8 @@ def forcing_anchors(series: DataFrame, windows: DataFrame, step_s: int = 1, key:
     opening = F.col("constant").cast("double") if has_constant else F.lit(None).cast("double")
     starts = bounds.select(*cols, F.lit(0).cast("bigint").alias("from_step"), opening.alias("value"))
     anchors = hits.unionByName(starts).groupBy(*cols, "from_step").agg(F.max("value").alias("value"))
-    # One bucket per 4096 grid steps keeps a very long series out of a single task.
-    linked = carry(anchors, cols, F.floor(F.col("from_step") / 4096), ["from_step"], {"step": F.col("from_step")},
+    # One bucket per PIECE grid steps keeps a very long series out of a single task.
+    linked = carry(anchors, cols, F.floor(F.col("from_step") / PIECE), ["from_step"], {"step": F.col("from_step")},
                    after="_next", exclude_current=True)
     return linked.select(key, "start_ts", "n_steps", "from_step",
                          F.coalesce(F.col("_next.step") - 1, F.col("n_steps")).alias("to_step"), "value")
@@ -92,18 +95,43 @@ def align_forcing(series: DataFrame, windows: DataFrame, step_s: int = 1, key: s
     """Value of each series at every grid time of its window, forward filled.
 
     The grid is generated from the runs of equal value, so grid rows are
-    neither joined nor sorted nor shuffled.
+    neither joined nor sorted nor shuffled. A run is cut into pieces of
+    ``PIECE`` steps that are dealt over the tasks first, so a constant over a
+    year of seconds is neither one array nor the work of one task.
     """
     runs = forcing_anchors(series, windows, step_s, key)
-    rows = runs.withColumn("step", F.explode(F.sequence("from_step", "to_step")))
+    first, last = F.floor(F.col("from_step") / PIECE), F.floor(F.col("to_step") / PIECE)
+    # A given number keeps adaptive execution from merging pieces that are small before they are filled.
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = runs.withColumn("_p", F.explode(F.sequence(first, last))).repartition(tasks, key, "start_ts", "_p")
+    rows = pieces.withColumn("step", F.explode(F.sequence(
+        F.greatest(F.col("from_step"), F.col("_p") * PIECE), F.least(F.col("to_step"), F.col("_p") * PIECE + (PIECE - 1)))))
     ts = F.timestamp_micros(F.unix_micros("start_ts") + F.col("step") * F.lit(int(step_s) * 1_000_000))
     return rows.select(key, "step", ts.alias("ts"), "value")
 
 
-def forcing_at(forcing: DataFrame, times: DataFrame, step_s: int = 1, key: str = "series_id") -> DataFrame:
-    """Value in force at t seconds after the start: the one at floor(t)."""
-    return times.withColumn("step", F.floor(F.col("t_s") / step_s).cast("bigint")).join(
-        forcing.select(key, "step", "value"), [key, "step"], "left")
+def forcing_at(runs: DataFrame, times: DataFrame, step_s: int = 1, key: str = "series_id") -> DataFrame:
+    """Value in force at ``t_s`` seconds after the start: that of the run that covers floor(t).
+
+    ``runs`` are those of ``forcing_anchors``; no grid is made, so the cost
+    follows samples and times, not the length of a window. ``times`` with a
+    ``start_ts`` ask that window, else every window of their key. The value is
+    null before the start, after the end, in a lead-in without samples, for a
+    null time and for a key without a window.
+    """
+    on = [key, "start_ts"]
+    windows = runs.where("from_step = 0").select(*on).distinct()
+    asked = times.withColumn("step", F.floor(F.col("t_s") / step_s).cast("bigint"))
+    if "start_ts" not in times.columns:
+        asked = asked.join(windows, key, "left")
+    samples = runs.select(*on, F.col("from_step").alias("step"), F.struct("to_step", "value").alias("_run"), F.lit(0).alias("_q"))
+    both = asked.withColumn("_q", F.lit(1)).unionByName(samples, allowMissingColumns=True)
+    # A run sorts before a question of its own step, so that the question finds it going back.
+    found = carry(both, on, F.floor(F.col("step") / PIECE), ["step", "_q"], {"run": F.col("_run")}, F.col("_q") == 0, "_before")
+    held = F.col("_before")["run"]
+    return found.where("_q = 1").select(
+        *[c for c in asked.columns if c != "start_ts" or c in times.columns],
+        F.when(F.col("step") <= held["to_step"], held["value"]).alias("value"))
 
 
 def forcing_gaps(series: DataFrame, windows: DataFrame, step_s: int = 1, key: str = "series_id") -> DataFrame:
@@ -127,17 +155,89 @@ def interpolate_boundary(series: DataFrame, times: DataFrame, key: str = "series
     known = known.groupBy(key, "ts").agg(F.max("value").alias("value"))
     start = known.groupBy(key).agg(F.min(F.unix_micros("ts")).alias("_t0"))
     samples = known.join(start, key).select(
-        key, ((F.unix_micros("ts") - F.col("_t0")) / 1e6).alias("t_s"), F.col("value").alias("_sv"), F.lit(0).alias("_q"))
-    wanted = times.select(key, F.col("t_s").cast("double").alias("t_s"), F.lit(None).cast("double").alias("_sv"), F.lit(1).alias("_q"))
-    both = samples.unionByName(wanted)
-    bucket = F.floor(F.col("t_s") / bucket_s)
-    # A sample sorts before a query of its own time, so that query finds it going back.
-    both = carry(both, [key], bucket, ["t_s", "_q"], {"t": F.col("t_s"), "v": F.col("_sv")}, F.col("_q") == 0, "_before", "_after")
+        key, ((F.unix_micros("ts") - F.col("_t0")) / 1e6).alias("t_s"), F.col("value").alias("_from"), F.col("value").alias("_to"))
+    wanted = times.select(key, F.col("t_s").cast("double").alias("t_s"))
+    return _between(samples, wanted, key, bucket_s).select(
+        key, "t_s", F.coalesce("stage", F.lit(0.0)).alias("stage"), F.lit(0.0).alias("xmom"), F.lit(0.0).alias("ymom"))
+
+
+def _between(samples: DataFrame, wanted: DataFrame, key: str, bucket_s: int) -> DataFrame:
+    """``wanted`` with its stage between the samples, null for a key without any.
+
+    A sample has the value that the line before it ends at (``_to``) and the
+    one that the line after it starts from (``_from``); they differ at a jump.
+    """
+    both = wanted.withColumn("_q", F.lit(1)).unionByName(samples.withColumn("_q", F.lit(0)), allowMissingColumns=True)
+    fields = {"t": F.col("t_s"), "into": F.col("_to"), "out": F.col("_from")}
+    # A sample sorts before a question of its own time, so that the question finds it going back.
+    both = carry(both, [key], F.floor(F.col("t_s") / bucket_s), ["t_s", "_q"], fields, F.col("_q") == 0, "_before", "_after")
     b, a = F.col("_before"), F.col("_after")
     share = (F.col("t_s") - b["t"]) / F.nullif(a["t"] - b["t"], F.lit(0.0))
-    stage = (F.when(b.isNull() & a.isNull(), F.lit(0.0)).when(b.isNull(), a["v"]).when(a.isNull(), b["v"])
-             .when(a["t"] == b["t"], b["v"]).otherwise(b["v"] + (a["v"] - b["v"]) * share))
-    return both.where("_q = 1").select(key, "t_s", stage.alias("stage"), F.lit(0.0).alias("xmom"), F.lit(0.0).alias("ymom"))
+    stage = (F.when(b.isNull(), a["into"]).when(a.isNull() | (a["t"] == b["t"]), b["out"])
+             .otherwise(b["out"] + (a["into"] - b["out"]) * share))
+    return both.where("_q = 1").select(*wanted.columns, stage.alias("stage"))
+
+
+def _time_features(features: DataFrame, package: str, index: str, data: str) -> DataFrame:
+    """The first Time feature of each package: status, constant, samples and the number of its Time features."""
+    one = features.select(package, F.col(index).alias("feature_id"), F.col(data).alias("_data"))
+    first = one.groupBy(package).agg(
+        F.min_by(F.struct("feature_id", "_data"), F.struct(F.col("feature_id").isNull(), "feature_id", "_data")).alias("_f"),
+        F.count(F.lit(1)).alias("n_features"))
+    told = classify_forcing(first.select(package, "_f.*", "n_features"), "_data")
+    samples = F.transform("series", lambda r, i: F.struct(
+        i.alias("at"), F.unix_micros(F.try_to_timestamp(r["timestamp"])).alias("us"), r["value"].alias("value")))
+    told = told.withColumn("samples", F.when(F.col("kind") == "series", samples))
+    listed = F.substring(F.ltrim("_data"), 1, 1) == "["
+    status = (F.when(F.col("kind") == "missing", F.lit("no data"))
+              .when(F.col("kind") == "constant", F.lit("ok"))
+              .when((F.col("kind") == "series") & F.forall("samples", lambda r: r["us"].isNotNull()), F.lit("ok"))
+              .when(~listed, F.lit("not a number"))
+              .when(F.col("series").isNull() | (F.size("series") == 0), F.lit("no list of samples"))
+              .otherwise(F.lit("sample without time or value")))
+    return told.withColumn("status", status).drop("series", "_data")
+
+
+def time_boundary(features: DataFrame, times: DataFrame, package: str = "package_id", index: str = "feature_id",
+                  data: str = "data", bucket_s: int = 86400) -> DataFrame:
+    """Stage and momentum that the Time boundary of each package imposes at ``t_s`` seconds.
+
+    ``data`` of a feature is JSON text: a number, a numeric text, a list of
+    timestamp and value, or null. The feature with the lowest index counts, a
+    null index last. Of a list, seconds count from its first sample; the stage
+    is linear in between and constant beyond both ends, and at a time listed
+    twice it jumps to the later entry. Missing data is a stage of 0; wrong data,
+    no feature at all, or a null time in a series give null. ``status`` tells
+    which. Columns of ``times`` are kept, one row each.
+    """
+    told = _time_features(features, package, index, data)
+    samples = (told.where("status = 'ok'").select(package, F.element_at("samples", 1)["us"].alias("_t0"), F.explode("samples").alias("_s"))
+               .groupBy(package, ((F.col("_s.us") - F.col("_t0")) / 1e6).alias("t_s"))
+               .agg(F.min_by("_s.value", "_s.at").alias("_to"), F.max_by("_s.value", "_s.at").alias("_from")))
+    told = told.select(package, F.col("kind").alias("_kind"), F.col("constant").alias("_constant"), F.col("status").alias("status"))
+    wanted = times.withColumn("t_s", F.col("t_s").cast("double")).join(told, package, "left")
+    stage = (F.when(F.col("_kind") == "constant", F.col("_constant")).when(F.col("_kind") == "missing", F.lit(0.0))
+             .when(F.col("t_s").isNotNull(), F.col("stage")))
+    rest = [c for c in times.columns if c not in (package, "t_s")]
+    return (_between(samples, wanted, package, bucket_s).withColumn("stage", stage)
+            .withColumn("_m", F.when(F.col("stage").isNotNull(), F.lit(0.0)))
+            .select(package, "t_s", *rest, "stage", F.col("_m").alias("xmom"), F.col("_m").alias("ymom"),
+                    F.coalesce("status", F.lit("no feature")).alias("status")))
+
+
+def time_boundary_issues(features: DataFrame, packages: DataFrame, package: str = "package_id", index: str = "feature_id",
+                         data: str = "data") -> DataFrame:
+    """What is wrong with the Time boundary of each of ``packages``, one row per reason.
+
+    An error leaves the boundary without a value, or at 0 where data is
+    missing; several features are a warning, as only the first counts.
+    """
+    told = packages.select(package).distinct().join(_time_features(features, package, index, data), package, "left")
+    status = F.coalesce(F.col("status"), F.lit("no feature"))
+    reasons = F.array_compact(F.array(
+        F.when(status != "ok", F.struct(F.lit("error").alias("severity"), status.alias("reason"))),
+        F.when(F.col("n_features") > 1, F.struct(F.lit("warning").alias("severity"), F.lit("several features").alias("reason")))))
+    return told.select(package, "feature_id", F.explode(reasons).alias("_r")).select(package, "feature_id", "_r.*")
 
 
 def forcing_volume(runs: DataFrame, kind: Column, area: Column, step_s: int = 1, key: str = "series_id") -> DataFrame:

@@ -185,6 +185,20 @@ SELECT c_custkey AS feature_id, CAST(floor(c_custkey * 2 / CAST(3 AS DOUBLE)) AS
             ELSE '[{{"timestamp":"2024-01-01T00:00:00Z","value":1.5}},{{"timestamp":"2024-01-01T01:00:00Z","value":2.5}}]' END AS data
 FROM {customer}"""
 
+VIEWS["p_time_features"] = """
+SELECT c_custkey AS feature_id, CAST(floor(c_custkey * 2 / CAST(3 AS DOUBLE)) AS BIGINT) AS package_id,
+       CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '2.5' WHEN 2 THEN '"4.5"' WHEN 3 THEN 'tide' WHEN 4 THEN '[]'
+            WHEN 5 THEN '[{{"timestamp":"2024-01-01T00:00:00Z"}}]'
+            ELSE concat('[{{"timestamp":"2024-01-01T00:00:00Z","value":', CAST(c_nationkey AS STRING),
+                 '}},{{"timestamp":"2024-01-02T00:00:00Z","value":', CAST(c_custkey % 11 AS STRING),
+                 '}},{{"timestamp":"2024-01-05T00:00:00Z","value":"', CAST(c_custkey % 13 AS STRING), '.25"}}]') END AS data
+FROM {customer}"""
+
+VIEWS["p_boundary_times"] = """
+SELECT CAST(user_id AS BIGINT) AS package_id, event_id,
+       CAST(event_id * 37 % 518400 - 43200 AS DOUBLE) + CAST(1 AS DOUBLE) / CAST(8 AS DOUBLE) AS t_s
+FROM {events}"""
+
 VIEWS["p_features"] = """
 SELECT c_custkey AS run_id, concat('{{"triangle_count":', CAST(100 + c_nationkey * 7 AS STRING), ',"min_area":', CAST(c_custkey % 50 AS STRING), '.5}}') AS bag
 FROM {customer}"""

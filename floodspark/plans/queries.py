@@ -474,8 +474,8 @@ def _times(spark, d):
 
 @query
 def forcing_at(spark, d):
-    aligned = forcing.align_forcing(*_forcing(spark, d), step_s=HOUR)
-    return forcing.forcing_at(aligned, _times(spark, d), HOUR).select("series_id", "event_id", "value")
+    runs = forcing.forcing_anchors(*_forcing(spark, d), step_s=HOUR)
+    return forcing.forcing_at(runs, _times(spark, d), HOUR).select("series_id", "event_id", "value")
 
 
 @query
@@ -484,11 +484,28 @@ def interpolate_boundary(spark, d):
     return out.select("series_id", "t_s", "stage", "xmom")
 
 
+def _boundary_times(spark, d):
+    return view(spark, d, "p_boundary_times")
+
+
+@query
+def time_boundary(spark, d):
+    out = forcing.time_boundary(view(spark, d, "p_time_features"), _boundary_times(spark, d))
+    return out.select("package_id", "event_id", "t_s", "stage", "ymom", "status")
+
+
+@query
+def time_boundary_issues(spark, d):
+    return forcing.time_boundary_issues(view(spark, d, "p_time_features"), _boundary_times(spark, d))
+
+
 @query
 def mass_balance(spark, d):
     anchors = forcing.forcing_anchors(*_forcing(spark, d), step_s=HOUR)
-    rain = F.when(F.substring("series_id", -1, 1) == "7", F.lit("rainfall")).otherwise(F.lit("inflow"))
-    expected = forcing.forcing_volume(anchors, rain, F.lit(3.6e6), HOUR)
+    digit = F.substring("series_id", -1, 1)
+    kind = F.when(digit == "7", F.lit("rainfall")).when(digit == "8", F.lit("catchment")).otherwise(F.lit("inflow"))
+    area = F.when(digit == "7", F.lit(2.5e6)).otherwise(F.lit(1.25e6))
+    expected = forcing.forcing_volume(anchors, kind, area, HOUR)
     return forcing.mass_balance(expected, view(spark, d, "p_volumes"), 0.25).select(
         "series_id", F.round("expected_m3", 3).alias("expected_m3"), F.round("relative_error", 5).alias("relative_error"), "passed")
 

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -178,8 +179,11 @@ def test_align_exact_then_fill(spark):
     a = [r.value for r in got.where("series_id = 'a'").orderBy("step").collect()]
     assert a == [None] * 30 + [1.0] * 20 + [2.0] * 11
     assert [r.value for r in got.where("series_id = 'b'").orderBy("step").collect()] == [5.0] * 3
-    at = forcing.forcing_at(got, spark.createDataFrame([("a", 30.9)], "series_id string, t_s double")).first()
-    assert at.value == 1.0
+    asked = spark.createDataFrame([("a", 30.9), ("a", 29.9), ("a", 60.0), ("a", 61.0), ("a", -0.5), ("b", 2.0), ("c", 0.0), ("a", None)],
+                                  "series_id string, t_s double")
+    at = {(r.series_id, r.t_s): r.value for r in forcing.forcing_at(forcing.forcing_anchors(s, w), asked).collect()}
+    assert at == {("a", 30.9): 1.0, ("a", 29.9): None, ("a", 60.0): 2.0, ("a", 61.0): None, ("a", -0.5): None, ("b", 2.0): 5.0,
+                  ("c", 0.0): None, ("a", None): None}
     assert forcing.duplicate_samples(s.unionByName(s.limit(1))).count() == 1
 
 
@@ -196,6 +200,83 @@ def test_long_series_over_many_buckets(spark):
     assert got.where(F.col("value") != F.floor(F.col("step") / 7000) * 7000).count() == 0 and got.count() == 30001
 
 
+def test_constant_over_a_year_of_seconds(spark):
+    """Neither the grid nor the lookup makes an array or a task of a whole run; a lookup makes no grid at all."""
+    year = 366 * 86400
+    s = series(spark, [("x", "2024-01-01", 1.0)]).limit(0)
+    w = windows(spark, [("a", "2024-01-01", year, 3.0)])
+    runs = forcing.forcing_anchors(s, w)
+    assert runs.count() == 1
+    asked = spark.createDataFrame([("a", 0.0), ("a", year - 0.5), ("a", float(year)), ("a", year + 1.0)], "series_id string, t_s double")
+    found = forcing.forcing_at(runs, asked)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    assert {r.t_s: r.value for r in found.collect()} == {0.0: 3.0, year - 0.5: 3.0, float(year): 3.0, year + 1.0: None}
+    grid = forcing.align_forcing(s, windows(spark, [("a", "2024-01-01", 2_000_000, 3.0)]))
+    tasks = grid.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("lo"), F.max("step").alias("hi")).collect()
+    assert sum(r.n for r in tasks) == 2_000_001 and min(r.lo for r in tasks) == 0 and max(r.hi for r in tasks) == 2_000_000
+    assert len(tasks) > 1 and max(r.n for r in tasks) < 1_500_000
+
+
+def test_forcing_at_asks_the_window_it_names(spark):
+    s = series(spark, [("a", "2024-01-01 00:00:10", 1.0), ("a", "2024-01-02 00:00:10", 2.0)])
+    w = windows(spark, [("a", "2024-01-01", 60, None), ("a", "2024-01-02", 60, None)])
+    runs = forcing.forcing_anchors(s, w)
+    asked = spark.createDataFrame([("a", 20.0, "2024-01-02")], "series_id string, t_s double, s string")
+    assert [r.value for r in forcing.forcing_at(runs, asked.withColumn("start_ts", F.to_timestamp("s"))).collect()] == [2.0]
+    assert sorted(r.value for r in forcing.forcing_at(runs, asked).collect()) == [1.0, 2.0]
+
+
+def at_boundary(spark, features, times):
+    f = spark.createDataFrame(features, "package_id long, feature_id string, data string")
+    t = spark.createDataFrame(times, "package_id long, t_s double")
+    return f, t, {(r.package_id, r.t_s): (r.stage, r.xmom, r.ymom, r.status) for r in forcing.time_boundary(f, t, bucket_s=40).collect()}
+
+
+def samples(*rows):
+    return json.dumps([{"timestamp": f"2020-01-01T00:0{t // 60}:{t % 60:02d}+00:00", "value": v} for t, v in rows])
+
+
+@pytest.mark.parametrize("data,wanted", [
+    ("2.5", {0: 2.5, 100: 2.5, 99999: 2.5}), ("3", {50: 3.0}), ("0", {0: 0.0}), ('"4.4"', {0: 4.4}), ("4.4", {-1: 4.4}),
+    (samples((0, 0.0), (60, 6.0)), {0: 0.0, 60: 6.0, 30: 3.0}), (samples((0, 1.0), (60, 5.0)), {-100: 1.0, 99999: 5.0}),
+    (samples((0, 0.0), (30, 3.0), (60, 0.0)), {0: 0.0, 30: 3.0, 60: 0.0, 45: 1.5}), (samples((0, "7.5")), {-3: 7.5, 0: 7.5, 3: 7.5}),
+    (samples((0, 0.0), (30, 3.0), (30, 9.0), (60, 0.0)), {15: 1.5, 30: 9.0, 45: 4.5}), (samples((30, 1.0), (60, 2.0)), {0: 1.0, 15: 1.5})])
+def test_time_boundary_by_kind_of_data(spark, data, wanted):
+    f, t, got = at_boundary(spark, [(1, "bdy.1", data)], [(1, float(s)) for s in wanted])
+    assert got == {(1, float(s)): (v, 0.0, 0.0, "ok") for s, v in wanted.items()}
+    assert forcing.time_boundary_issues(f, t).count() == 0
+
+
+@pytest.mark.parametrize("data,reason,stage", [
+    ("not_a_number", "not a number", None), ("[]", "no list of samples", None), ('[{"value": 1.0}]', "sample without time or value", None),
+    ('[{"timestamp": "2020-01-01T00:00:00Z"}]', "sample without time or value", None), ("{}", "not a number", None),
+    ('[{"timestamp": "some day", "value": 1}]', "sample without time or value", None),
+    ('[{"timestamp": "2020-01-01T00:00:00Z", "value": "high"}]', "sample without time or value", None), ("", "not a number", None),
+    (None, "no data", 0.0), ("null", "no data", 0.0)])
+def test_time_boundary_errors(spark, data, reason, stage):
+    f, t, got = at_boundary(spark, [(1, "bdy.1", data)], [(1, 0.0)])
+    assert got == {(1, 0.0): (stage, stage, stage, reason)}
+    assert [tuple(r) for r in forcing.time_boundary_issues(f, t).collect()] == [(1, "bdy.1", "error", reason)]
+
+
+def test_time_boundary_takes_the_first_feature_of_each_package(spark):
+    two = samples((0, 0.0), (60, 6.0))
+    features = [(1, "bdy.2", "99"), (1, "bdy.1", "1"), (1, None, "77"), (2, "bdy.1", two), (4, "bdy.1", two), (4, "bdy.1", two)]
+    f, t, got = at_boundary(spark, features, [(1, 10.0), (2, 10.0), (2, None), (3, 10.0), (4, 20.0), (None, 1.0)])
+    assert got == {(1, 10.0): (1.0, 0.0, 0.0, "ok"), (2, 10.0): (1.0, 0.0, 0.0, "ok"), (2, None): (None, None, None, "ok"),
+                   (3, 10.0): (None, None, None, "no feature"), (4, 20.0): (2.0, 0.0, 0.0, "ok"), (None, 1.0): (None, None, None, "no feature")}
+    issues = {tuple(r) for r in forcing.time_boundary_issues(f, t.where("package_id is not null")).collect()}
+    assert issues == {(1, "bdy.1", "warning", "several features"), (3, None, "error", "no feature"), (4, "bdy.1", "warning", "several features")}
+    assert forcing.time_boundary(f.limit(0), t).where("status = 'no feature'").count() == 6
+    assert forcing.time_boundary(f, t.limit(0)).count() == 0
+
+
+def test_time_boundary_keeps_repeated_times_and_extra_columns(spark):
+    f = spark.createDataFrame([(1, "a", samples((0, 0.0), (60, 6.0)))], "package_id long, feature_id string, data string")
+    t = spark.createDataFrame([(1, 30.0, "x"), (1, 30.0, "x"), (1, 30.0, "y")], "package_id long, t_s double, kind string")
+    assert sorted((r.kind, r.stage) for r in forcing.time_boundary(f, t).collect()) == [("x", 3.0), ("x", 3.0), ("y", 3.0)]
+
+
 @pytest.mark.parametrize("t,want", [(-5, 0.0), (0, 0.0), (30, 3.0), (60, 6.0), (99, 6.0)])
 def test_time_boundary(spark, t, want):
     s = series(spark, [("b", "2024-01-01T00:00:00Z", 0.0), ("b", "2024-01-01T00:01:00Z", 6.0)])
