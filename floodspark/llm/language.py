@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.llm.common import kept, stored
+from floodspark.operators.ordered import number_rows
 
 ORDERS = (5, 4, 3, 2, 1)
 BACKOFF = 0.4
@@ -38,15 +39,16 @@ def grams(word: str, order: int) -> list[str]:
 def train(docs: DataFrame, max_docs: int = 20_000, max_words: int = 20_000, max_grams: int = 10_000) -> dict:
     """Word and n-gram log frequencies of each language of the labelled documents that are not held out.
 
-    ``max_docs`` bounds the sample: where more documents are labelled, those with the smallest hash of the key are
-    taken, whole texts each. ``max_words`` and ``max_grams`` bound what is kept of a language and order, most frequent
-    first. So the model's size does not depend on the corpus.
+    ``max_docs`` bounds the sample: where more documents are labelled, those with the smallest hash of key and text
+    are taken, whole texts each; equal rows go together. ``max_words`` and ``max_grams`` bound what is kept of a
+    language and order, most frequent first, then by hash. So the model's size does not depend on the corpus, and no
+    task orders all units of a language: they are numbered by buckets of their count and hash.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out(), F.lit(False)))
     n = labelled.count()
     if n > max_docs:
         share = int(max_docs / n * (1 << 32))
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share)
+        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < share)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,8 +70,9 @@ def train(docs: DataFrame, max_docs: int = 20_000, max_words: int = 20_000, max_
     add = lambda df: df.groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
     words = stored(add(labelled.select("lang", "text").mapInArrow(count_words, schema)), "words")
     counted = words.union(add(words.mapInArrow(count_grams, schema)))
-    most = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "unit")
-    kept = counted.withColumn("place", F.row_number().over(most)).filter(
+    counted = stored(counted.withColumn("down", -F.col("n")).withColumn("mark", F.xxhash64("unit")), "units")
+    bucket = F.struct("down", F.shiftright("mark", 58).alias("part"))
+    kept = number_rows(counted, ["lang", "kind"], bucket, [F.col("down"), F.col("mark"), F.col("unit")], "place").filter(
         F.col("place") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))
     rows = kept.select("lang", "kind", "unit", "n").toPandas().sort_values(["kind", "unit", "lang"])
     langs = sorted(rows["lang"].unique())
@@ -104,10 +107,14 @@ def score_word(word: str, model: dict) -> np.ndarray:
 
 
 class Scorer:
-    """Scores texts as ``score_word`` does, many new tokens at once; remembers the score of up to ``limit`` tokens."""
+    """Scores texts as ``score_word`` does, many new tokens at once.
 
-    def __init__(self, model: dict, limit: int = 800_000):
-        self.langs, self.limit = model["langs"], limit
+    Remembers the score of up to ``limit`` tokens of ``letters`` characters in all, as a token of a script without
+    spaces may be a whole text; beyond, only the tokens of the text at hand.
+    """
+
+    def __init__(self, model: dict, limit: int = 800_000, letters: int = 16 << 20):
+        self.langs, self.limit, self.letters = model["langs"], limit, letters
         self.words, self.grams, tables, at = {}, {}, [], 0
         for kind, units in model["units"].items():
             step = ORDERS.index(kind) + 1 if kind else 0
@@ -119,13 +126,15 @@ class Scorer:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0
         self.scores = np.zeros((1024, len(self.langs)))
 
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self.place]
-        if len(self.place) + len(new) > self.limit and self.place:
+        if self.place and (len(self.place) + len(new) > self.limit or self.held + sum(map(len, new)) > self.letters):
             self.forget()
             new = list(tokens)
+        self.held += sum(map(len, new))
         need = len(self.place) + len(new)
         if need > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros((need, len(self.langs)))])

@@ -57,3 +57,21 @@ def test_edges(spark, edge_docs, no_docs):
     assert none["langs"] == [] and language.identify(no_docs, none).count() == 0
     assert {r.lang_pred for r in language.identify(edge_docs, none).collect()} == {"und"}
     assert language.accepted(edge_docs, none).count() == 0
+
+
+def test_model_keeps_the_most_frequent_units_exactly(spark):
+    """A language of many rare words: exactly the bound is kept, none more frequent is left out, also of a single language."""
+    rows = [(k, "xx", " ".join([f"common{chr(97 + j)}" for j in range(9)] + [f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}"])) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train(docs, max_words=40, max_grams=15)
+    assert len(model["units"][0]) == 40 and all(len(model["units"][o]) == 15 for o in language.ORDERS[:-1])
+    assert {f"common{chr(97 + j)}" for j in range(9)} <= set(model["units"][0])
+
+
+def test_remembered_tokens_are_bounded_by_letters(spark):
+    model = language.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    small, large = language.Scorer(model, letters=50), language.Scorer(model)
+    for text in ["the cat and the dog " * 5, "unbroken" * 200, "le chat et le chien", "the cat", "unbroken" * 200 + " the"]:
+        assert small.predict(text) == large.predict(text)
+        assert small.held <= max(50, sum(map(len, set(text.split()))))
+
