@@ -46,14 +46,14 @@ def file_stem(path: Column) -> Column:
 
 
 def step_of(path: Column) -> Column:
-    """The six-digit step that ends a raster's name."""
-    return _match(file_stem(path), r"(\d{6})$").cast("bigint")
+    """The six-digit step that ends a raster's name; null for files that are no raster."""
+    return F.when(F.endswith(path, F.lit(".tif")), _match(file_stem(path), r"(\d{6})$").cast("bigint"))
 
 
 def quantity_of(path: Column) -> Column:
-    """Longest known quantity followed by a step or by ``max`` in a raster's name."""
-    return _match(
-        file_stem(path), r"_(depthIntegratedVelocity|depth|velocity|stage)_(?:Time_)?(?:\d{6}|max)$")
+    """Longest known quantity followed by a step or by ``max`` in a raster's name; null for files that are no raster."""
+    return F.when(F.endswith(path, F.lit(".tif")), _match(
+        file_stem(path), r"_(depthIntegratedVelocity|depth|velocity|stage)_(?:Time_)?(?:\d{6}|max)$"))
 
 
 def epsg_code(text: Column) -> Column:

@@ -40,19 +40,31 @@ def with_epsg(df: DataFrame, text: str = "epsg") -> DataFrame:
 
 
 def crs_dimension(spark) -> DataFrame:
-    """UTM zones by code: 326zz north, 327zz south, 283zz the Australian grid (zones 46 to 59)."""
+    """UTM zones by code: 326zz north, 327zz south, 283zz and 78zz the Australian grids (zones 46 to 59)."""
     zones = spark.range(1, 61).select(F.col("id").cast("int").alias("zone"))
     part = lambda base, name, hemi, rows: rows.select(
         (F.lit(base) + F.col("zone")).cast("int").alias("epsg_code"), "zone", F.lit(hemi).alias("hemisphere"),
         F.concat(F.lit(name), F.col("zone")).alias("crs_name"))
     return (part(32600, "WGS 84 / UTM zone ", "north", zones)
             .unionByName(part(32700, "WGS 84 / UTM zone ", "south", zones))
-            .unionByName(part(28300, "GDA94 / MGA zone ", "south", zones.where("zone between 46 and 59"))))
+            .unionByName(part(28300, "GDA94 / MGA zone ", "south", zones.where("zone between 46 and 59")))
+            .unionByName(part(7800, "GDA2020 / MGA zone ", "south", zones.where("zone between 46 and 59"))))
 
 
 def with_utm_zone(df: DataFrame, crs: DataFrame, text: str = "epsg") -> DataFrame:
-    """Adds epsg_code, zone and zone_status; the CRS table has at most 134 rows."""
-    found = with_epsg(df, text).join(F.broadcast(crs.select("epsg_code", "zone", "hemisphere")), "epsg_code", "left")
+    """Adds epsg_code, zone, hemisphere and zone_status by a CRS table with one row a code.
+
+    A CRS without a zone, or a table without that column, is read by its
+    ``crs_name`` ("... zone 55", any case). The table is the caller's and may
+    be of any size, so how to join it is left to Spark.
+    """
+    have = set(crs.columns)
+    zone = F.col("zone").cast("int") if "zone" in have else F.lit(None).cast("int")
+    if "crs_name" in have:
+        zone = F.coalesce(zone, F.nullif(F.regexp_extract("crs_name", r"(?i)zone\s+(\d+)", 1), F.lit("")).try_cast("int"))
+    hemisphere = F.col("hemisphere") if "hemisphere" in have else F.lit(None).cast("string")
+    found = with_epsg(df, text).join(
+        crs.select("epsg_code", zone.alias("zone"), hemisphere.alias("hemisphere")), "epsg_code", "left")
     return found.withColumn("zone_status", F.when(F.col("zone").isNotNull(), F.lit("ok"))
                             .when(F.col("epsg_code").isNull(), F.lit("error: no CRS"))
                             .otherwise(F.lit("error: not a UTM zone")))

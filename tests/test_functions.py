@@ -95,7 +95,8 @@ def test_version_sha(spark, version, want):
 
 @pytest.mark.parametrize("path,step,quantity", [
     ("o/run_1_depth_Time_000060.tif", 60, "depth"), ("o/run_1_depthIntegratedVelocity_001200.tif", 1200, "depthIntegratedVelocity"),
-    ("o/run_1_stage_max.tif", None, "stage"), ("scenario.json", None, None)])
+    ("o/run_1_stage_max.tif", None, "stage"), ("scenario.json", None, None), ("o/run_1_depth_000060.png", None, None),
+    ("o/run_1_depth_000060.tif.aux.xml", None, None), ("o/run_1_depth_max.TIF", None, None)])
 def test_raster_names(spark, path, step, quantity):
     assert one(spark, fn.step_of(F.col("p")), p=path) == step
     assert one(spark, fn.quantity_of(F.col("p")), p=path) == quantity

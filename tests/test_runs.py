@@ -359,6 +359,13 @@ def test_structures_and_zone(spark):
     assert [r.treatment for r in inputs.route_structures(df).collect()] == ["hole", "friction", "elevation", "ignored", "unknown"]
     crs = inputs.with_utm_zone(spark.createDataFrame([("EPSG:28355",), ("4326",), (None,)], "epsg string"), inputs.crs_dimension(spark))
     assert {r.epsg: (r.zone, r.zone_status[:5]) for r in crs.collect()} == {"EPSG:28355": (55, "ok"), "4326": (None, "error"), None: (None, "error")}
+    texts = spark.createDataFrame([("EPSG:7855",), ("EPSG:2193",), ("urn:ogc:def:crs:EPSG::5555",), ("4326",)], "epsg string")
+    named = spark.createDataFrame([(7855, "GDA2020 / MGA zone 55"), (5555, "Somewhere / ZONE  7 (east)"), (2193, "NZGD2000"), (4326, None)],
+                                  "epsg_code int, crs_name string")
+    got = {r.epsg: (r.zone, r.zone_status) for r in inputs.with_utm_zone(texts, named).collect()}
+    assert got == {"EPSG:7855": (55, "ok"), "urn:ogc:def:crs:EPSG::5555": (7, "ok"), "EPSG:2193": (None, "error: not a UTM zone"),
+                   "4326": (None, "error: not a UTM zone")}
+    assert inputs.with_utm_zone(texts, inputs.crs_dimension(spark)).where("epsg = 'EPSG:7855'").first().hemisphere == "south"
 
 
 def test_grid_resolution(spark):
