@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .ordered import first_at_max, row_at_extreme
+from .ordered import row_at_extreme
 from .spatial import BIN, bin_of, points_in_polygons, _segment_bins
 from ..functions import inside_ring, ring_edges
 
@@ -49,28 +49,38 @@ def flow_diagnostics(cells: DataFrame, cfl: float = 0.9, keys: Sequence[str] = (
     full cells, the rest over wet ones; the first cell wins a tie in speed.
     """
     keys = list(keys)
-    c = with_wet_flag(cells)
+    c = with_cell_speed(cells)
+    figures = step_figures()
+    out = c.groupBy(*keys).agg(*[{"sum": F.sum, "max": F.max, "min": F.min}[how](value).alias(name)
+                                 for name, (how, value) in figures.items()])
+    at = row_at_extreme(c, keys, "speed", "cell_id", ["x", "y"], True)
+    return flow_columns(out.join(at, keys, "left"), keys, cfl)
+
+
+def with_cell_speed(cells: DataFrame) -> DataFrame:
+    """Adds depth, wet and, for wet cells, speed."""
     deep = F.greatest("depth", F.lit(S.WET_THRESHOLD_M))
-    c = c.withColumn("speed", F.when(F.col("wet"), F.sqrt(F.col("xmom") / deep * (F.col("xmom") / deep) + F.col("ymom") / deep * (F.col("ymom") / deep))))
+    speed = F.sqrt(F.col("xmom") / deep * (F.col("xmom") / deep) + F.col("ymom") / deep * (F.col("ymom") / deep))
+    return with_wet_flag(cells).withColumn("speed", F.when(F.col("wet"), speed))
+
+
+def step_figures() -> dict[str, tuple[str, Column]]:
+    """What a step's cells add up to: name, how values merge, and the value of a cell."""
     wet = lambda v: F.when(F.col("wet"), v)
-    fastest = first_at_max(F.col("speed"), F.col("cell_id"))
-    # A stream can't meet its own aggregate, so there the place is part of the one aggregation.
-    place = [F.max_by("x", fastest).alias("_x"), F.max_by("y", fastest).alias("_y")] if cells.isStreaming else []
-    out = c.groupBy(*keys).agg(
-        F.count_if("wet").alias("wet_cells"), F.count_if("is_full").alias("_full"),
-        F.sum(wet(F.col("depth") * F.col("area"))).alias("_volume"),
-        F.max(F.when(F.col("is_full"), F.col("depth"))).alias("_depth"),
-        F.max("speed").alias("_speed"), *place,
-        F.min(wet(F.col("inradius"))).alias("_r"), F.max("dt").alias("_dt"))
-    if not place:
-        at = row_at_extreme(c, keys, "speed", "cell_id", ["x", "y"], True)
-        out = out.join(at.withColumnsRenamed({"x": "_x", "y": "_y"}), keys, "left")
+    return {"wet_cells": ("sum", F.col("wet").cast("int")), "_full": ("sum", F.col("is_full").cast("int")),
+            "_volume": ("sum", wet(F.col("depth") * F.col("area"))), "_depth": ("max", F.when(F.col("is_full"), F.col("depth"))),
+            "_speed": ("max", F.col("speed")), "_r": ("min", wet(F.col("inradius"))), "_dt": ("max", F.col("dt"))}
+
+
+def flow_columns(steps: DataFrame, keys: Sequence[str], cfl: float = 0.9) -> DataFrame:
+    """Flow figures from the merged ``step_figures`` and the place x, y of the fastest cell."""
     zero = F.lit(0.0)
-    return out.select(
-        *keys, "wet_cells", (F.col("wet_cells") / F.greatest(F.lit(1), "_full")).alias("wet_fraction"),
+    count = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))
+    return steps.select(
+        *keys, count("wet_cells").alias("wet_cells"), (count("wet_cells") / F.greatest(F.lit(1), count("_full"))).alias("wet_fraction"),
         F.coalesce("_volume", zero).alias("volume_m3"), F.coalesce("_depth", zero).alias("max_depth_m"),
         F.coalesce("_speed", zero).alias("max_speed_ms"),
-        F.coalesce("_x", zero).alias("peak_speed_x"), F.coalesce("_y", zero).alias("peak_speed_y"),
+        F.coalesce("x", zero).alias("peak_speed_x"), F.coalesce("y", zero).alias("peak_speed_y"),
         F.coalesce(F.col("_r") * cfl / F.greatest("_dt", F.lit(1e-12)), zero).alias("implied_max_speed_ms"),
         (F.col("_dt") * 1000.0).alias("last_dt_ms"))
 

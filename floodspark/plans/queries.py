@@ -75,7 +75,8 @@ def flow_diagnostics(spark, d):
 
 @query
 def flow_diagnostics_live(spark, d):
-    return live.drain(spark, live.flow_diagnostics_stream(_cells(spark, d, True)), "update", ["run_id", "t"])
+    cells = _cells(spark, d, True).withColumn("at", F.timestamp_seconds("t"))
+    return live.drain(spark, live.flow_diagnostics_stream(cells, at="at"), "update", ["run_id", "t"])
 
 
 @query

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
-from ..operators.results import flow_diagnostics
+from ..operators.results import flow_columns, step_figures, with_cell_speed
 from ..session import shared_dir
+from .standing import combined, opened, standing_rows
 
 __all__ = ["typed_events", "latest_progress", "instability_alerts", "heartbeats_stream", "stuck_runs_stream",
            "resource_ledger", "phase_peaks_stream", "flow_diagnostics_stream", "run_events", "drain"]
@@ -47,17 +48,24 @@ def typed_events(log: DataFrame) -> DataFrame:
             .withColumn("volume", F.when(k == "progress", part(r"vol=([0-9.-]+)m")).cast("double")))
 
 
-def latest_progress(events: DataFrame, key: str = "run_id") -> DataFrame:
-    """Latest progress and status per run; update mode on a stream."""
-    return events.groupBy(key).agg(F.max_by(F.struct("ts", "seq", "pct", "status"), F.struct("ts", "seq")).alias("_e")).select(
-        key, "_e.*")
+def _order(*columns: str, sign: int = 1) -> list:
+    """Times and numbers as ascending (or descending) ranks; null sorts lowest in either."""
+    least = F.lit(-(1 << 63)).cast("bigint")
+    return [F.coalesce(sign * (F.unix_micros(c) if c == "ts" else F.col(c).cast("bigint")), least) for c in columns]
 
 
-def instability_alerts(diagnostics: DataFrame, key: str = "run_id") -> DataFrame:
-    """First diagnostics row of each run with an impossible implied speed; update mode on a stream."""
+def latest_progress(events: DataFrame, key: str = "run_id", keep_s: int = 30 * 86400, watermark: str = "1 hour") -> DataFrame:
+    """Latest progress and status per run; a run without events for ``keep_s`` is forgotten. Update mode."""
+    return standing_rows(events, [key], _order("ts", "seq"), ["ts", "seq", "pct", "status"], keep_s, F.col("ts"), watermark)
+
+
+def instability_alerts(diagnostics: DataFrame, key: str = "run_id", keep_s: int = 30 * 86400, watermark: str = "1 hour") -> DataFrame:
+    """First diagnostics row of each run with an impossible implied speed; update mode.
+
+    A run raises one alert, replaced only by an earlier row that came late, until it shows none for ``keep_s``.
+    """
     hot = diagnostics.where(F.col("implied_max_speed_ms") >= S.INSTABILITY_SPEED_MS)
-    return hot.groupBy(key).agg(F.min_by(F.struct("ts", "seq", "implied_max_speed_ms"), F.struct("ts", "seq")).alias("_a")).select(
-        key, "_a.*")
+    return standing_rows(hot, [key], _order("ts", "seq", sign=-1), ["ts", "seq", "implied_max_speed_ms"], keep_s, F.col("ts"), watermark)
 
 
 def heartbeats_stream(events: DataFrame, interval_s: int = S.HEARTBEAT_S, key: str = "run_id") -> DataFrame:
@@ -88,7 +96,8 @@ def stuck_runs_stream(events: DataFrame, timeout_s: int = S.STUCK_AFTER_S, termi
     """Every silence longer than the timeout after an event that is not terminal: (run, time of that event).
 
     A silence that an event ends shows when that event comes; one still open shows by an event-time timer. Events
-    older than what a run has shown before count for nothing.
+    older than what a run has shown before count for nothing. Within one span of the timeout no two events are a
+    silence apart, so each Arrow batch sends on only the first and last event of a run in a span.
     """
     out = T.StructType([events.schema[key], T.StructField("last_event_us", T.LongType())])
     done = tuple(terminal)
@@ -114,18 +123,31 @@ def stuck_runs_stream(events: DataFrame, timeout_s: int = S.STUCK_AFTER_S, termi
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     seq = F.col("seq").cast("bigint") if "seq" in events.columns else F.lit(0).cast("bigint")
-    slim = events.withWatermark("ts", watermark).select(key, "ts", F.unix_micros("ts").alias("us"), seq.alias("seq"), "status")
-    return slim.groupBy(key).applyInPandasWithState(
+    slim = events.where(F.col("ts").isNotNull()).select(key, "ts", F.unix_micros("ts").alias("us"), seq.alias("seq"), "status")
+    span = int(timeout_s) * 1_000_000
+
+    def ends(batches):
+        for pdf in batches:
+            pdf = pdf.sort_values(["us", "seq"], kind="stable")
+            spans = [pdf[key], pdf["us"] // span]
+            inner = pdf.groupby(spans, sort=False, dropna=False).cumcount().gt(0) & pdf.groupby(spans, sort=False, dropna=False).cumcount(ascending=False).gt(0)
+            yield pdf[~inner]
+
+    few = slim.drop("ts").mapInPandas(ends, slim.drop("ts").schema)
+    few = few.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", watermark)
+    return few.groupBy(key).applyInPandasWithState(
         watch, out, T.StructType([T.StructField("last", T.LongType()), T.StructField("ended", T.BooleanType())]),
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def resource_ledger(rows: DataFrame, job: str = "job_id") -> DataFrame:
-    """Standing row per job: a late partial never replaces a final one. Update mode on a stream."""
-    rest = [c for c in rows.columns if c != job]
-    rank = F.struct((~F.col("partial")).alias("final"), F.col("ts"), F.col("seq"))
+def resource_ledger(rows: DataFrame, job: str = "job_id", keep_s: int = 30 * 86400, watermark: str = "1 hour") -> DataFrame:
+    """Standing row per job: a late partial never replaces a final one. Update mode.
+
+    A job without rows for ``keep_s`` is forgotten; rows older than the watermark are dropped.
+    """
     kept = rows.where(F.col(job).isNotNull() & (F.col(job).cast("string") != ""))
-    return kept.groupBy(job).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(job, "_r.*")
+    final = F.coalesce((~F.col("partial")).cast("bigint"), F.lit(-1).cast("bigint"))
+    return standing_rows(kept, [job], [final, *_order("ts", "seq")], [c for c in rows.columns if c != job], keep_s, F.col("ts"), watermark)
 
 
 def phase_peaks_stream(samples: DataFrame, window: str = "1 day", watermark: str = "1 hour", key: str = "run_id") -> DataFrame:
@@ -135,9 +157,23 @@ def phase_peaks_stream(samples: DataFrame, window: str = "1 day", watermark: str
         key, "phase", F.col("_w.start").alias("window_start"), "peak_rss")
 
 
-def flow_diagnostics_stream(cells: DataFrame, cfl: float = 0.9) -> DataFrame:
-    """Flow figures of each step as its cell-state files land. Update mode."""
-    return flow_diagnostics(cells, cfl)
+def flow_diagnostics_stream(cells: DataFrame, cfl: float = 0.9, keys: Sequence[str] = ("run_id", "t"), at: str | None = None,
+                            watermark: str = "6 hours") -> DataFrame:
+    """Flow figures of each step as its cell-state files land; update mode. A NaN figure counts as missing.
+
+    ``at`` names the time of a step, the same for all its cells; the state of a step ends once the watermark passes
+    it. Without such a column a step may always get more cells, and its state stays.
+    """
+    figures, cells = step_figures(), with_cell_speed(cells)
+    fastest = [F.when(~F.isnan("speed"), F.col("speed")), -F.col("cell_id")]
+    few = combined(cells, keys, fastest, ["x", "y"], F.col(at) if at else None, figures)
+    by = ["key"]
+    if at:
+        few, by = few.withColumn("event_time", F.timestamp_micros("seen")).withWatermark("event_time", watermark), ["key", "event_time"]
+    merge = {"sum": F.sum, "max": F.max, "min": F.min}
+    best = F.when(F.col("rank0").isNotNull(), F.struct("rank0", "rank1"))
+    steps = few.groupBy(*by).agg(F.max_by("row", best).alias("row"), *[merge[how](n).alias(n) for n, (how, _) in figures.items()])
+    return flow_columns(opened(steps, cells.schema, keys, ["x", "y"], list(figures)), keys, cfl)
 
 
 def run_events(stream: DataFrame, listener: Callable[[DataFrame, int], None], checkpoint: str):
