@@ -93,3 +93,10 @@ RUN_SUMMARY = T.StructType(
             cpu_count_physical="l", cpu_freq_max_mhz="d", total_ram_gb="d")),
     ]
 )
+
+# Fields of scenario.json by the JSON type they take.
+TEXT_FIELDS = ("format_version", "epsg", "boundary")
+OPTIONAL_TEXT_FIELDS = ("name", "description", "control_server", "elevation", "friction", "inflow", "rainfall", "structure",
+                        "mesh_region", "hydrology_status", "catchment", "nodes", "links", "model_start", "breakline")
+INTEGER_FIELDS = ("duration", "id", "run_id", "project")
+OPTIONAL_NUMBER_FIELDS = ("resolution", "max_rmse_tolerance", "default_near_spacing")

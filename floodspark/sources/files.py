@@ -227,7 +227,20 @@ def write_features(features: DataFrame, path: str, package: str = "package") ->
     features.select(package, F.col("feature").alias("value")).write.mode("append").partitionBy(package).text(path)
 
 
-def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` with size and time; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+def file_inventory(spark: SparkSession, root: str, run: str | None = None) -> DataFrame:
+    """Every file below ``root`` with size and time; contents are not read.
+
+    With ``run``, the folders right below the root are runs: a column of that
+    name holds the folder, ``path`` is what follows it, and files beside the
+    folders are left out. So the result goes straight into ``package_members``,
+    ``package_report`` and ``archive_gaps``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
         "path", "length", "modificationTime")
+    if run is None:
+        return files
+    top = root.rstrip("/") + "/"
+    at = F.locate(top, F.col("path")) + len(top)
+    parts = files.withColumn("_below", F.col("path").substr(at, F.length("path"))).where(F.instr("_below", "/") > 1)
+    return parts.select(F.substring_index("_below", "/", 1).alias(run),
+                        F.expr("substring(_below, locate('/', _below) + 1)").alias("path"), "length", "modificationTime")

@@ -99,6 +99,40 @@ def test_features_and_inventory(spark, tmp_path):
     assert files.columns == ["path", "length", "modificationTime"] and files.where("length > 0").count() == 4
 
 
+def test_inventory_by_run_feeds_report_and_gaps(spark, tmp_path):
+    from floodspark.operators import artefacts
+
+    root = tmp_path / "it's 100%"
+    for name in ("1_1_1/run_1_1_1.sww", "1_1_1/package.zip", "1_1_1/engine/main.py", "2_2_2/deep/scenario.json", "stray.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("abc")
+    files = sources.file_inventory(spark, str(root), run="run_id")
+    assert {(r.run_id, r.path, r.length) for r in files.collect()} == {
+        ("1_1_1", "run_1_1_1.sww", 3), ("1_1_1", "package.zip", 3), ("1_1_1", "engine/main.py", 3), ("2_2_2", "deep/scenario.json", 3)}
+    report = {(r.run_id, r.reason): r.n_files for r in artefacts.package_report(files).collect()}
+    assert report[("1_1_1", "directory")] == 1 and report[("2_2_2", "kept")] == 1
+    runs = files.select("run_id").distinct().withColumn("run_label", F.concat(F.lit("run_"), "run_id"))
+    gaps = {(r.run_id, r.object_name) for r in artefacts.archive_gaps(runs, files).collect()}
+    assert ("1_1_1", "run_1_1_1.sww") not in gaps and ("2_2_2", "run_2_2_2.sww") in gaps and ("2_2_2", "scenario.json") not in gaps
+
+
+@pytest.mark.parametrize("extra,broken", [
+    ('"name": 5', {("name", "text")}), ('"name": null', set()), ('"epsg": 32755', {("epsg", "text")}), ('"epsg": null', {("epsg", "text"), ("epsg", "required")}),
+    ('"duration": null', {("duration", "integer"), ("duration", "required")}), ('"duration": "600"', set()), ('"id": null', {("id", "integer")}), ('"id": [1]', {("id", "integer")}),
+    ('"resolution": null', set()), ('"resolution": {}', {("resolution", "number")}), ('"store_mesh": null', {("store_mesh", "boolean")}),
+    ('"format_version": 1.0', {("format_version", "text")}), ('"model_start": []', {("model_start", "text")})])
+def test_rules_by_json_type(spark, extra, broken):
+    from floodspark.operators import quality
+
+    fields = {"epsg": '"EPSG:32755"', "boundary": '"b.geojson"', "duration": "600"}
+    name, value = (part.strip().strip('"') if k == 0 else part.strip() for k, part in enumerate(extra.split(":", 1)))
+    raw = "{" + ", ".join(f'"{k}": {v}' for k, v in {**fields, name: value}.items()) + "}"
+    columns = {**{k: v.strip('"') for k, v in fields.items()}, **({name: None} if value == "null" else {})}
+    row = spark.createDataFrame([(9, columns["epsg"], columns["boundary"], columns["duration"], raw)],
+                                "id long, epsg string, boundary string, duration string, raw string")
+    assert {(r.field, r.rule) for r in quality.validate_scenarios(row).collect()} == broken
+
+
 def test_mesh_and_state_tables(spark, tmp_path):
     v = spark.createDataFrame([(1, 0, 0.0, 0.0)], "run_id long, vid long, x double, y double")
     t = spark.createDataFrame([(1, 0, 0, 1, 2)], "run_id long, tid long, v0 long, v1 long, v2 long")
