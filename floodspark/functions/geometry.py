@@ -132,7 +132,9 @@ def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
     squared = dx * dx + dy * dy
     along = F.when(squared > 0, ((px - ax) * dx + (py - ay) * dy) / squared).otherwise(F.lit(0.0))
     along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return F.hypot(px - (ax + along * dx), py - (ay + along * dy))
+    # The offset first: a sum with a start far from the origin would lose digits of the distance.
+    ox, oy = px - ax - along * dx, py - ay - along * dy
+    return F.sqrt(ox * ox + oy * oy)
 
 
 def ray_crosses(px, py, ax, ay, bx, by) -> Column:

@@ -62,6 +62,16 @@ def test_breakline_bands(spark):
     assert {r.vid for r in zero.collect()} == {1, 2, 3, 4, 5}
 
 
+def test_band_of_a_place_far_from_the_origin(spark):
+    """The place of sf0.1 that is two metres off but for rounding: the distance from the offset decides."""
+    x, y, ax, ay, dx, dy = 420.0, 1330.5, 400.0, 1320.0, 60.0, 25.0
+    u = ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)
+    d = math.sqrt((x - ax - u * dx) ** 2 + (y - ay - u * dy) ** 2)
+    assert d > 2.0 > math.hypot(x - (ax + u * dx), y - (ay + u * dy))
+    got = spatial.breakline_grading(points(spark, [(1, x, y)]), line_rows(spark, {1: [(ax, ay), (ax + dx, ay + dy)]}, near_spacing={1: 2.0}), 20.0).first()
+    assert got.distance == d and got.target_area == pytest.approx(4.0 * 4.0 * math.sqrt(3.0) / 4.0)
+
+
 def test_clip_at_boundary(spark):
     box = [(0, 0), (100, 0), (100, 100), (0, 100)]
     got = lines.clip_lines(line_rows(spark, {1: [(-50, 50), (150, 50)], 2: [(200, 0), (200, 9)]}), ring_rows(spark, {1: box}), "line_id", "zone_id").collect()
