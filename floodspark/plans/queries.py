@@ -124,9 +124,9 @@ def _read_back(spark, path):
 
 @query
 def diagnostics_files(spark, d):
-    """Flow figures written as diagnostics and read back, run and batch number as folders."""
+    """Flow figures written as diagnostics and read back, many runs a file; ``diagnostics_sink`` writes one a run and batch."""
     path = f"{shared_dir(spark).rstrip('/')}/diagnostics-{uuid.uuid4().hex}"
-    write_diagnostics(_diagnostics_rows(spark, d), path, ("run", "batch_number"))
+    write_diagnostics(_diagnostics_rows(spark, d), path, named=True)
     return _read_back(spark, path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import epsg_code, flatten_line, geometry_point, outer_ring
@@ -122,34 +123,45 @@ def read_vertex_states(spark: SparkSession, path: str) -> DataFrame:
 
 def _named_batch(df: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(path, r"(?:run_diagnostics_|batch_number=)(\d+)", 1).try_cast("bigint").alias("batch_number"),
-                     F.regexp_extract(path, r"(?:outputs_|/run=)([^/]+)/", 1).alias("run"))
+    own = lambda name: [F.col(name)] if name in df.columns else []
+    number = F.regexp_extract(path, r"(?:run_diagnostics_|batch_number=)(\d+)", 1).try_cast("bigint")
+    run = F.regexp_extract(path, r"(?:outputs_|/run=)([^/]+)/", 1)
+    return df.select(*[f.name for f in S.DIAGNOSTICS.fields], F.coalesce(*own("batch_number"), number).alias("batch_number"), F.coalesce(*own("run"), run).alias("run"))
 
 
-def _csv(reader):
-    return reader.schema(S.DIAGNOSTICS).option("header", True).option("comment", "#").option("recursiveFileLookup", True)
+NAMES = "run string, batch_number bigint"
+
+
+def _csv(reader, schema=S.DIAGNOSTICS):
+    return reader.schema(schema).option("header", True).option("comment", "#").option("recursiveFileLookup", True)
 
 
 def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     """Diagnostics files: a comment line with the mesh summary, a header, 14 columns.
 
-    Both layouts are read: ``outputs_<run>/run_diagnostics_<batch>`` and what ``write_diagnostics`` leaves, where
-    run and batch number are folders.
+    All layouts are read: ``outputs_<run>/run_diagnostics_<batch>`` and what ``write_diagnostics`` leaves, where
+    run and batch number are folders or two more columns.
     """
-    return _named_batch(_csv(spark.read).option("pathGlobFilter", "{run_diagnostics_*,part-*.csv}").csv(path))
+    schema = T.StructType([*S.DIAGNOSTICS.fields, *T.StructType.fromDDL(NAMES).fields])
+    return _named_batch(_csv(spark.read, schema).option("pathGlobFilter", "{run_diagnostics_*,part-*.csv}").csv(path))
 
 
 def diagnostics_stream(spark: SparkSession, path: str) -> DataFrame:
     return _named_batch(_csv(spark.readStream).option("pathGlobFilter", "run_diagnostics_*").csv(path))
 
 
-def write_diagnostics(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+def write_diagnostics(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), named: bool = False) -> None:
     """Diagnostics as CSV below ``path``, each file with its header.
 
-    Partition by ``run`` and ``batch_number`` for ``read_diagnostics`` to give both back.
+    For ``read_diagnostics`` to give ``run`` and ``batch_number`` back, partition by both: a folder and file each, for
+    runs that others open one by one. Or let rows be ``named``: both become columns after the others, and the number of
+    files follows the size of the table, not the number of runs.
     """
-    fields = [f.name for f in S.DIAGNOSTICS.fields]
-    df.select(*partition_by, *fields).write.mode("append").partitionBy(*partition_by).option("header", True).csv(path)
+    fields = [f.name for f in S.DIAGNOSTICS.fields] + (["run", "batch_number"] if named else [])
+    rows = df.select(*partition_by, *fields)
+    # A folder's rows in one task make one file; dealt otherwise, every task would add one to every folder it has rows of.
+    rows = rows.repartition(*partition_by) if partition_by else rows
+    rows.write.mode("append").partitionBy(*partition_by).option("header", True).csv(path)
 
 
 def read_run_summaries(spark: SparkSession, path: str) -> DataFrame:

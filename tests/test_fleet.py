@@ -143,3 +143,13 @@ def test_a_crossing_near_a_vertex_leaves_lines_whole(spark):
     assert len(got) == len({frozenset([(r.x0, r.y0), (r.x1, r.y1)]) for r in got})
     assert sorted(ends.values()) == [1, 1, 1, 1] + [2] * (len(ends) - 5) + [4]
     assert {r.line_id for r in got} == {1, 2}
+
+
+def test_diagnostics_files_follow_the_rows_not_the_runs(spark, tmp_path):
+    table = spark.range(600, numPartitions=6).select(F.concat(F.lit("1_1_"), F.col("id") % 60).alias("run"), (F.col("id") % 2).alias("batch_number"),
+                                                     *[F.col("id").cast(f.dataType).alias(f.name) for f in sources.files.S.DIAGNOSTICS.fields])
+    for k, (how, most) in enumerate([({"named": True}, 6), ({"partition_by": ("run", "batch_number")}, 60)]):
+        sources.write_diagnostics(table, str(tmp_path / str(k)), **how)
+        assert len(list((tmp_path / str(k)).rglob("part-*.csv"))) <= most
+        got = sources.read_diagnostics(spark, str(tmp_path / str(k))).select(table.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, table.collect()))
