@@ -78,9 +78,13 @@ def progress_eta(progress: DataFrame) -> DataFrame:
 
 def resource_corpus(features: DataFrame, peaks: DataFrame, durations: DataFrame, outcomes: DataFrame,
                     key: str = "run_id") -> DataFrame:
-    """One row per run: mesh features, peak memory, seconds by stage, outcome."""
-    peak = peaks.groupBy(key).agg(F.max("peak_rss").alias("peak_rss"),
-                                  F.max_by("phase", F.struct("peak_rss", "phase")).alias("peak_phase"))
+    """One row per run: mesh features, peak memory, seconds by stage, outcome.
+
+    Of phases with the same peak the one that reached it first counts, given ``peak_at``.
+    """
+    tie = [(-F.col("peak_at")).alias("first")] if "peak_at" in peaks.columns else []
+    known = F.when(F.col("peak_rss").isNotNull(), F.struct("peak_rss", *tie, "phase"))
+    peak = peaks.groupBy(key).agg(F.max("peak_rss").alias("peak_rss"), F.max(known)["phase"].alias("peak_phase"))
     seconds = durations.groupBy(key).agg(*[
         F.sum(F.when(F.col("stage") == stage, F.col("seconds"))).alias(f"{stage}_s") for stage in ("build", "solve", "publish")])
     return features.join(peak, key, "left").join(seconds, key, "left").join(outcomes, key, "left")

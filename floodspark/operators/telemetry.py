@@ -46,9 +46,13 @@ def phase_durations(events: DataFrame, now: str, keys: Sequence[str] = ("run_id"
     return rolled.select(*keys, level.alias("level"), "stage", "phase", "seconds")
 
 
-def phase_peaks(samples: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Largest memory sample per run and phase; samples without a phase do not count."""
-    return samples.where(F.col("phase").isNotNull()).groupBy(*keys, "phase").agg(F.max("rss_mib").alias("peak_rss"))
+def phase_peaks(samples: DataFrame, keys: Sequence[str] = ("run_id",), order: str | None = None) -> DataFrame:
+    """Largest memory sample per run and phase; samples without a phase do not count.
+
+    With ``order``, a number that ascends along the run, ``peak_at`` is that of the first sample that large.
+    """
+    first = [] if order is None else [(-F.max(F.when(F.col("rss_mib").isNotNull(), F.struct("rss_mib", (-F.col(order)).alias("o"))))["o"]).alias("peak_at")]
+    return samples.where(F.col("phase").isNotNull()).groupBy(*keys, "phase").agg(F.max("rss_mib").alias("peak_rss"), *first)
 
 
 def latest_resource_row(rows: DataFrame, job: str = "job_id") -> DataFrame:

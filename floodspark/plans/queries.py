@@ -178,7 +178,7 @@ def progress_eta(spark, d):
 
 @query
 def resource_corpus(spark, d):
-    peaks = telemetry.phase_peaks(view(spark, d, "p_phase_events"))
+    peaks = telemetry.phase_peaks(view(spark, d, "p_phase_events"), order="seq")
     spans = telemetry.phase_durations(view(spark, d, "p_phase_events"), NOW).where("level = 'phase'")
     outcomes = _summaries(spark, d).select("run_id", "outcome")
     features = view(spark, d, "p_features").select(

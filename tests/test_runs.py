@@ -436,3 +436,15 @@ def test_compare_pairs_frames_by_rank(spark):
     got = {r.frame: (r["diff"], r.status[:2]) for r in results.compare_runs(a, b).collect()}
     assert got == {1: (0.5, "ok"), 2: (3.0, "ok"), 3: (None, "er")}
     assert results.value_range(b.withColumn("raster_id", F.lit("b"))).first().max_value == 5.0
+
+
+def test_peak_phase_of_equal_peaks_is_the_first(spark):
+    rows = [(1, 10, "evolve", 5.0), (1, 11, "raster-read", 5.0), (1, 12, "mesh-gen", 4.0), (1, 13, "evolve", 5.0), (2, 20, "raster-read", None),
+            (2, 21, "evolve", 1.0), (3, 30, "evolve", None)]
+    samples = spark.createDataFrame(rows, "run_id long, seq long, phase string, rss_mib double")
+    peaks = telemetry.phase_peaks(samples, order="seq")
+    assert {(r.run_id, r.phase): r.peak_at for r in peaks.collect()}[(1, "evolve")] == 10
+    empty = spark.createDataFrame([], "run_id long, stage string, seconds double")
+    outcomes = spark.createDataFrame([], "run_id long, outcome string")
+    got = runs.resource_corpus(spark.range(1, 4).withColumnRenamed("id", "run_id"), peaks, empty, outcomes)
+    assert {r.run_id: (r.peak_rss, r.peak_phase) for r in got.collect()} == {1: (5.0, "evolve"), 2: (1.0, "evolve"), 3: (None, None)}
