@@ -18,7 +18,7 @@ from .. import schemas as S
 from ..functions import edge_length, line_length
 from ..functions.geometry import VERTICES
 from ..session import checkpointed
-from .spatial import _segment_bins, clip_lines, held, node_lines
+from .spatial import BIN, _segment_bins, clip_lines, held, node_lines
 
 __all__ = ["segment_floor", "dedupe_polyline", "drop_collinear", "densified", "joined_parts", "condition_breaklines", "snap_rounded",
            "clip_lines", "node_lines"]
@@ -154,7 +154,9 @@ def condition_breaklines(breaklines: DataFrame, boundary: DataFrame, key: str =
     dense = straight.select(*on, *ident, "_floor", held(densified(F.col("line"), F.col("_s"))).alias("line"))
     ready = checkpointed(dedupe_polyline(dense, F.col("_floor")).select(*on, "_floor", F.struct(*ident).alias("_id"), "line"))
     floors = ready.select(*on, "_floor").distinct()
-    cut = node_lines(ready, "_id", on=on)
+    # Bins follow the length of what densifying left, so a bin holds a few segments however long the lines are.
+    mean = ready.agg(F.sum(line_length(F.col("line"))) / F.sum(F.size("line") - 1)).first()[0]
+    cut = node_lines(ready, "_id", min(BIN, 2 * mean) if mean else BIN, on=on)
     cut = cut.join(floors, on) if on else cut.withColumn("_floor", F.lit((floors.first() or [1.0])[0]))
     pieces = snap_rounded(cut.select(*on, "_id", "seg", "t0", "x0", "y0", "x1", "y1", "_floor"), "_floor", on)
     # Lines that lie on one another leave one piece, that of the least key.
@@ -178,8 +180,13 @@ def snap_rounded(pieces: DataFrame, width: str, on: Sequence[str] = ()) -> DataF
     scaled = checkpointed(pieces.withColumn("_n", F.monotonically_increasing_id())
                           .withColumns({n: F.col(c) / F.col(width) + 0.5 for n, c in zip(shape, ("x0", "y0", "x1", "y1"))}).drop("x0", "y0", "x1", "y1"))
     ends = F.explode(F.array(*[F.struct(F.floor(x).alias("gx"), F.floor(y).alias("gy")) for x, y in (("ax", "ay"), ("bx", "by"))]))
-    hot = scaled.select(*on, ends.alias("c")).select(*on, "c.*").distinct()
-    passed = _segment_bins(scaled.select(*on, "_n", *shape), 1.0).join(hot, [*on, "gx", "gy"])
+    # Pieces meet hot cells in blocks about as wide as a piece is long, not cell by cell; a cell is in one block.
+    length = scaled.agg(F.avg(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay")))).first()[0]
+    block = max(1, min(16, round(length or 1)))
+    place = [F.floor(F.col(g) / block).alias(f"_{g}") for g in ("gx", "gy")]
+    hot = scaled.select(*on, ends.alias("c")).select(*on, "c.*").distinct().select(*on, *place, "gx", "gy")
+    blocks = _segment_bins(scaled.select(*on, "_n", *shape), float(block)).withColumnsRenamed({"gx": "_gx", "gy": "_gy"})
+    passed = blocks.join(hot, [*on, "_gx", "_gy"]).drop("_gx", "_gy")
 
     def between(a: str, b: str, g: str) -> tuple[Column, Column]:
         """Parameters at which the piece enters and leaves a cell's column or row; nulls where it never does."""

@@ -188,3 +188,12 @@ def test_query_of_conditioned_breaklines(spark):
                 q = (a[0] + (b[0] - a[0]) * i / 10, a[1] + (b[1] - a[1]) * i / 10)
                 if left + 1 < q[0] < right - 1 and low + 1 < q[1] < high - 1:
                     assert min(distance(q, (r.x0, r.y0), (r.x1, r.y1)) for r in rows) <= 0.25 + 0.25 * spacing
+
+
+def test_bins_of_conditioned_lines_follow_their_segments(spark, monkeypatch):
+    """Long lines close together: bins of the default width would hold most of their short segments at once."""
+    sizes, cut = [], lines.node_lines
+    monkeypatch.setattr(lines, "node_lines", lambda *a, **k: sizes.append(a[2] if len(a) > 2 else k.get("size", spatial.BIN)) or cut(*a, **k))
+    table = line_rows(spark, {k: [(1, 1 + k), (49, 2 + k)] for k in range(20)}, near_spacing={k: 1.0 for k in range(20)})
+    got = lines.condition_breaklines(table, ring_rows(spark, {7: [(0, 0), (50, 0), (50, 50), (0, 50)]}))
+    assert sizes and sizes[0] <= 4.0 and got.select("line_id").distinct().count() == 20
