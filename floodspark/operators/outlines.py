@@ -92,7 +92,10 @@ def merged_outlines(footprints: DataFrame, size: float = BIN, on: Sequence[str]
     first = rings.where("_area < 0").select(*on, "ring_id", F.get("ring", F.lit(0)).alias("p")).select(*on, "ring_id", "p.x", "p.y")
     around = (points_in_polygons(first, outer, size, on).groupBy(*on, "ring_id")
               .agg(F.min_by("outer", F.struct("_around", "outer")).alias("outer")))
-    closed = rings.withColumn("line", F.concat("ring", F.slice("ring", 1, 1)))
+    # A ring starts wherever numbering began; its least place is a corner, which smoothing must keep anyway.
+    start = F.array_position("ring", F.array_min("ring")).cast("int")
+    turned = rings.withColumn("ring", F.concat(F.slice("ring", start, F.size("ring") - start + 1), F.slice("ring", F.lit(1), start - 1)))
+    closed = turned.withColumn("line", F.concat("ring", F.slice("ring", 1, 1)))
     smooth = drop_collinear(closed, 4.0 * tolerance)
     return smooth.join(around, [*on, "ring_id"], "left").select(
         *on, "ring_id", (F.col("_area") < 0).alias("is_hole"), "outer", F.abs("_area").alias("area"), F.col("line").alias("ring"))

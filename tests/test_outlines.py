@@ -197,3 +197,14 @@ def test_bins_of_conditioned_lines_follow_their_segments(spark, monkeypatch):
     table = line_rows(spark, {k: [(1, 1 + k), (49, 2 + k)] for k in range(20)}, near_spacing={k: 1.0 for k in range(20)})
     got = lines.condition_breaklines(table, ring_rows(spark, {7: [(0, 0), (50, 0), (50, 50), (0, 50)]}))
     assert sizes and sizes[0] <= 4.0 and got.select("line_id").distinct().count() == 20
+
+
+@pytest.mark.parametrize("turn", range(4))
+def test_rings_start_at_a_corner(spark, turn, monkeypatch):
+    """Wherever the numbering of pieces begins, a vertex within a straight side does not stay."""
+    ring = [(0, 0), (5, 0), (10, 0), (10, 10), (0, 10)]
+    ring = ring[turn:] + ring[:turn]
+    made = ring_rows(spark, {0: ring}).withColumnsRenamed({"zone_id": "ring_id"}).withColumn("n_pieces", F.lit(5))
+    monkeypatch.setattr(outlines, "rings_of_pieces", lambda *a: made)
+    got = outlines.merged_outlines(ring_rows(spark, {0: ring})).collect()
+    assert [len(r.ring) for r in got] == [5] and got[0].ring[0] == got[0].ring[-1] and (got[0].ring[0].x, got[0].ring[0].y) == (0.0, 0.0)
