@@ -16,6 +16,7 @@ STEP = 2  # a bin has 4 by 4 children
 LEAF_TARGET = 16
 LEAF_LIMIT = 1024
 MAX_LEVEL = 12
+TASK_QUERIES = 16384
 
 
 def _gap(v: Column, low: Column, high: Column) -> Column:
@@ -104,6 +105,8 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, query_key: Sequence
     entry = checkpointed(entry.unionByName(
         outside.withColumn("level", F.lit(0)).withColumn("ix", zero).withColumn("iy", zero)))
 
+    # Dealt anew at each level: a task sorts one level of a bounded number of queries, not all levels of a share that grows with them.
+    tasks = max(entry.sparkSession.sparkContext.defaultParallelism, -(-entry.count() // TASK_QUERIES))
     per_query = Window.partitionBy(*on, *query_key)
     children = F.sequence(F.lit(0), F.lit(2 ** STEP - 1))
     alive = None
@@ -117,7 +120,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, query_key: Sequence
         met = here.join(bins.where(F.col("level") == level).drop("level"), [*on, "ix", "iy"])
         near2 = F.pow(_gap(F.col("qx"), F.col("bx0"), F.col("bx1")), 2) + F.pow(_gap(F.col("qy"), F.col("by0"), F.col("by1")), 2)
         far2 = F.pow(_far(F.col("qx"), F.col("bx0"), F.col("bx1")), 2) + F.pow(_far(F.col("qy"), F.col("by0"), F.col("by1")), 2)
-        met = met.withColumn("near2", near2).withColumn("far2", far2)
+        met = met.withColumn("near2", near2).withColumn("far2", far2).repartition(tasks, *on, *query_key)
         held = F.sum("n").over(per_query.orderBy("far2").rangeBetween(Window.unboundedPreceding, 0))
         met = met.withColumn("_held", held)
         enough = F.min(F.when(F.col("_held") >= k, F.col("far2"))).over(per_query)
@@ -125,7 +128,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, query_key: Sequence
         alive = met.select(*on, *query_key, "qx", "qy", "ix", "iy")
     leaf = points.withColumn("ix", index(F.col("x"), x0, top)).withColumn("iy", index(F.col("y"), y0, top))
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    pairs = alive.join(leaf, [*on, "ix", "iy"]).withColumn("d2", d2)
+    pairs = alive.join(leaf, [*on, "ix", "iy"]).withColumn("d2", d2).repartition(tasks, *on, *query_key)
     best = Window.partitionBy(*on, *query_key).orderBy("d2", point_key)
     return (pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select(*on, *query_key, point_key, "d2", "rank"))

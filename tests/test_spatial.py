@@ -307,3 +307,15 @@ def test_shuffle_size(spark):
         assert size_shuffles(spark, 10 * 2 ** 40) == 81920 and spark.conf.get(key) == "81920"
     finally:
         spark.conf.unset(key)
+
+
+def test_nearest_deals_queries_over_tasks(spark, monkeypatch):
+    """The number of tasks follows the queries, so what one of them sorts does not."""
+    rng = random.Random(8)
+    at = [(k, rng.uniform(0, 100), rng.uniform(0, 100)) for k in range(200)]
+    queries, places = points(spark, at, "gauge_id"), points(spark, [(k, y, x) for k, x, y in at])
+    monkeypatch.setattr(nearest, "TASK_QUERIES", 10)
+    found = nearest.k_nearest(queries, places, 1, ["gauge_id"], "vid")
+    assert found.rdd.getNumPartitions() >= 20
+    want = {k: min(at, key=lambda p: ((p[2] - x) ** 2 + (p[1] - y) ** 2, p[0]))[0] for k, x, y in at}
+    assert {r.gauge_id: r.vid for r in found.collect()} == want
