@@ -1,13 +1,14 @@
 """Chunk cuts and repeated substrings against direct definitions."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floodspark.llm import bwt, chunks
+from floodspark.llm import bwt, chunks, common
 from floodspark.llm.common import runs
 
 
@@ -144,3 +145,48 @@ def test_many_equal_rows(spark):
         spark.range(50).selectExpr("cast(null as long) doc_id", "'short too' text"))
     found = bwt.without_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", F.length("kept").alias("k")).count().collect()
     assert {tuple(r) for r in found} == {(1, 1500, 500, 1, 1000, 1), (2, 5, 0, 0, 5, 1), (7, 3000, 3000, 1, 0, 20_000), (None, 9, 0, 0, 9, 50)}
+
+
+def test_crowded_anchors_are_split_without_reading_the_documents_again(spark):
+    """Texts go over the network once for contexts and once for removal, however often anchors are split."""
+    rng = random.Random(8)
+    passage = [rng.choice("abcdefgh ") for _ in range(600)]
+    near = []
+    for i in range(12):
+        p = list(passage)
+        p[rng.randrange(600)] = "#"
+        p[50 * i] = "%"
+        near.append((i, "".join(p)))
+    rows = near + [(100 + i, "".join(rng.choice("ijklmnop ") for _ in range(20_000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    sent, name = {}, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        for most in (5000, 2):
+            start = written()
+            assert same(rows, bwt.without_repeats(docs, most_contexts=most))
+            sent[most] = written() - start
+    finally:
+        spark.conf.set(name, before)
+    assert sum(len(t) for _, t in rows) < sent[5000] and sent[2] < 1.3 * sent[5000]
+
+
+def test_shuffle_files_go_when_the_write_ends(spark):
+    def files():
+        folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in folder.split("\n") if "/shuffle_" in x and x.endswith(".data")}
+
+    table, name = spark.range(1000).selectExpr("id % 7 a").groupBy("a").count(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name, None)
+    with common.shuffles_freed(spark):
+        assert common.stored(table, "sums").count() == 7
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(name, "false") == (setting or "false")
