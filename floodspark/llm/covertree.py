@@ -5,23 +5,29 @@ radius, nested into a quarter and so on until there are enough; each child's own
 is one round of Spark jobs, and nodes too large for one task are dealt in parts. The traversal starts with the root
 against itself and replaces a pair of nodes by pairs of their children, dropping those whose centres are farther apart
 than both radii and the threshold allow. What is left are pairs of small leaves, compared exactly.
+
+Points travel as they were given (four bytes a component where those are single precision) and are scaled where they are
+used. Where most pairs of leaves are left, tasks read the leaves of two parts of the table and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from floodspark.llm.common import BASE, mix, runs, stored
+from floodspark.llm.common import BASE, discard, mix, runs, shuffles_freed, stored
 from floodspark.llm.components import components
 
 SLACK = 1e-9
-POINT = "rep long, copies long, unit binary, node string, reach double"
+POINT = "rep long, copies long, mark long, vector binary, node string, reach double"
+SKETCH = 16
 
 
 def _matrix(blobs) -> np.ndarray:
@@ -29,6 +35,14 @@ def _matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
 
 
+def _units(blob: bytes, n: int, node: str) -> np.ndarray:
+    """Unit vectors in double precision of ``n`` points below ``node``, whose root tells the number of dimensions."""
+    dim = int(node.split("/")[0][1:])
+    x = np.frombuffer(blob, np.float32 if len(blob) == 4 * dim * n else np.float64).reshape(n, dim).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
@@ -50,27 +64,37 @@ def cover(sample: np.ndarray, most: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def unit_points(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The distinct usable vectors: least key, number of copies, unit vector in double precision, and root node.
+def usable(vectors: DataFrame, key: str, column: str) -> tuple[Column, Column]:
+    """The vector, in single precision where it is given so, and whether it takes part with its key."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    narrow = vectors.schema[column].dataType == T.ArrayType(T.FloatType(), vectors.schema[column].dataType.containsNull)
+    v = F.col(column).cast("array<float>" if narrow else "array<double>")
+    return v, F.col(key).cast("long").isNotNull() & v.isNotNull() & F.forall(v, good) & F.exists(v, lambda x: x != 0)
+
+
+def marked(v: Column, seed: int) -> Column:
+    """A number that names a vector; ``seed`` gives other ones."""
+    return F.xxhash64(v, F.lit(seed))
+
+
+def unit_points(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", seed: int = 0) -> DataFrame:
+    """The distinct usable vectors: least key, number of copies, mark, the vector as given, and root node.
 
     Null vectors and keys, zero vectors, and vectors with null or non-finite components are left out. There is a root
     for each number of dimensions.
     """
-    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    doubles = vectors.select(F.col(key).cast("long").alias("rep"), F.col(column).cast("array<double>").alias("v"))
-    usable = doubles.filter(F.col("rep").isNotNull() & F.col("v").isNotNull() & F.forall("v", good) & F.exists("v", lambda x: x != 0))
-    each = usable.groupBy("v").agg(F.min("rep").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v")
+    v, takes_part = usable(vectors, key, column)
+    each = vectors.filter(takes_part).select(F.col(key).cast("long").alias("rep"), v.alias("v")).groupBy("v").agg(
+        F.min("rep").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", marked(F.col("v"), seed).alias("mark"), "v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, nodes = [], []
-            for v in batch.column(2):
-                x = np.array(v.values.to_numpy(zero_copy_only=False), np.float64)
-                x = x / np.abs(x).max()
-                units.append((x / np.sqrt(x @ x)).tobytes())
-                nodes.append(f"d{len(x)}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary()), pa.array(nodes, pa.string()),
-                                              pa.array([2.0] * len(nodes), pa.float64())], names=["rep", "copies", "unit", "node", "reach"])
+            vectors, dims = batch.column(3), batch.column(3).value_lengths().to_numpy()
+            values = vectors.flatten().to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(dims)]) * values.itemsize
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(dims), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(values.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), blobs.cast(pa.binary()), pa.array([f"d{n}" for n in dims], pa.string()),
+                                              pa.array([2.0] * len(dims), pa.float64())], names=["rep", "copies", "mark", "vector", "node", "reach"])
 
     return each.mapInArrow(work, POINT)
 
@@ -81,28 +105,39 @@ def build(points: DataFrame, leaf: int = 4096, fan: int = 256, share: int = 20_0
     A node of more than ``leaf`` points is split by centres from ``fan`` of its points, about two for each leaf that it
     needs; parts of about ``share`` points are dealt by one task each. A node whose points all coincide is cut by number.
     """
-    points, levels = stored(points, "points"), []
-    while True:
-        sizes = points.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > leaf)
-        sizes = stored(sizes, "sizes")
-        if not sizes.limit(1).count():
-            return points, levels
-        first = Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep")
-        large = points.join(sizes, "node")
-        sample = large.select("node", "size", "rep", "unit").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= fan)
-        centres = stored(sample.groupBy("node", "size").applyInPandas(lambda g: _centres(g, fan, leaf), "node string, size long, child string, centre binary"), "centres")
-        parts = F.ceil(F.col("size") / share).cast("int")
-        dealt = large.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).select("node", "part", "rep", "copies", "unit")
-        beside = centres.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("node", "part", "child", "centre")
-        moved = dealt.groupBy("node", "part").cogroup(beside.groupBy("node", "part")).applyInPandas(_dealt, POINT)
-        points = stored(points.join(sizes, "node", "left_anti").select("rep", "copies", "unit", "node", "reach").union(moved), "points")
-        radii = points.groupBy("node").agg(F.max("reach").alias("radius"))
-        levels.append(stored(centres.join(radii, F.col("child") == radii["node"]).select(centres["node"], "child", "centre", "radius"), "level"))
+    levels = []
+    with shuffles_freed(points.sparkSession):
+        points = stored(points, "points")
+        while (split := _split(points, leaf, fan, share)) is not None:
+            discard(points)
+            points, level = split
+            levels.append(level)
+    return points, levels
+
+
+def _split(points: DataFrame, leaf: int, fan: int, share: int) -> tuple[DataFrame, DataFrame] | None:
+    """The points after large nodes were split, and the table of the new nodes; None if no node is large."""
+    sizes = points.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > leaf)
+    sizes = stored(sizes, "sizes")
+    if not sizes.limit(1).count():
+        return None
+    first = Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep", "mark")
+    large = points.join(sizes, "node")
+    names = points.join(sizes, "node").select("node", "size", "rep", "mark").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= fan)
+    sample = names.join(points.select("node", "mark", "vector"), ["node", "mark"])
+    centres = stored(sample.groupBy("node", "size").applyInPandas(lambda g: _centres(g, fan, leaf), "node string, size long, child string, centre binary"), "centres")
+    parts = F.ceil(F.col("size") / share).cast("int")
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).select("node", "part", "rep", "copies", "mark", "vector")
+    beside = centres.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("node", "part", "child", "centre")
+    moved = dealt.groupBy("node", "part").cogroup(beside.groupBy("node", "part")).applyInPandas(_dealt, POINT)
+    points = stored(points.join(sizes, "node", "left_anti").select(*moved.columns).union(moved), "points")
+    radii = points.groupBy("node").agg(F.max("reach").alias("radius"))
+    return points, stored(centres.join(radii, F.col("child") == radii["node"]).select(centres["node"], "child", "centre", "radius"), "level")
 
 
 def _centres(group: pd.DataFrame, fan: int, leaf: int) -> pd.DataFrame:
     node, size = group["node"].iloc[0], int(group["size"].iloc[0])
-    matrix = _matrix(group.sort_values("k")["unit"])
+    matrix = _units(b"".join(group.sort_values("k")["vector"]), len(group), node)
     chosen = cover(matrix, max(2, min(fan, -(-2 * size // leaf))))
     if len(chosen) == 1:
         chosen = np.zeros(-(-size // leaf), np.int64)
@@ -113,8 +148,8 @@ def _centres(group: pd.DataFrame, fan: int, leaf: int) -> pd.DataFrame:
 def _dealt(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
     """Each point to its nearest centre; among equal centres by its key."""
     if mine.empty:
-        return pd.DataFrame(columns=["rep", "copies", "unit", "node", "reach"])
-    matrix, table = _matrix(mine["unit"]), _matrix(centres["centre"])
+        return pd.DataFrame(columns=["rep", "copies", "mark", "vector", "node", "reach"])
+    matrix, table = _units(b"".join(mine["vector"]), len(mine), mine["node"].iloc[0]), _matrix(centres["centre"])
     child = centres["child"].to_numpy()
     if len(table) > 1 and (table == table[0]).all():
         deep = np.uint64(len(child[0]))  # another deal at every level
@@ -122,7 +157,7 @@ def _dealt(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
     else:
         nearest = np.concatenate([np.argmax(matrix[k:k + 4096] @ table.T, 1) for k in range(0, len(matrix), 4096)])
     reach = np.sqrt(np.maximum(((matrix - table[nearest]) ** 2).sum(1), 0.0))
-    return pd.DataFrame({"rep": mine["rep"], "copies": mine["copies"], "unit": mine["unit"], "node": child[nearest], "reach": reach})
+    return pd.DataFrame({**{c: mine[c] for c in ("rep", "copies", "mark", "vector")}, "node": child[nearest], "reach": reach})
 
 
 def leaf_pairs(points: DataFrame, levels: list[DataFrame], distance: float) -> DataFrame:
@@ -166,9 +201,17 @@ def _pruned(batches: Iterator[pa.RecordBatch], distance: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], names=["a", "b"])
 
 
-def _packed(group: pd.DataFrame) -> pd.DataFrame:
-    """A leaf as one row, ordered by the nested centres of a cover of its own; ``sizes`` and ``reaches`` are by centre."""
-    units = _matrix(group["unit"])
+BLOCK = "node string, mates array<string>, reps binary, copies binary, vectors binary, centres binary, sizes binary, reaches binary"
+
+
+def _packed(group: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
+    """A leaf as one row, ordered by the nested centres of a cover of its own; ``sizes`` and ``reaches`` are by centre.
+
+    ``mates`` names the leaves that it is compared with as the left one of a pair.
+    """
+    if group.empty:
+        return pd.DataFrame(columns=[c.split()[0] for c in BLOCK.split(", ")])
+    units = _units(b"".join(group["vector"]), len(group), group["node"].iloc[0])
     centres = units[cover(units, 32)]
     gaps = _distances(units, centres)
     nearest = gaps.argmin(1)
@@ -177,69 +220,170 @@ def _packed(group: pd.DataFrame) -> pd.DataFrame:
     reaches = np.zeros(len(centres))
     np.maximum.at(reaches, nearest, gaps.min(1))
     rows = group.iloc[order]
-    return pd.DataFrame({"node": [group["node"].iloc[0]], "reps": [rows["rep"].to_numpy(np.int64).tobytes()], "copies": [rows["copies"].to_numpy(np.int64).tobytes()],
-                         "units": [units[order].tobytes()], "centres": [centres.tobytes()], "sizes": [sizes.astype(np.int64).tobytes()], "reaches": [reaches.tobytes()]})
+    return pd.DataFrame({"node": [group["node"].iloc[0]], "mates": [beside["mate"].tolist()], "reps": [rows["rep"].to_numpy(np.int64).tobytes()],
+                         "copies": [rows["copies"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(rows["vector"])],
+                         "centres": [centres.tobytes()], "sizes": [sizes.astype(np.int64).tobytes()], "reaches": [reaches.tobytes()]})
 
 
-BLOCK = "node string, reps binary, copies binary, units binary, centres binary, sizes binary, reaches binary"
+class Leaf:
+    """What a packed row holds, and what a sketch of its vectors needs."""
 
+    def __init__(self, row: dict, side: str):
+        whole = lambda name, kind=np.int64: np.frombuffer(row[f"{name}_{side}"], kind)
+        self.name, self.reps, self.copies, sizes = row[side], whole("reps"), whole("copies"), whole("sizes")
+        self.units = _units(row[f"vectors_{side}"], len(self.reps), self.name)
+        self.centres = whole("centres", np.float64).reshape(len(sizes), -1)
+        self.at, self.reach = np.concatenate([[0], np.cumsum(sizes)]), whole("reaches", np.float64)
+        self.mean = self.units.mean(0)
+        self.variance = np.einsum("ij,ij->j", self.units, self.units) / len(self.units) - self.mean ** 2
 
-def _opened(row: dict, side: str) -> tuple[np.ndarray, ...]:
-    whole = lambda name, kind: np.frombuffer(row[f"{name}_{side}"], kind)
-    reps, sizes = whole("reps", np.int64), whole("sizes", np.int64)
-    units, centres = whole("units", np.float64).reshape(len(reps), -1), whole("centres", np.float64).reshape(len(sizes), -1)
-    return reps, whole("copies", np.int64), units, centres, np.concatenate([[0], np.cumsum(sizes)]), whole("reaches", np.float64)
+    def sketch(self, dims: np.ndarray) -> np.ndarray:
+        """The components ``dims`` and the length of the rest: products of sketches are never below those of the vectors."""
+        some = self.units[:, dims]
+        rest = np.sqrt(np.maximum(1.0 - np.einsum("ij,ij->i", some, some), 0.0))
+        return np.concatenate([some, rest[:, None]], 1).astype(np.float32)
 
 
-def _near(left: tuple, right: tuple, cosine: float) -> np.ndarray:
-    """Which points of two leaves are linked; parts whose centres are too far apart are never compared."""
-    units_a, centres_a, at_a, reach_a = left[2:]
-    units_b, centres_b, at_b, reach_b = right[2:]
-    near = np.zeros((len(units_a), len(units_b)), bool)
-    close = _distances(centres_a, centres_b) <= reach_a[:, None] + reach_b[None, :] + np.sqrt(2.0 - 2.0 * cosine) + SLACK
-    for i in np.flatnonzero(close.any(1)):
-        rows = slice(at_a[i], at_a[i + 1])
-        for a, b in zip(*runs(close[i])):
-            columns = slice(at_b[a], at_b[b])
-            near[rows, columns] = units_a[rows] @ units_b[columns].T >= cosine
-    return near
+def _marks(table: np.ndarray) -> np.ndarray:
+    """Places of the true values of a table, read by eights as there are few."""
+    flat = table.ravel()
+    ends = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:ends].view(np.uint64))
+    word, byte = np.nonzero(flat[:ends].reshape(-1, 8)[words])
+    return np.concatenate([words[word] * 8 + byte, np.flatnonzero(flat[ends:]) + ends])
+
 
+def _near(left: Leaf, right: Leaf, cosine: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """Which points of two leaves are linked, as a table and, if they are few, as places of both.
 
-def _linked(batches: Iterator[pa.RecordBatch], cosine: float, step: int = 512) -> Iterator[pa.RecordBatch]:
+    Parts whose centres are too far apart are never compared; of other pairs those count whose sketches, of the
+    components that differ most, allow a link.
+    """
+    near, listed, found = np.zeros((len(left.units), len(right.units)), bool), [], 0
+    close = _distances(left.centres, right.centres) <= left.reach[:, None] + right.reach[None, :] + np.sqrt(2.0 - 2.0 * cosine) + SLACK
+    sketches = None
+    if left.units.shape[1] > 2 * SKETCH:
+        dims = np.argsort(-(left.variance + right.variance + (left.mean - right.mean) ** 2), kind="stable")[:SKETCH]
+        sketches = left.sketch(dims), right.sketch(dims)
+    for i in np.flatnonzero(close.any(1)):
+        rows = slice(left.at[i], left.at[i + 1])
+        for a, b in zip(*runs(close[i])):
+            columns = slice(right.at[a], right.at[b])
+            places = None
+            if sketches is not None:
+                may = sketches[0][rows] @ sketches[1][columns].T >= np.float32(cosine - 1e-5)
+                if np.count_nonzero(may) * SKETCH <= may.size:
+                    flat = _marks(may)
+                    places = flat // may.shape[1] + rows.start, flat % may.shape[1] + columns.start
+                    linked = np.einsum("ij,ij->i", left.units[places[0]], right.units[places[1]]) >= cosine
+                    places = places[0][linked], places[1][linked]
+                    near[places] = True
+            if places is None:
+                part = left.units[rows] @ right.units[columns].T >= cosine
+                near[rows, columns] = part
+                found += np.count_nonzero(part)
+                if found * SKETCH <= near.size:
+                    places = tuple(x + start for x, start in zip(np.nonzero(part), (rows.start, columns.start)))
+            else:
+                found += len(places[0])
+            listed.append(places)
+    if found * SKETCH > near.size:
+        return near, None
+    return near, tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in listed)]) for k in (0, 1))
+
+
+def _counted(left: Leaf, right: Leaf, near: np.ndarray, step: int = 512) -> tuple[np.ndarray, ...]:
+    """Of many links: for each point of both sides the number of vectors linked with, and the least key it reaches."""
+    top, same = np.iinfo(np.int64).max, left.name == right.name
+    if same:
+        np.fill_diagonal(near, False)
+    n_a, n_b = np.zeros(len(left.reps)), np.zeros(len(right.reps))
+    for i in range(0, len(n_a), step):
+        part = near[i:i + step].astype(np.float64)
+        n_a[i:i + step] = part @ right.copies
+        n_b += left.copies[i:i + step] @ part
+    low_a, low_b = left.reps.copy(), right.reps.copy()
+    while n_a.any():
+        new_a, new_b = low_a.copy(), low_b.copy()
+        for i in range(0, len(n_a), step):
+            part = near[i:i + step]
+            new_a[i:i + step] = np.minimum(new_a[i:i + step], np.where(part, low_b[None, :], top).min(1))
+            new_b = np.minimum(new_b, np.where(part, new_a[i:i + step, None], top).min(0))
+        if same:
+            new_a = new_b = np.minimum(new_a, new_b)
+        if (new_a == low_a).all() and (new_b == low_b).all():
+            break
+        low_a, low_b = new_a, new_b
+    return n_a, n_b, low_a, low_b
+
+
+def _listed(left: Leaf, right: Leaf, places: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The same of few links, given as places."""
+    i, j = places
+    same = left.name == right.name
+    if same:
+        i, j = i[i != j], j[i != j]
+    n_a = np.bincount(i, right.copies[j], len(left.reps))
+    n_b = np.bincount(j, left.copies[i], len(right.reps))
+    low_a, low_b = left.reps.copy(), right.reps.copy()
+    while len(i):
+        new_a, new_b = low_a.copy(), low_b.copy()
+        np.minimum.at(new_a, i, low_b[j])
+        np.minimum.at(new_b, j, new_a[i])
+        if same:
+            new_a = new_b = np.minimum(new_a, new_b)
+        if (new_a == low_a).all() and (new_b == low_b).all():
+            break
+        low_a, low_b = new_a, new_b
+    return n_a, n_b, low_a, low_b
+
+
+def _linked(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Of each leaf pair: how many vectors each point is linked with across the pair, and a tree over linked points."""
-    top = np.iinfo(np.int64).max
+    left, seen = None, {}
     for batch in batches:
+        at = {name: k for k, name in enumerate(batch.schema.names)}
+
+        def opened(k: int, side: str) -> Leaf:
+            return Leaf({name: batch.column(i)[k].as_py() for name, i in at.items() if name.endswith(side)}, side)
+
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            left, right = _opened(row, "a"), _opened(row, "b")
-            same = row["a"] == row["b"]
-            near = _near(left, right, cosine)
-            if same:
-                np.fill_diagonal(near, False)
-            (rep_a, copies_a), (rep_b, copies_b) = left[:2], right[:2]
-            n_a, n_b = np.zeros(len(rep_a)), np.zeros(len(rep_b))
-            for i in range(0, len(rep_a), step):
-                part = near[i:i + step].astype(np.float64)
-                n_a[i:i + step] = part @ copies_b
-                n_b += copies_a[i:i + step] @ part
-            low_a, low_b = rep_a.copy(), rep_b.copy()
-            while n_a.any():
-                new_a, new_b = low_a.copy(), low_b.copy()
-                for i in range(0, len(rep_a), step):
-                    part = near[i:i + step]
-                    new_a[i:i + step] = np.minimum(new_a[i:i + step], np.where(part, low_b[None, :], top).min(1))
-                    new_b = np.minimum(new_b, np.where(part, new_a[i:i + step, None], top).min(0))
-                if same:
-                    new_a = new_b = np.minimum(new_a, new_b)
-                if (new_a == low_a).all() and (new_b == low_b).all():
-                    break
-                low_a, low_b = new_a, new_b
-            rows = [(rep_a, n_a, low_a)] if same else [(rep_a, n_a, low_a), (rep_b, n_b, low_b)]
+            a, b = (batch.column(at[side])[k].as_py() for side in "ab")
+            left = left if left is not None and left.name == a else opened(k, "a")
+            if a != b and b not in seen:
+                if len(seen) == 24:
+                    seen.pop(next(iter(seen)))
+                seen[b] = opened(k, "b")
+            right = left if a == b else seen[b]
+            near, places = _near(left, right, cosine)
+            n_a, n_b, low_a, low_b = _counted(left, right, near) if places is None else _listed(left, right, places)
+            rows = [(left.reps, n_a, low_a)] if left is right else [(left.reps, n_a, low_a), (right.reps, n_b, low_b)]
             rep, n, low = (np.concatenate(x) for x in zip(*rows))
             keep = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64), pa.int64()) for x in (rep, n, low)], names=["rep", "n", "low"])
 
 
+def compared(points: DataFrame, pairs: DataFrame, few: float = 2.0) -> DataFrame:
+    """Each pair of leaves as one row with both packed leaves.
+
+    Up to ``few`` pairs a leaf are joined by name. More would ship every leaf many times over: then tasks read parts of
+    the table of leaves against parts of it, and no leaf is shuffled. A hash says which of two leaves is the left one.
+    """
+    u, w = F.least("a", "b"), F.greatest("a", "b")
+    turned = F.pmod(F.xxhash64(u, w), F.lit(2)) == 1
+    mates = pairs.select(F.when(turned, w).otherwise(u).alias("of"), F.when(turned, u).otherwise(w).alias("mate"))
+    many = pairs.count() > few * points.select("node").distinct().count()
+    beside = mates if many else mates.limit(0)
+    with shuffles_freed(points.sparkSession):
+        blocks = stored(points.groupBy("node").cogroup(beside.groupBy("of")).applyInPandas(_packed, BLOCK), "blocks", rows=4)
+    side = lambda name: blocks.select(*(F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in blocks.columns))
+    if many:
+        joined = side("a").hint("shuffle_replicate_nl").join(side("b").drop("mates_b"), F.array_contains("mates_a", F.col("b")))
+    else:
+        joined = pairs.join(side("a"), "a").join(side("b").drop("mates_b"), "b")
+    return joined.drop("mates_a")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, leaf: int = 4096, fan: int = 256) -> DataFrame:
     """One row per vector: vec_id, n_links (others with a cosine of at least ``cosine``), component_id, kept.
 
@@ -248,19 +392,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, leaf: int = 4096, fan
     component_id and is kept. Other columns, labels included, are ignored.
     """
     distance = float(np.sqrt(2.0 - 2.0 * cosine))
-    points, levels = build(unit_points(vectors), leaf, fan)
-    pairs = leaf_pairs(points, levels, distance)
-    blocks = stored(points.groupBy("node").applyInPandas(_packed, BLOCK), "blocks")
-    side = lambda name: blocks.select(*(F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in blocks.columns))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    found = stored(joined.mapInArrow(lambda batches: _linked(batches, cosine), "rep long, n long, low long"), "found")
-    counts = points.select("rep", "copies").join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left")
-    placed = counts.join(components(found, "rep", "low"), counts["rep"] == F.col("node"), "left").select(
-        "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    reps = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"))
-    known = reps.join(placed, "rep").select(F.col("v").alias("w"), "n_links", "component")
-    usable = rows.join(known, F.col("v") == F.col("w"), "left")
+    for seed in count():
+        points, levels = build(unit_points(vectors, seed=seed), leaf, fan)
+        if not points.groupBy("mark").count().filter("count > 1").limit(1).count():  # each mark names one vector
+            break
+        discard(points)
+    with shuffles_freed(vectors.sparkSession):
+        pairs = stored(leaf_pairs(points, levels, distance), "pairs")
+        found = stored(compared(points, pairs).mapInArrow(lambda batches: _linked(batches, cosine), "rep long, n long, low long"), "found")
+        counts = points.select("rep", "mark", "copies").join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left")
+        placed = counts.join(components(found, "rep", "low"), counts["rep"] == F.col("node"), "left").select(
+            "mark", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        placed = stored(placed, "placed")
+    v, takes_part = usable(vectors, "vec_id", "embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(takes_part, marked(v, seed)).alias("mark"))
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return usable.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-                         component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return rows.join(placed, "mark", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                                                    component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

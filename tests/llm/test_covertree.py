@@ -74,3 +74,35 @@ def test_cover_is_nested_and_covers():
 
 def test_no_rows(spark):
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_all_pairs_of_leaves_without_a_shuffle(spark):
+    """Where every leaf meets every other, leaves are read by parts; where few do, they are joined; both are whole."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=40))]) for i in range(300)]
+    rows += [(300 + i, [float(x) for x in np.float32(np.array(rows[i][1]) + rng.normal(size=40) * 0.1)]) for i in range(80)]
+    rows += [(400 + i, [float(x) for x in np.float32(np.array(rows[7][1]) + rng.normal(size=40) * 0.02)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    points, levels = covertree.build(covertree.unit_points(frame), 16, 64)
+    pairs = covertree.leaf_pairs(points, levels, float(np.sqrt(0.1)))
+    leaves = points.select("node").distinct().count()
+    assert pairs.count() > 4 * leaves
+    seen = []
+    for few, exchanges in ((2.0, False), (1e9, True)):
+        joined = covertree.compared(points, pairs, few)
+        if not exchanges:
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" in plan and "Exchange" not in plan
+        found = joined.mapInArrow(lambda batches: covertree._linked(batches, 0.95), "rep long, n long, low long")
+        assert joined.count() == pairs.count()
+        seen.append({r.rep: r.n for r in found.groupBy("rep").agg({"n": "sum"}).toDF("rep", "n").collect()})
+    assert seen[0] == seen[1] == {i: n for i, n, _, _ in brute(rows) if n}
+    assert len(points.select("vector").first()[0]) == 4 * 40
+
+
+def test_marks_that_meet_are_drawn_anew(spark, monkeypatch):
+    right = covertree.marked
+    monkeypatch.setattr(covertree, "marked", lambda v, seed: right(v, seed) * 0 if seed < 1 else right(v, seed))
+    rows = vectors(60)
+    frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, node string")
+    assert result(covertree.near_vectors(frame)) == brute(rows)
