@@ -5,7 +5,8 @@ left without the mean) are stored. For a segment of s components the product of
 their means, plus or minus at most the product of their deviations, so sums over segments bound the inner product from
 both sides. Finer segments are looked at only for what the coarser ones leave open, and exact scores come last.
 
-Rows lie in packed blocks; so do anchors. A task holds one block of each at a time.
+Rows lie in packed blocks; so do anchors. A task reads some blocks of rows one after the other and holds a few blocks of
+anchors with what they have found so far; blocks of rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import stored
+from floodspark.llm.common import discard, shuffles_freed, stored
 
 PACKED = "dim int, part long, size int, ids binary, labels binary, vectors binary, summaries binary"
 POSITIVES = "dim int, part long, anchor_id long, twin long, vec_id long, score long"
 NEGATIVES = "anchor_id long, twin long, place long, positive_id long, positive_score long, vec_id long, score long"
 EXACT = 2.0 ** 52
+FIRST = 16
 
 
 def finite(column: str) -> Column:
@@ -87,15 +89,27 @@ class Block:
     def level(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(x[rows] for x in self.levels[k])
 
-    def scores(self, rows: np.ndarray, other: Block, columns: np.ndarray) -> np.ndarray:
-        """Exact integer inner products: by doubles where those are exact, else by 64-bit integers."""
+    def products(self, rows: np.ndarray, other: Block, columns: np.ndarray) -> np.ndarray:
+        """Exact integer inner products: by doubles (and as such) where those are exact, else by 64-bit integers."""
         if self.most * other.most * max(self.vectors.shape[1], 1) < EXACT:
-            return (self.vectors[rows] @ other.vectors[columns].T).astype(np.int64)
+            return self.vectors[rows] @ other.vectors[columns].T
         return self.integers[rows] @ other.integers[columns].T
 
+    def scores(self, rows: np.ndarray, other: Block, columns: np.ndarray) -> np.ndarray:
+        return self.products(rows, other, columns).astype(np.int64)
+
 
 def survivors(anchors: Block, rows: Block, a: np.ndarray, r: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors and rows of which some pair may score from ``low`` to ``high`` (by anchor), by ever finer segments."""
+    """Anchors and rows of which some pair may score from ``low`` to ``high`` (by anchor), by ever finer segments.
+
+    A few of many anchors go first: where each of them stays and more than half of the rows do, all anchors keep at
+    least those rows, and everything is compared.
+    """
+    if len(a) > 4 * FIRST:
+        some = a[::len(a) // FIRST]
+        still, kept = survivors(anchors, rows, some, r, low, high)
+        if len(still) == len(some) and 2 * len(kept) > len(r):
+            return a, r
     for k in range(len(anchors.levels)):
         if not len(a) or not len(r):
             break
@@ -139,6 +153,17 @@ class Top:
         order = np.lexsort((all_ids, -all_scores), axis=1)[:, :self.k]
         self.scores[lists], self.ids[lists] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
 
+    def merge(self, lists: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """The same for a few scores, each with its list."""
+        touched = np.unique(lists)
+        lists = np.concatenate([np.repeat(touched, self.k), lists])
+        scores, ids = (np.concatenate([old[touched].ravel(), new]) for old, new in ((self.scores, scores), (self.ids, ids)))
+        order = np.lexsort((ids, -scores, lists))
+        lists, scores, ids = lists[order], scores[order], ids[order]
+        place = np.arange(len(lists)) - np.searchsorted(lists, lists)
+        keep = place < self.k
+        self.scores[lists[keep], place[keep]], self.ids[lists[keep], place[keep]] = scores[keep], ids[keep]
+
     def least(self) -> np.ndarray:
         """What a score must reach to enter a list."""
         return self.scores[:, -1]
@@ -190,39 +215,45 @@ def grouped_anchors(vectors: DataFrame, every: int, rows: int) -> DataFrame:
     return dealt.groupBy("dim", "part").applyInPandas(pack, PACKED)
 
 
-def beside(blocks: DataFrame, anchors: DataFrame, lane: int = 8192) -> DataFrame:
+def beside(blocks: DataFrame, anchors: DataFrame, together: int = 8, waves: int = 4) -> DataFrame:
     """Every block of rows with every block of anchors of the same length.
 
-    Blocks of rows are dealt to as many lanes as there are ``lane`` rows; a block of anchors goes to each lane once.
+    A task reads its blocks of rows one by one against at most about ``together`` blocks of anchors, which alone are
+    shuffled. There are about ``waves`` tasks a core, so that lists of found rows are few.
     """
-    lanes = blocks.groupBy(F.col("dim").alias("in_dim")).agg(F.ceil(F.sum("size") / lane).cast("int").alias("lanes"))
-    side = (anchors.select(*(F.col(c).alias(f"of_{c}") for c in anchors.columns)).join(lanes, F.col("of_dim") == F.col("in_dim"))
-            .withColumn("of_lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes", "in_dim"))
-    numbers = anchors.select(F.col("dim").alias("to_dim"), F.col("part").alias("to_part")).join(lanes, F.col("to_dim") == F.col("in_dim")).drop("in_dim")
-    rows = (blocks.join(numbers, F.col("dim") == F.col("to_dim"))
-            .withColumn("to_lane", F.pmod(F.xxhash64("part", "size", "ids"), "lanes").cast("int")).drop("lanes"))
-    return rows.join(side, (F.col("to_dim") == F.col("of_dim")) & (F.col("to_part") == F.col("of_part")) & (F.col("to_lane") == F.col("of_lane")))
+    parts = max(1, -(-anchors.count() // together))
+    lanes = max(1, -(-blocks.sparkSession.sparkContext.defaultParallelism * waves // parts))
+    side = anchors.select(*(F.col(c).alias(f"of_{c}") for c in anchors.columns)).repartition(parts)
+    return blocks.coalesce(lanes).hint("shuffle_replicate_nl").join(side, F.col("dim") == F.col("of_dim"))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, tuple[int, int], dict]]:
+    """Block of rows, name of the block of anchors, and its columns, not yet read."""
+    held, rows = None, None
     for batch in batches:
+        at = {name: k for k, name in enumerate(batch.schema.names)}
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            yield row, {name[3:]: value for name, value in row.items() if name.startswith("of_")}
+            cell = {name: batch.column(i)[k] for name, i in at.items()}
+            given = {name: cell[name].as_py() for name in ("dim", "size", "ids", "labels", "vectors")}
+            if given != held:
+                held, rows = given, Block({**given, "summaries": cell["summaries"].as_py()})
+            yield rows, (cell["of_dim"].as_py(), cell["of_part"].as_py()), {name[3:]: value for name, value in cell.items() if name.startswith("of_")}
+
+
+def _read(cells: dict) -> dict:
+    return {name: cell.as_py() for name, cell in cells.items()}
 
 
 def positives(joined: DataFrame, k: int = 5) -> DataFrame:
     """For each anchor its ``k`` best other rows of its label, numbered by ``place``; ``twin`` tells anchors of one key apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, anchors, top = None, None, None
-        for row, of in _pairs(batches):
-            if (of["dim"], of["part"]) != name:
-                if top is not None:
-                    yield told(name, anchors, top)
-                name, anchors = (of["dim"], of["part"]), Block(of)
-                top = Top(len(anchors.ids), k)
-            rows = Block(row)
+        states = {}
+        for rows, name, of in _pairs(batches):
+            if name not in states:
+                anchors = Block(_read(of))
+                states[name] = anchors, Top(len(anchors.ids), k)
+            anchors, top = states[name]
             for label in np.unique(anchors.labels):
                 a, r = np.flatnonzero(anchors.labels == label), np.flatnonzero(rows.labels == label)
                 low = top.least().astype(np.float64)
@@ -231,7 +262,7 @@ def positives(joined: DataFrame, k: int = 5) -> DataFrame:
                     scores = anchors.scores(a, rows, r)
                     scores[anchors.ids[a][:, None] == rows.ids[r][None, :]] = NONE
                     top.add(a, scores, rows.ids[r])
-        if top is not None:
+        for name, (anchors, top) in states.items():
             yield told(name, anchors, top)
 
     def told(name: tuple, anchors: Block, top: Top) -> pa.RecordBatch:
@@ -260,39 +291,35 @@ def negatives(joined: DataFrame, k: int = 10, low: int = 30, high: int = 90) ->
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, state = None, None
-        for row, of in _pairs(batches):
-            if (of["dim"], of["part"]) != name:
-                if state is not None:
-                    yield told(*state)
-                name, state = (of["dim"], of["part"]), opened(of)
-            anchors, found, owner, top = state
-            if not len(found):
-                continue
-            rows, scores_of = Block(row), found["score"]
+        states = {}
+        for rows, name, of in _pairs(batches):
+            if name not in states:
+                states[name] = opened(_read(of))
+            anchors, found, owner, slots, top = states[name]
+            scores_of = found["score"]
             least, most = -(-low * scores_of // 100), high * scores_of // 100
             enough = np.maximum(least, top.least())
-            floor, ceiling = np.full(len(anchors.ids), np.inf), np.full(len(anchors.ids), -np.inf)
-            can = least <= most
-            np.minimum.at(floor, owner[can], enough[can].astype(np.float64))
-            np.maximum.at(ceiling, owner[can], most[can].astype(np.float64))
-            a, r = np.flatnonzero(ceiling > -np.inf), np.arange(len(rows.ids))
-            a, r = survivors(anchors, rows, a, r, floor, ceiling)
-            if not len(a) or not len(r):
-                continue
-            scores = anchors.scores(a, rows, r)
-            scores[anchors.labels[a][:, None] == rows.labels[r][None, :]] = NONE
-            at = np.full(len(anchors.ids), -1)
-            at[a] = np.arange(len(a))
-            lists = np.flatnonzero(can & (at[owner] >= 0))
-            for i in range(0, len(lists), 1024):
-                mine = lists[i:i + 1024]
-                part = scores[at[owner[mine]]]
-                part[(part < enough[mine][:, None]) | (part > most[mine][:, None])] = NONE
-                some = (part > NONE).any(1)
-                top.add(mine[some], part[some], rows.ids[r])
-        if state is not None:
-            yield told(*state)
+            floor, ceiling = np.full(len(anchors.ids), -NONE), np.full(len(anchors.ids), NONE)
+            can = enough <= most
+            np.minimum.at(floor, owner[can], enough[can])
+            np.maximum.at(ceiling, owner[can], most[can])
+            a, r = np.flatnonzero(floor <= ceiling), np.arange(len(rows.ids))
+            a, r = survivors(anchors, rows, a, r, floor.astype(np.float64), ceiling.astype(np.float64))
+            for i in range(0, len(a) if len(r) else 0, 128):
+                mine = a[i:i + 128]
+                scores = anchors.products(mine, rows, r)
+                may = (scores >= floor[mine].astype(scores.dtype)[:, None]) & (scores <= ceiling[mine].astype(scores.dtype)[:, None])
+                row, column = np.divmod(np.flatnonzero(may), len(r))
+                apart = anchors.labels[mine[row]] != rows.labels[r[column]]
+                row, column = row[apart], column[apart]
+                score, of_row = scores[row, column].astype(np.int64), slots[mine[row]]
+                entry, slot = np.nonzero(of_row >= 0)
+                to, score, ids = of_row[entry, slot], score[entry], rows.ids[r[column[entry]]]
+                fits = (score >= enough[to]) & (score <= most[to])
+                if fits.any():
+                    top.merge(to[fits], score[fits], ids[fits])
+        for anchors, found, owner, _, top in states.values():
+            yield told(anchors, found, owner, top)
 
     def opened(of: dict) -> tuple:
         anchors = Block(of)
@@ -300,7 +327,11 @@ def negatives(joined: DataFrame, k: int = 10, low: int = 30, high: int = 90) ->
         found = np.array([tuple(p[n] for n, _ in kind) for p in of["found"] or []], kind)
         named = {pair: i for i, pair in enumerate(zip(anchors.ids.tolist(), _twin(anchors).tolist()))}
         owner = np.array([named[p] for p in zip(found["anchor_id"].tolist(), found["twin"].tolist())], np.int64)
-        return anchors, found, owner, Top(len(found), k)
+        order = np.argsort(owner, kind="stable")
+        place = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
+        slots = np.full((len(anchors.ids), int(place.max(initial=-1)) + 1), -1, np.int64)  # the lists of each anchor
+        slots[owner[order], place] = order
+        return anchors, found, owner, slots, Top(len(found), k)
 
     def told(anchors: Block, found: np.ndarray, owner: np.ndarray, top: Top) -> pa.RecordBatch:
         row, ids, scores = top.found()
@@ -326,13 +357,16 @@ def hard_negatives(vectors: DataFrame, every: int = 100, n_positives: int = 5, k
     vec_id, label and vector counts once; rows that share only vec_id are each an anchor, and never their own positive.
     Only vectors of one length are compared. An anchor without positives or negatives gives no rows, and neither does a
     positive with a score below 0. Empty table: no rows. Other columns are ignored. Sums beyond 64 bits wrap around.
+    A file of blocks holds ``lane`` rows.
     """
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     whole = whole.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite("embedding"))
-    whole = stored(whole.groupBy("vec_id", "label", "embedding").agg(F.lit(1).alias("one")).drop("one"), "vectors")
-    blocks = stored(packed(whole, rows), "blocks")
-    anchors = stored(grouped_anchors(whole, every, block), "anchors")
-    found = positives(beside(blocks, anchors, lane), n_positives)
-    listed = found.groupBy("dim", "part").agg(F.collect_list(F.struct("anchor_id", "twin", "place", "vec_id", "score")).alias("found"))
-    asked = stored(anchors.join(listed, ["dim", "part"]), "asked")
-    return negatives(beside(blocks, asked, lane), k, low, high)
+    with shuffles_freed(vectors.sparkSession):
+        whole = stored(whole.groupBy("vec_id", "label", "embedding").agg(F.lit(1).alias("one")).drop("one"), "vectors")
+        blocks = stored(packed(whole, rows), "blocks", rows=max(1, lane // rows))
+        anchors = stored(grouped_anchors(whole, every, block), "anchors")
+        discard(whole)
+        found = positives(beside(blocks, anchors), n_positives)
+        listed = found.groupBy("dim", "part").agg(F.collect_list(F.struct("anchor_id", "twin", "place", "vec_id", "score")).alias("found"))
+        asked = stored(anchors.join(listed, ["dim", "part"]), "asked")
+    return negatives(beside(blocks, asked), k, low, high)

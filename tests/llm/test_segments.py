@@ -82,3 +82,35 @@ def test_rows_that_take_no_part(spark):
     assert collected(segments.hard_negatives(frame.limit(0))) == []
     lone = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 2)], SCHEMA)
     assert collected(segments.hard_negatives(lone)) == []
+
+
+def test_blocks_of_rows_are_not_shuffled(spark):
+    rows = vectors_of(5, 400, 16, 3)
+    whole = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    blocks = segments.stored(segments.packed(whole, 32), "blocks")
+    anchors = segments.stored(segments.grouped_anchors(whole, 10, 8), "anchors")
+    joined = segments.beside(blocks, anchors)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    assert joined.count() == blocks.count() * anchors.count()
+
+
+def test_many_anchors_in_a_block(spark):
+    """A few anchors go first; where they keep most rows, all are compared."""
+    rows = vectors_of(12, 300, 24, 3) + [(500 + i, [0.0] * 24, i % 3) for i in range(8)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert collected(segments.hard_negatives(frame, every=2, rows=64)) == brute(rows, 2)
+
+
+def test_merged_lists_are_those_of_whole_tables():
+    rng = np.random.default_rng(6)
+    whole, few = segments.Top(7, 4), segments.Top(7, 4)
+    for part in range(5):
+        scores, ids = rng.integers(0, 9, (7, 12)), np.arange(12) + 12 * part
+        scores[rng.random((7, 12)) < 0.6] = segments.NONE
+        whole.add(np.arange(7), scores, ids)
+        row, column = np.nonzero(scores > segments.NONE)
+        if len(row):
+            few.merge(row, scores[row, column], ids[column])
+    full = whole.scores > segments.NONE
+    assert (whole.scores == few.scores).all() and (whole.ids[full] == few.ids[full]).all()
