@@ -245,51 +245,64 @@ class Leaf:
 
 
 def _marks(table: np.ndarray) -> np.ndarray:
-    """Places of the true values of a table, read by eights as there are few."""
+    """Places of the true values of a table that has few: first of words of eight that hold some."""
     flat = table.ravel()
+    if len(flat) < 4096:
+        return np.flatnonzero(flat)
     ends = len(flat) // 8 * 8
-    words = np.flatnonzero(flat[:ends].view(np.uint64))
+    words = _marks(flat[:ends].view(np.uint64) != 0)
     word, byte = np.nonzero(flat[:ends].reshape(-1, 8)[words])
     return np.concatenate([words[word] * 8 + byte, np.flatnonzero(flat[ends:]) + ends])
 
 
-def _near(left: Leaf, right: Leaf, cosine: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
-    """Which points of two leaves are linked, as a table and, if they are few, as places of both.
+def _pieces(close: np.ndarray, left: Leaf, right: Leaf, most: int = 256) -> Iterator[tuple[slice, slice]]:
+    """Ranges of points of both leaves whose parts are ``close``; parts of one pattern go together up to ``most`` points."""
+    i = 0
+    while i < len(close):
+        j = i + 1
+        while j < len(close) and left.at[j + 1] - left.at[i] <= most and (close[j] == close[i]).all():
+            j += 1
+        for a, b in zip(*runs(close[i])):
+            yield slice(left.at[i], left.at[j]), slice(right.at[a], right.at[b])
+        i = j
+
+
+def _near(left: Leaf, right: Leaf, cosine: float) -> tuple[np.ndarray | None, tuple[np.ndarray, np.ndarray] | None]:
+    """Which points of two leaves are linked: places of both if links are few, else a table.
 
     Parts whose centres are too far apart are never compared; of other pairs those count whose sketches, of the
     components that differ most, allow a link.
     """
-    near, listed, found = np.zeros((len(left.units), len(right.units)), bool), [], 0
+    near, listed, found, size = None, [], 0, len(left.units) * len(right.units)
     close = _distances(left.centres, right.centres) <= left.reach[:, None] + right.reach[None, :] + np.sqrt(2.0 - 2.0 * cosine) + SLACK
     sketches = None
     if left.units.shape[1] > 2 * SKETCH:
         dims = np.argsort(-(left.variance + right.variance + (left.mean - right.mean) ** 2), kind="stable")[:SKETCH]
-        sketches = left.sketch(dims), right.sketch(dims)
-    for i in np.flatnonzero(close.any(1)):
-        rows = slice(left.at[i], left.at[i + 1])
-        for a, b in zip(*runs(close[i])):
-            columns = slice(right.at[a], right.at[b])
-            places = None
-            if sketches is not None:
-                may = sketches[0][rows] @ sketches[1][columns].T >= np.float32(cosine - 1e-5)
-                if np.count_nonzero(may) * SKETCH <= may.size:
-                    flat = _marks(may)
-                    places = flat // may.shape[1] + rows.start, flat % may.shape[1] + columns.start
-                    linked = np.einsum("ij,ij->i", left.units[places[0]], right.units[places[1]]) >= cosine
-                    places = places[0][linked], places[1][linked]
-                    near[places] = True
-            if places is None:
-                part = left.units[rows] @ right.units[columns].T >= cosine
-                near[rows, columns] = part
-                found += np.count_nonzero(part)
-                if found * SKETCH <= near.size:
-                    places = tuple(x + start for x, start in zip(np.nonzero(part), (rows.start, columns.start)))
-            else:
-                found += len(places[0])
-            listed.append(places)
-    if found * SKETCH > near.size:
+        sketches = left.sketch(dims), np.ascontiguousarray(right.sketch(dims).T)
+    for rows, columns in _pieces(close, left, right):
+        places = None
+        if sketches is not None:
+            may = sketches[0][rows] @ sketches[1][:, columns] >= np.float32(cosine - 1e-5)
+            if np.count_nonzero(may) * SKETCH <= may.size:
+                row, column = np.divmod(_marks(may), may.shape[1])
+                row, column = row + rows.start, column + columns.start
+                linked = np.einsum("ij,ij->i", left.units[row], right.units[column]) >= cosine
+                places = row[linked], column[linked]
+        if places is None:
+            part = left.units[rows] @ right.units[columns].T >= cosine
+            row, column = np.nonzero(part)
+            places = row + rows.start, column + columns.start
+        found += len(places[0])
+        listed.append(places)
+        if near is None and found * SKETCH > size:
+            near = np.zeros((len(left.units), len(right.units)), bool)
+        if near is not None:
+            for some in listed:
+                near[some] = True
+            listed = []
+    if near is not None:
         return near, None
-    return near, tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in listed)]) for k in (0, 1))
+    return None, tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in listed)]) for k in (0, 1))
 
 
 def _counted(left: Leaf, right: Leaf, near: np.ndarray, step: int = 512) -> tuple[np.ndarray, ...]:
